@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _STAGE_SUBDIR = "martwright_stage"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def get_session(app_name: str = "martwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,9 +51,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    folder = tempfile.mkdtemp(prefix="martwright-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="martwright-")
+    return _LOCAL_FOLDERS[app]
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
