@@ -37,11 +37,6 @@ def _groupable(df: DataFrame) -> list[str]:
     return ["`" + c.replace("`", "``") + "`" for c in df.columns]
 
 
-def plan_size_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; stands in for an in-memory footprint."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: ordinal, column, dtype, row_count, null_count, null_pct, unique_count."""
     df = stats.normalize_nan(df)

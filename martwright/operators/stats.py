@@ -25,8 +25,12 @@ EXPRESSIONS_PER_JOB = 500
 
 def small_side(df: DataFrame) -> DataFrame:
     """Mark ``df`` for broadcast if its estimated size is small; else leave the join to Catalyst."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if plan_size_bytes(df) <= BROADCAST_BYTES else df
+
+
+def plan_size_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def normalize_nan(df: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ from martwright.session import shared_folder
 AUDIT_SCHEMA = ("ts timestamp, task string, provider string, model string, latency_s double, prompt_chars long, "
                 "redaction_count long, success boolean")
 
+# Log times keep their microseconds.
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
@@ -135,12 +138,12 @@ def volume_funnel(counts: DataFrame) -> DataFrame:
 
 def append_calls(calls: DataFrame, folder: str) -> None:
     """Append call records to the JSON-lines log."""
-    calls.write.mode("append").json(folder)
+    calls.write.mode("append").options(**_MICROS).json(folder)
 
 
 def read_calls(spark: SparkSession, folder: str, limit: int = 100, *, tie: str | None = None, schema: str = AUDIT_SCHEMA) -> DataFrame:
     """Newest call records first; broken lines are skipped."""
     if not path_exists(spark, folder):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").options(**_MICROS).json(folder)
     return rows.orderBy(F.desc("ts"), *([F.desc(tie)] if tie else [])).limit(limit)
