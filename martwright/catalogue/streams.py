@@ -1 +1,35 @@
-"""Queries."""
+"""Queries that run the streams over the call log to completion."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from martwright.catalogue.base import Bench, query
+from martwright.session import stage_path
+from martwright.sources import tables
+from martwright.streaming import calls
+
+_SCHEMA = "event_id long, ts timestamp, task string, provider string, prompt_chars long, redaction_count long, user_id long"
+
+
+def _log(t: Bench) -> DataFrame:
+    path = stage_path(t.spark, "call-log")
+    tables.append_calls(t.audit.withColumn("ts", t.audit["ts"].cast("timestamp")), path)
+    return calls.read_calls(t.spark, path, _SCHEMA)
+
+
+@query("stream_audit_metrics", """SELECT count(*) AS total_calls, count(*) FILTER (WHERE lower(provider) IN ('ollama', 'gemma', 'local')) AS local_calls,
+count(*) FILTER (WHERE lower(provider) NOT IN ('ollama', 'gemma', 'local', 'none', '')) AS cloud_calls, CAST(sum(redaction_count) AS BIGINT) AS total_redactions,
+CAST(sum(CASE WHEN lower(provider) NOT IN ('ollama', 'gemma', 'local', 'none', '') THEN prompt_chars END) AS BIGINT) AS cloud_prompt_chars FROM audit""")
+def stream_audit_metrics(t: Bench) -> DataFrame:
+    out = stage_path(t.spark, "audit-metrics")
+    calls.run_once_replacing(calls.running_metrics(_log(t)), out, stage_path(t.spark, "audit-checkpoint")).awaitTermination()
+    return t.spark.read.parquet(out).select("total_calls", "local_calls", "cloud_calls", "total_redactions", "cloud_prompt_chars")
+
+
+@query("stream_calls_per_day", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM audit GROUP BY user_id, CAST(ts AS DATE))
+SELECT user_id, day, calls, calls > 200 AS over_limit FROM d WHERE day + 1 <= (SELECT max(ts) FROM audit) - INTERVAL 1 HOUR""")
+def stream_calls_per_day(t: Bench) -> DataFrame:
+    out = stage_path(t.spark, "calls-per-day")
+    calls.run_once(calls.calls_per_day(_log(t)), out, stage_path(t.spark, "calls-checkpoint")).awaitTermination()
+    return t.spark.read.parquet(out)
