@@ -233,7 +233,7 @@ UNION ALL SELECT 'columns', "column", 'unique_count', CAST(unique_count AS VARCH
 UNION ALL SELECT 'numeric', "column", 'median', CAST(median AS VARCHAR) FROM n UNION ALL SELECT 'numeric', "column", 'outlier_count', CAST(outlier_count AS VARCHAR) FROM n
 UNION ALL SELECT 'strings', "column", 'avg_length', CAST(avg_length AS VARCHAR) FROM s UNION ALL SELECT 'strings', "column", 'empty_count', CAST(empty_count AS VARCHAR) FROM s""")
 def profile_all(t: Bench) -> DataFrame:
-    facts = profile.as_facts(profile.full(t.dirty_orders))
+    facts = profile.Profile(t.dirty_orders).as_facts()
     shown = (("overview", "row_count"), ("overview", "duplicate_pct"), ("overview", "completeness"), ("columns", "unique_count"), ("columns", "null_pct"),
              ("numeric", "median"), ("numeric", "outlier_count"), ("strings", "avg_length"), ("strings", "empty_count"))
     wanted = [(F.col("section") == s) & (F.col("metric") == m) for s, m in shown]

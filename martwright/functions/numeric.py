@@ -26,12 +26,28 @@ def safe_numeric(c: Column) -> Column:
     return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
 
 
+def sql_literal(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def safe_numeric_sql(c: str) -> str:
+    """``safe_numeric`` as expression text, for aggregates over many columns."""
+    return f"CASE WHEN {c} RLIKE {sql_literal(NUMERIC_TEXT)} THEN try_cast(trim({c}) AS DOUBLE) END"
+
+
 def safe_timestamp(c: Column) -> Column:
     """Text to a wall-clock timestamp; unreadable text becomes null."""
     tries = [F.try_to_timestamp(F.trim(c), F.lit(layout)) for layout in DATETIME_LAYOUTS]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+def safe_timestamp_sql(c: str) -> str:
+    """``safe_timestamp`` as expression text."""
+    tries = ", ".join(f"try_to_timestamp(trim({c}), {sql_literal(layout)})" for layout in DATETIME_LAYOUTS)
+    return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
+
+
 def blank_to_null(c: Column) -> Column:
     """Empty or all-space text becomes null."""
     return F.nullif(F.trim(c), F.lit(""))

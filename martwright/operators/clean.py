@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from martwright import rules
@@ -33,6 +33,44 @@ class CleanResult:
     counts: dict[str, int] = field(default_factory=dict)
 
 
+@dataclass
+class Readings:
+    """What one pass over a dataset tells all data-dependent steps."""
+
+    rows: int
+    filled: dict[str, int]
+    numbers: dict[str, int]
+    dates: dict[str, int]
+    distinct_sketch: dict[str, int]
+
+    def missing(self, name: str, converted: str | None = None) -> int:
+        """Missing cells of a column, after conversion if it was converted."""
+        present = {"number": self.numbers, "date": self.dates}.get(converted or "", self.filled)
+        return self.rows - present[name]
+
+
+def read(df: DataFrame) -> Readings:
+    """Counts of filled, numeric and date-like cells and a distinct-value sketch, in one aggregate.
+
+    The sketch sees text as the later steps leave it: filled and stripped.
+    """
+    texts = stats.columns_of(df, num.is_text)
+    aggs = ["count(1) AS n"] + [f"count({stats.ident(c)}) AS f{i}" for i, c in enumerate(df.columns)]
+    for i, c in enumerate(texts):
+        name = stats.ident(c)
+        aggs.append(f"count({num.safe_numeric_sql(name)}) AS num{i}")
+        aggs.append(f"approx_count_distinct({_stripped_sql(f'coalesce({name}, {num.sql_literal(UNKNOWN)})')}) AS d{i}")
+        if _hinted(c):
+            aggs.append(f"count({num.safe_timestamp_sql(name)}) AS ts{i}")
+    seen = df.selectExpr(*aggs).first()
+    return Readings(seen["n"], {c: seen[f"f{i}"] for i, c in enumerate(df.columns)}, {c: seen[f"num{i}"] for i, c in enumerate(texts)},
+                    {c: seen[f"ts{i}"] for i, c in enumerate(texts) if _hinted(c)}, {c: seen[f"d{i}"] for i, c in enumerate(texts)})
+
+
+def _stripped_sql(c: str) -> str:
+    return f"regexp_replace({c}, {num.sql_literal(txt.EDGE_SPACES)}, '')"
+
+
 def standardize_columns(df: DataFrame) -> DataFrame:
     """Snake-case, unique column names."""
     return df.toDF(*txt.snake_names(df.columns))
@@ -47,44 +85,46 @@ def _hinted(name: str) -> bool:
     return any(h in name.lower() for h in rules.DATE_HINTS)
 
 
-def convert_types(df: DataFrame) -> CleanResult:
+def _conversions(df: DataFrame, seen: Readings) -> dict[str, str]:
+    """Columns to convert, and to what."""
+    chosen = {}
+    for c in stats.columns_of(df, num.is_text):
+        filled = seen.filled[c]
+        if filled and seen.numbers[c] / filled > rules.CONVERT_RATIO:
+            chosen[c] = "number"
+        elif filled and c in seen.dates and seen.dates[c] / filled > rules.CONVERT_RATIO:
+            chosen[c] = "date"
+    return chosen
+
+
+def convert_types(df: DataFrame, seen: Readings | None = None) -> CleanResult:
     """String columns that mostly parse as numbers, else (if the name says so) as dates, are converted."""
-    names = stats.columns_of(df, num.is_text)
-    if not names:
-        return CleanResult(df, {"numeric_converted": 0, "datetime_converted": 0, "cells_coerced": 0})
-    aggs = []
-    for i, c in enumerate(names):
-        aggs += [F.count(quoted(c)).alias(f"n{i}"), F.count(num.safe_numeric(quoted(c))).alias(f"num{i}")]
-        if _hinted(c):
-            aggs.append(F.count(num.safe_timestamp(quoted(c))).alias(f"ts{i}"))
-    seen = df.agg(*aggs).first()
-    changes, coerced, numbers, dates = {}, 0, 0, 0
-    for i, c in enumerate(names):
-        n = seen[f"n{i}"]
-        if n and seen[f"num{i}"] / n > rules.CONVERT_RATIO:
-            changes[c] = num.safe_numeric(quoted(c))
-            numbers, coerced = numbers + 1, coerced + n - seen[f"num{i}"]
-        elif n and _hinted(c) and seen[f"ts{i}"] / n > rules.CONVERT_RATIO:
-            changes[c] = num.safe_timestamp(quoted(c))
-            dates, coerced = dates + 1, coerced + n - seen[f"ts{i}"]
+    seen = read(df) if seen is None else seen
+    chosen = _conversions(df, seen)
+    parse = {"number": num.safe_numeric, "date": num.safe_timestamp}
+    changes = {c: parse[kind](quoted(c)) for c, kind in chosen.items()}
+    lost = sum(seen.missing(c, kind) - seen.missing(c) for c, kind in chosen.items())
+    kinds = list(chosen.values())
     return CleanResult(df.withColumns(changes) if changes else df,
-                       {"numeric_converted": numbers, "datetime_converted": dates, "cells_coerced": coerced})
+                       {"numeric_converted": kinds.count("number"), "datetime_converted": kinds.count("date"), "cells_coerced": lost})
+
 
+def handle_nulls(df: DataFrame, approx: bool = False, missing: dict[str, int] | None = None, rows: int | None = None) -> CleanResult:
+    """Missing numbers take the column median, missing text takes ``Unknown``; times and flags stay.
 
-def handle_nulls(df: DataFrame, approx: bool = False) -> CleanResult:
-    """Missing numbers take the column median, missing text takes ``Unknown``; times and flags stay."""
+    ``missing`` and ``rows`` may come from an earlier pass over the same rows.
+    """
     df = stats.normalize_nan(df)
-    numbers = stats.columns_of(df, num.is_number)
-    texts = stats.columns_of(df, num.is_text)
-    if not numbers + texts:
-        return CleanResult(df, {"columns_filled": 0})
-    missing = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(numbers + texts)]).first()
-    gaps = {c for i, c in enumerate(numbers + texts) if missing[f"m{i}"]}
-    medians = stats.quantiles(df, [c for c in numbers if c in gaps], [0.5], approx)
     types = {f.name: f.dataType for f in df.schema}
+    fillable = [c for c in df.columns if num.is_number(types[c]) or num.is_text(types[c])]
+    if missing is None and fillable:
+        seen = df.selectExpr("count(1) AS n", *[f"count_if({stats.ident(c)} IS NULL) AS m{i}" for i, c in enumerate(fillable)]).first()
+        missing, rows = {c: seen[f"m{i}"] for i, c in enumerate(fillable)}, seen["n"]
+    gaps = [c for c in fillable if missing[c]]
+    medians = stats.quantiles(df, [c for c in gaps if num.is_number(types[c])], [0.5], approx, at_most_rows=rows)
     changes = {}
-    for c in [c for c in numbers + texts if c in gaps]:
-        if c in texts:
+    for c in gaps:
+        if num.is_text(types[c]):
             changes[c] = F.coalesce(quoted(c), F.lit(UNKNOWN))
         elif medians[c][0] is not None:
             median = medians[c][0]
@@ -94,7 +134,7 @@ def handle_nulls(df: DataFrame, approx: bool = False) -> CleanResult:
     return CleanResult(df.withColumns(changes) if changes else df, {"columns_filled": len(gaps)})
 
 
-def clean_text_columns(df: DataFrame) -> CleanResult:
+def clean_text_columns(df: DataFrame, sketch: dict[str, int] | None = None) -> CleanResult:
     """Strip every string column; lower-case those with few distinct values.
 
     A sketch rules out the columns that are clearly too varied; only the rest are
@@ -103,13 +143,13 @@ def clean_text_columns(df: DataFrame) -> CleanResult:
     names = stats.columns_of(df, num.is_text)
     if not names:
         return CleanResult(df, {"text_columns": 0, "lowercased": 0})
-    stripped = df.select(*[txt.strip(quoted(c)).alias(c) for c in names])
-    sketch = stripped.agg(*[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
-    near = [c for i, c in enumerate(names) if sketch[f"d{i}"] <= _CLEARLY_ABOVE * rules.LOWERCASE_BELOW_DISTINCT]
-    few = set(near)
-    if near:
-        exact = {r["column"]: r["unique_count"] for r in stats.distinct_counts(stripped, near).collect()}
-        few = {c for c in near if exact.get(c, 0) < rules.LOWERCASE_BELOW_DISTINCT}
+    stripped = df.selectExpr(*[f"{_stripped_sql(stats.ident(c))} AS {stats.ident(c)}" for c in names])
+    if sketch is None:
+        seen = stripped.selectExpr(*[f"approx_count_distinct({stats.ident(c)}) AS d{i}" for i, c in enumerate(names)]).first()
+        sketch = {c: seen[f"d{i}"] for i, c in enumerate(names)}
+    near = [c for c in names if sketch[c] <= _CLEARLY_ABOVE * rules.LOWERCASE_BELOW_DISTINCT]
+    exact = {r["column"]: r["unique_count"] for r in stats.distinct_counts(stripped, near).collect()} if near else {}
+    few = {c for c in near if exact.get(c, 0) < rules.LOWERCASE_BELOW_DISTINCT}
     changes = {c: F.lower(txt.strip(quoted(c))) if c in few else txt.strip(quoted(c)) for c in names}
     return CleanResult(df.withColumns(changes), {"text_columns": len(names), "lowercased": len(few)})
 
@@ -123,17 +163,22 @@ def add_metadata(df: DataFrame, source: str, loaded_at: datetime | None = None)
 def transform(df: DataFrame, source: str, loaded_at: datetime | None = None, approx: bool = False) -> CleanResult:
     """All steps in order.
 
-    The duplicate-free rows are staged once: three later statistics jobs and the load
-    read that table instead of repeating the shuffle.
+    The duplicate-free rows are staged once, counted on both sides of the shuffle by the
+    write itself.  One pass over that table then answers every data-dependent question
+    but the medians and the exact distinct counts of low-cardinality text.
     """
     old = df.columns
-    renamed = standardize_columns(df)
-    counts = {"renamed": sum(a != b for a, b in zip(old, renamed.columns)), "columns": len(old)}
-    rows = stage(remove_duplicates(renamed), "deduplicated")
-    counts["rows_before"], counts["rows_after"] = renamed.count(), rows.count()
-    typed = convert_types(rows)
-    filled = handle_nulls(typed.df, approx)
-    cleaned = clean_text_columns(filled.df)
+    renamed = stats.normalize_nan(standardize_columns(df))
+    before, after = Observation(), Observation()
+    n_rows = F.count(F.lit(1)).alias("n")
+    rows = stage(remove_duplicates(renamed.observe(before, n_rows)).observe(after, n_rows), "deduplicated")
+    counts = {"renamed": sum(a != b for a, b in zip(old, renamed.columns)), "columns": len(old),
+              "rows_before": before.get["n"], "rows_after": after.get["n"]}
+    seen = read(rows)
+    kinds = _conversions(rows, seen)
+    typed = convert_types(rows, seen)
+    filled = handle_nulls(typed.df, approx, {c: seen.missing(c, kinds.get(c)) for c in rows.columns}, seen.rows)
+    cleaned = clean_text_columns(filled.df, seen.distinct_sketch)
     for step in (typed, filled, cleaned):
         counts.update(step.counts)
     return CleanResult(add_metadata(cleaned.df, source, loaded_at), counts)

@@ -12,26 +12,21 @@ from martwright.operators import profile, stats
 
 def data_dictionary(df: DataFrame, samples: int = 3, descriptions: dict[str, str] | None = None) -> DataFrame:
     """One row per column: type, nullability, counts, the smallest distinct values as samples, description."""
-    df = stats.normalize_nan(df)
-    smallest = Window.partitionBy("ordinal").orderBy("whole", "real", "txt")
-    picked = (stats.value_counts(df, df.columns).withColumn("rank", F.row_number().over(smallest))
-              .filter(F.col("rank") <= samples).groupBy("ordinal")
-              .agg(F.sort_array(F.collect_list(F.struct("rank", stats.value_text().alias("text")))).alias("s")))
+    facts = profile.column_facts(df, ()).join(profile.value_facts(df, samples=samples).select("ordinal", "unique_count", "samples"), "ordinal", "left")
     given = descriptions or {}
     described = F.coalesce(*[F.when(F.col("column") == c, F.lit(d)) for c, d in given.items()], txt.describe_column(F.col("column")))
-    return (profile.columns(df).join(picked, "ordinal", "left")
-            .select("ordinal", F.col("column").alias("column_name"), F.col("dtype").alias("data_type"),
-                    (F.col("null_count") > 0).alias("nullable"), "null_count", "unique_count",
-                    F.coalesce(F.array_join(F.transform("s", lambda x: x["text"]), ", "), F.lit("")).alias("sample_values"),
-                    described.alias("description")))
+    return facts.select("ordinal", F.col("column").alias("column_name"), F.col("dtype").alias("data_type"),
+                        (F.col("null_count") > 0).alias("nullable"), "null_count", F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
+                        F.coalesce(F.array_join(F.transform("samples", lambda x: x["value"]), ", "), F.lit("")).alias("sample_values"),
+                        described.alias("description"))
 
 
 def logical_schema(df: DataFrame) -> DataFrame:
     """Columns with logical type and nullability found in the data."""
     df = stats.normalize_nan(df)
     return stats.long_stats(df, [
-        {"ordinal": F.lit(i), "column_name": F.lit(f.name), "data_type": F.lit(num.type_family(f.dataType)),
-         "nullable": F.count_if(stats.quoted(f.name).isNull()) > 0, "row_count": F.count(F.lit(1))}
+        {"ordinal": str(i), "column_name": num.sql_literal(f.name), "data_type": num.sql_literal(num.type_family(f.dataType)),
+         "nullable": f"count_if({stats.ident(f.name)} IS NULL) > 0", "row_count": "count(1)"}
         for i, f in enumerate(df.schema)])
 
 

@@ -55,8 +55,8 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     df = stats.normalize_nan(df)
     names = stats.columns_of(df, num.is_number)
     return stats.long_stats(df, [
-        {"ordinal": F.lit(i), "column": F.lit(c), "min": F.min(quoted(c)).cast("double"), "max": F.max(quoted(c)).cast("double"),
-         "mean": F.round(F.avg(quoted(c)), 4)} for i, c in enumerate(names)])
+        {"ordinal": str(i), "column": num.sql_literal(c), "min": f"CAST(min({stats.ident(c)}) AS DOUBLE)",
+         "max": f"CAST(max({stats.ident(c)}) AS DOUBLE)", "mean": f"round(avg({stats.ident(c)}), 4)"} for i, c in enumerate(names)])
 
 
 def source_profile(df: DataFrame, table: str, spellings: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
-"""Column profiles, issues, correlations and personal-data findings, as long tables."""
+"""Column profiles, issues, correlations and personal-data findings, as long tables.
+
+Two small tables hold nearly everything: ``column_facts`` (one aggregate pass) and
+``value_facts`` (one shuffle of distinct values).  Each section is a projection of
+them; a full profile stages both once and derives every section from there.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +16,77 @@ from pyspark.sql import functions as F
 from martwright import rules
 from martwright.functions import numeric as num
 from martwright.operators import stats
-from martwright.operators.stats import quoted
+from martwright.operators.stats import ident, quoted
+from martwright.session import stage
+
+ALL_PARTS = ("numbers", "lengths", "dates", "pii")
+TOP_K = 5
+
+
+def column_facts(df: DataFrame, parts: tuple[str, ...] = ALL_PARTS) -> DataFrame:
+    """One row per column with every statistic a single pass can give; ``parts`` narrows it."""
+    df = stats.normalize_nan(df)
+    rows = []
+    for i, f in enumerate(df.schema):
+        c = ident(f.name)
+        row = {"ordinal": str(i), "column": num.sql_literal(f.name), "dtype": num.sql_literal(num.type_family(f.dataType)),
+               "row_count": "count(1)", "null_count": f"count_if({c} IS NULL)"}
+        if "numbers" in parts:
+            row |= _number_facts(f"CAST({c} AS DOUBLE)" if num.is_number(f.dataType) else None)
+        if "lengths" in parts:
+            row |= _length_facts(c if num.is_text(f.dataType) else None)
+        if "dates" in parts:
+            row |= _date_facts(c if num.is_moment(f.dataType) else None)
+        if "pii" in parts:
+            row |= _pii_facts(stats.text_sql(c, f.dataType))
+        rows.append(row)
+    return stats.long_stats(df, rows)
+
+
+def _number_facts(v: str | None) -> dict[str, str]:
+    texts = {"mean": "avg({v})", "std": "stddev_samp({v})", "min": "min({v})", "max": "max({v})",
+             # Spark's skewness is the population one; the factor makes it the sample one.
+             "skewness": "CASE WHEN count({v}) > 2 THEN skewness({v}) * sqrt(count({v}) * (count({v}) - 1.0D)) / (count({v}) - 2.0D) END"}
+    return {k: t.format(v=v) if v else "CAST(NULL AS DOUBLE)" for k, t in texts.items()}
+
+
+def _length_facts(c: str | None) -> dict[str, str]:
+    texts = {"avg_length": ("avg(length({c}))", "DOUBLE"), "min_length": ("min(length({c}))", "INT"),
+             "max_length": ("max(length({c}))", "INT"), "empty_count": ("count_if({c} = '')", "BIGINT")}
+    return {k: t.format(c=c) if c else f"CAST(NULL AS {kind})" for k, (t, kind) in texts.items()}
+
+
+def _date_facts(c: str | None) -> dict[str, str]:
+    return {f"{f}_date": f"CAST({f}({c}) AS TIMESTAMP_NTZ)" if c else "CAST(NULL AS TIMESTAMP_NTZ)" for f in ("min", "max")}
+
+
+def _pii_facts(v: str) -> dict[str, str]:
+    codes = ", ".join(num.sql_literal(abbr) for _, abbr, _ in rules.STATES)
+    names = ", ".join(num.sql_literal(name.lower()) for _, _, name in rules.STATES)
+    row = {"values_n": f"count({v})", "filled": f"count_if(trim({v}) <> '')",
+           "states": f"count_if(upper(trim({v})) IN ({codes}) OR lower(trim({v})) IN ({names}))",
+           "persons": f"count_if(trim({v}) RLIKE {num.sql_literal(rules.PERSON_NAME_PATTERN)})"}
+    return row | {kind: f"count_if({v} RLIKE {num.sql_literal(p)})" for kind, p in rules.PII_VALUE_PATTERNS}
+
+
+def value_facts(df: DataFrame, top: int = TOP_K, samples: int = 3) -> DataFrame:
+    """One row per column with values: distinct count, smallest value as text, top values, smallest samples.
+
+    All three come from one count of distinct values.  Rank filters are pushed below the
+    shuffle, so a ranking task gets a few rows per column and task, never all values.
+    """
+    df = stats.normalize_nan(df)
+    counted = stats.value_counts(df, df.columns)
+    text = stats.value_text()
+    totals = counted.groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"), F.min(text).alias("smallest_text"))
+    frequent = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("txt"), F.asc("whole"), F.asc("real"))
+    smallest = Window.partitionBy("ordinal").orderBy("whole", "real", "txt")
+
+    def first(w, k: int, name: str) -> DataFrame:
+        picked = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return picked.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("value"), "n"))).alias(name))
+
+    return (totals.join(first(frequent, top, "top"), "ordinal", "left").join(first(smallest, samples, "samples"), "ordinal", "left"))
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -21,7 +96,7 @@ def overview(df: DataFrame) -> DataFrame:
     filled cells times its size, so the data is shuffled once.
     """
     df = stats.normalize_nan(df)
-    filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("long") for c in _groupable(df)])
+    filled = F.expr(" + ".join(f"CAST({ident(c)} IS NOT NULL AS BIGINT)" for c in df.columns))
     width = len(df.columns)
     groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     totals = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
@@ -33,20 +108,15 @@ def overview(df: DataFrame) -> DataFrame:
         num.percentage(F.col("filled"), F.col("row_count") * width).alias("completeness"))
 
 
-def _groupable(df: DataFrame) -> list[str]:
-    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+def _distinct(df: DataFrame, values: DataFrame | None, approx: bool = False) -> DataFrame:
+    source = stats.distinct_counts(stats.normalize_nan(df), df.columns, approx) if values is None else values
+    return source.select("ordinal", "unique_count")
 
 
-def columns(df: DataFrame, approx: bool = False) -> DataFrame:
+def columns(df: DataFrame, approx: bool = False, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """Per column: ordinal, column, dtype, row_count, null_count, null_pct, unique_count."""
-    df = stats.normalize_nan(df)
-    names = df.columns
-    base = stats.long_stats(df, [
-        {"ordinal": F.lit(i), "column": F.lit(f.name), "dtype": F.lit(num.type_family(f.dataType)),
-         "row_count": F.count(F.lit(1)), "null_count": F.count_if(quoted(f.name).isNull())}
-        for i, f in enumerate(df.schema)])
-    distinct = stats.distinct_counts(df, names, approx).select("ordinal", "unique_count")
-    return (base.join(distinct, "ordinal", "left")
+    facts = column_facts(df, ()) if facts is None else facts
+    return (facts.join(_distinct(df, values, approx), "ordinal", "left")
             .select("ordinal", "column", "dtype", "row_count", "null_count",
                     num.percentage(F.col("null_count"), F.col("row_count")).alias("null_pct"),
                     F.coalesce("unique_count", F.lit(0)).alias("unique_count")))
@@ -60,66 +130,62 @@ def numeric(df: DataFrame, names: list[str] | None = None, approx: bool = False,
     rows = []
     for ordinal, name in enumerate(names):
         q1, q2, q3 = quartiles[name]
-        v = quoted(name).cast("double")
-        n = F.count(v).cast("double")
-        fixed = [F.lit(x).cast("double") for x in (q1, q2, q3)]
-        outside = (v < q1 - rules.IQR_FACTOR * (q3 - q1)) | (v > q3 + rules.IQR_FACTOR * (q3 - q1)) if q1 is not None else F.lit(None)
+        v = f"CAST({ident(name)} AS DOUBLE)"
+        known = q1 is not None
+        low, high = (q1 - rules.IQR_FACTOR * (q3 - q1), q3 + rules.IQR_FACTOR * (q3 - q1)) if known else (0.0, 0.0)
+        m = _number_facts(v)
         rows.append({
-            "ordinal": F.lit(ordinal), "column": F.lit(name), "mean": F.round(F.avg(v), 4),
-            "median": F.round(fixed[1], 4), "std": F.round(F.stddev_samp(v), 4), "min": F.min(v), "max": F.max(v),
-            "q1": F.round(fixed[0], 4), "q3": F.round(fixed[2], 4), "iqr": F.round(fixed[2] - fixed[0], 4),
-            "outlier_count": F.count_if(outside),
-            # Spark's skewness is the population one; the factor makes it the sample one.
-            "skewness": F.round(F.when(n > 2, F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)), 4),
-        })
+            "ordinal": str(ordinal), "column": num.sql_literal(name), "mean": f"round({m['mean']}, 4)", "median": _rounded(q2),
+            "std": f"round({m['std']}, 4)", "min": m["min"], "max": m["max"], "q1": _rounded(q1), "q3": _rounded(q3),
+            "iqr": _rounded(q3 - q1 if known else None),
+            "outlier_count": f"count_if({v} < {low!r}D OR {v} > {high!r}D)", "skewness": f"round({m['skewness']}, 4)"})
     return stats.long_stats(df, rows)
 
 
-def strings(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Per string column: length statistics, empty values, whether it looks like an identifier."""
-    names = names or stats.columns_of(df, num.is_text)
-    lengths = stats.long_stats(df, [
-        {"ordinal": F.lit(i), "column": F.lit(c), "avg_length": F.round(F.avg(F.length(quoted(c))), 2),
-         "min_length": F.min(F.length(quoted(c))), "max_length": F.max(F.length(quoted(c))),
-         "empty_count": F.count_if(quoted(c) == ""), "row_count": F.count(F.lit(1))}
-        for i, c in enumerate(names)])
-    distinct = stats.distinct_counts(df, names).select("ordinal", "unique_count")
-    unique = F.coalesce(F.col("unique_count"), F.lit(0))
-    return (lengths.join(distinct, "ordinal", "left")
-            .select("ordinal", "column", "avg_length", "min_length", "max_length", "empty_count",
-                    F.coalesce(F.try_divide(unique.cast("double"), F.col("row_count").cast("double")) > rules.ID_UNIQUE_RATIO,
-                               F.lit(False)).alias("looks_like_id")))
-
-
-def moments_in_time(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Per date or time column: first, last, and whole elapsed days between them."""
-    names = names or stats.columns_of(df, num.is_moment)
-    spans = stats.long_stats(df, [
-        {"ordinal": F.lit(i), "column": F.lit(c), "min_date": F.min(quoted(c)).cast("timestamp_ntz"),
-         "max_date": F.max(quoted(c)).cast("timestamp_ntz")} for i, c in enumerate(names)])
-    return spans.withColumn("range_days", num.age_days(F.col("min_date"), F.col("max_date")))
+def _rounded(x: float | None) -> str:
+    return "CAST(NULL AS DOUBLE)" if x is None else f"round({x!r}D, 4)"
 
 
-def top_values(df: DataFrame, names: list[str] | None = None, k: int = 5) -> DataFrame:
-    """The k most frequent values of each string column; ties by value.
+def strings(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """Per string column: length statistics, empty values, whether it looks like an identifier."""
+    if facts is None:
+        df = df.select(*[quoted(c) for c in stats.columns_of(df, num.is_text)])
+        facts = column_facts(df, ("lengths",))
+    share = F.try_divide(F.coalesce("unique_count", F.lit(0)).cast("double"), F.col("row_count").cast("double"))
+    return (facts.filter("dtype = 'VARCHAR'").join(_distinct(df, values), "ordinal", "left")
+            .select("ordinal", "column", F.round("avg_length", 2).alias("avg_length"), "min_length", "max_length", "empty_count",
+                    F.coalesce(share > rules.ID_UNIQUE_RATIO, F.lit(False)).alias("looks_like_id")))
 
-    The rank filter is pushed below the shuffle, so each task sends at most k rows
-    per column to the ranking task, however many distinct values there are.
-    """
-    names = names or stats.columns_of(df, num.is_text)
+
+def moments_in_time(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Per date or time column: first, last, and whole elapsed days between them."""
+    if facts is None:
+        facts = column_facts(df.select(*[quoted(c) for c in stats.columns_of(df, num.is_moment)]), ("dates",))
+    return (facts.filter("dtype = 'TIMESTAMP'").select("ordinal", "column", "min_date", "max_date")
+            .withColumn("range_days", num.age_days(F.col("min_date"), F.col("max_date"))))
+
+
+def top_values(df: DataFrame, k: int = TOP_K, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """The k most frequent values of each string column; ties by value."""
+    if values is not None:
+        texts = facts.filter("dtype = 'VARCHAR'").select("ordinal")
+        return (values.join(texts, "ordinal", "left_semi").select("column", F.inline("top"))
+                .select("column", "rank", "value", F.col("n").alias("occurrences")))
+    names = stats.columns_of(df, num.is_text)
     w = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("txt"))
     return (stats.value_counts(df.select(*[quoted(c) for c in names]), names)
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("column", "rank", F.col("txt").alias("value"), F.col("n").alias("occurrences")))
 
 
-def issues(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def issues(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """High null rates, constant columns and possible identifiers: ordinal, column, issue, severity, detail."""
-    df = stats.normalize_nan(df)
-    base = columns(df) if base is None else base
-    only = (stats.value_counts(df, df.columns).groupBy("ordinal")
-            .agg(F.count(F.lit(1)).alias("k"), F.min(stats.value_text()).alias("only_value"))
-            .filter("k = 1").select("ordinal", "only_value"))
+    if values is None:
+        plain = stats.normalize_nan(df)
+        values = stats.value_counts(plain, plain.columns).groupBy("ordinal").agg(
+            F.count(F.lit(1)).alias("unique_count"), F.min(stats.value_text()).alias("smallest_text"))
+    facts = column_facts(df, ()) if facts is None else facts
+    base = facts.join(values.select("ordinal", "unique_count", "smallest_text"), "ordinal", "left")
     null_share = F.try_divide(F.col("null_count") * 100.0, F.col("row_count").cast("double"))
     unique_share = F.try_divide(F.col("unique_count").cast("double"), F.col("row_count").cast("double"))
 
@@ -131,13 +197,12 @@ def issues(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
                issue("high_null_rate", F.when(null_share > rules.CRITICAL_NULL_PCT, "critical").otherwise("warning"),
                      F.concat(F.round(null_share, 1).cast("string"), F.lit("% null")))),
         F.when(F.col("unique_count") == 1,
-               issue("constant_column", F.lit("info"), F.concat(F.lit("Only value: "), F.col("only_value")))),
+               issue("constant_column", F.lit("info"), F.concat(F.lit("Only value: "), F.col("smallest_text")))),
         F.when((unique_share > rules.ID_UNIQUE_RATIO) & (F.col("dtype") == "VARCHAR"),
                issue("possible_id_column", F.lit("info"),
                      F.concat(F.col("unique_count").cast("string"), F.lit(" unique out of "),
                               F.col("row_count").cast("string"), F.lit(" rows"))))))
-    return (base.join(only, "ordinal", "left").select("ordinal", "column", F.explode(found).alias("x"))
-            .select("ordinal", "column", "x.issue", "x.severity", "x.detail"))
+    return base.select("ordinal", "column", F.inline(found))
 
 
 def correlations(df: DataFrame, names: list[str] | None = None, above: float = rules.STRONG_CORRELATION,
@@ -145,9 +210,8 @@ def correlations(df: DataFrame, names: list[str] | None = None, above: float = r
     """Pearson r of every pair of numeric columns once, kept where ``|r| > above``."""
     df = stats.normalize_nan(df)
     names = names or stats.columns_of(df, num.is_number)
-    pairs = [{"column_1": F.lit(a), "column_2": F.lit(b),
-              "correlation": F.corr(quoted(a).cast("double"), quoted(b).cast("double"))}
-             for a, b in combinations(names, 2)]
+    pairs = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b),
+              "correlation": f"corr(CAST({ident(a)} AS DOUBLE), CAST({ident(b)} AS DOUBLE))"} for a, b in combinations(names, 2)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_1 string, column_2 string, correlation double")
     r = F.col("correlation")
@@ -155,60 +219,99 @@ def correlations(df: DataFrame, names: list[str] | None = None, above: float = r
             .withColumn("correlation", F.round(r, digits)))
 
 
-def pii_columns(df: DataFrame) -> DataFrame:
-    """Columns that look like personal data: column, reason, confidence.  Every value is examined."""
-    codes = [abbr for _, abbr, _ in rules.STATES]
-    state_names = [name.lower() for _, _, name in rules.STATES]
-    rows = []
-    for i, f in enumerate(df.schema):
-        v = stats.as_text(quoted(f.name), f.dataType)
-        trimmed = F.trim(v)
-        row = {"ordinal": F.lit(i), "column": F.lit(f.name), "n": F.count(v), "filled": F.count_if(trimmed != ""),
-               "states": F.count_if(F.upper(trimmed).isin(codes) | F.lower(trimmed).isin(state_names)),
-               "persons": F.count_if(trimmed.rlike(rules.PERSON_NAME_PATTERN))}
-        for kind, pattern in rules.PII_VALUE_PATTERNS:
-            row[kind] = F.count_if(v.rlike(pattern))
-        rows.append(row)
-    found = stats.long_stats(df, rows)
+def pii_columns(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Columns that look like personal data: column, reason, confidence.  Every value is examined.
+
+    Guards in order: mostly state names is geography; a clear name; values that match a
+    pattern; an unclear name backed by values that look like person names.
+    """
+    facts = column_facts(df, ("pii",)) if facts is None else facts
     low = F.lower("column")
 
-    def mostly(hits: str) -> Column:
-        return (F.col("filled") > 0) & (F.try_divide(F.col(hits).cast("double"), F.col("filled").cast("double")) >= rules.PII_MOSTLY_RATIO)
+    def share(hits: str, of: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(hits).cast("double"), F.col(of).cast("double")), F.lit(0.0))
 
     def verdict(reason: str, confidence: str) -> Column:
         return F.struct(F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"))
 
-    share = {k: F.try_divide(F.col(k).cast("double"), F.col("n").cast("double")) for k, _ in rules.PII_VALUE_PATTERNS}
     weak = F.coalesce(*[F.when(low.contains(h), verdict(f"name_hint:{h}", "medium")) for h in rules.PII_WEAK_HINTS])
-    decision = F.when(~mostly("states"), F.coalesce(
+    decision = F.when(share("states", "filled") < rules.PII_MOSTLY_RATIO, F.coalesce(
         *[F.when(low.contains(h), verdict(f"name_hint:{h}", "high")) for h in rules.PII_STRONG_HINTS],
-        *[F.when(share[k] > rules.PII_VALUE_RATIO, verdict(f"value_pattern:{k}", "medium")) for k, _ in rules.PII_VALUE_PATTERNS],
-        F.when(mostly("persons"), weak)))
-    return (found.withColumn("x", decision).filter(F.col("x").isNotNull())
+        *[F.when(share(k, "values_n") > rules.PII_VALUE_RATIO, verdict(f"value_pattern:{k}", "medium")) for k, _ in rules.PII_VALUE_PATTERNS],
+        F.when(share("persons", "filled") >= rules.PII_MOSTLY_RATIO, weak)))
+    return (facts.withColumn("x", decision).filter(F.col("x").isNotNull())
             .select("ordinal", "column", "x.reason", "x.confidence"))
 
 
-def full(df: DataFrame, approx: bool = False) -> dict[str, DataFrame]:
-    """Every profile table of one dataset."""
-    tables = {"overview": overview(df), "columns": columns(df, approx), "issues": issues(df),
-              "correlations": correlations(df), "pii_columns": pii_columns(df)}
-    if stats.columns_of(df, num.is_number):
-        tables["numeric"] = numeric(df, approx=approx)
-    if stats.columns_of(df, num.is_text):
-        tables["strings"] = strings(df)
-        tables["top_values"] = top_values(df)
-    if stats.columns_of(df, num.is_moment):
-        tables["moments"] = moments_in_time(df)
-    return tables
-
-
-def as_facts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Profile tables as one long table: section, column, metric, value (text)."""
-    parts = []
-    for section, table in tables.items():
-        label = F.col("column") if "column" in table.columns else F.lit("")
-        metrics = [c for c in table.columns if c not in ("ordinal", "column")]
-        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").alias("value")) for m in metrics])
-        parts.append(table.select(F.lit(section).alias("section"), label.alias("column"), F.explode(cells).alias("x"))
-                     .select("section", "column", "x.metric", "x.value"))
-    return reduce(DataFrame.unionByName, parts)
+class Profile:
+    """Every profile table of one dataset, computed when first asked for.
+
+    The two fact tables are staged on first use; all sections but the overview, the
+    quartiles and the correlations are projections of them.
+    """
+
+    def __init__(self, df: DataFrame, approx: bool = False):
+        self.df, self.approx = df, approx
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return stage(column_facts(self.df), "column-facts")
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return stage(value_facts(self.df), "value-facts")
+
+    @cached_property
+    def rows(self) -> int:
+        return self.facts.agg(F.max("row_count").alias("n")).first()["n"]
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        return overview(self.df)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return columns(self.df, facts=self.facts, values=None if self.approx else self.values, approx=self.approx)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return issues(self.df, self.facts, self.values)
+
+    @cached_property
+    def correlations(self) -> DataFrame:
+        return correlations(self.df)
+
+    @cached_property
+    def pii_columns(self) -> DataFrame:
+        return pii_columns(self.df, self.facts)
+
+    @cached_property
+    def numeric(self) -> DataFrame | None:
+        return numeric(self.df, approx=self.approx, at_most_rows=self.rows) if stats.columns_of(self.df, num.is_number) else None
+
+    @cached_property
+    def strings(self) -> DataFrame:
+        return strings(self.df, self.facts, self.values)
+
+    @cached_property
+    def top_values(self) -> DataFrame:
+        return top_values(self.df, facts=self.facts, values=self.values)
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        return moments_in_time(self.df, self.facts)
+
+    SECTIONS = ("overview", "columns", "numeric", "strings", "moments", "issues", "correlations", "pii_columns", "top_values")
+
+    def tables(self) -> dict[str, DataFrame]:
+        named = {s: getattr(self, s) for s in self.SECTIONS}
+        return {s: table for s, table in named.items() if table is not None}
+
+    def as_facts(self) -> DataFrame:
+        """All sections as one long table: section, column, metric, value (text)."""
+        parts = []
+        for section, table in self.tables().items():
+            label = "column" if "column" in table.columns else "CAST('' AS STRING) AS column"
+            cells = ", ".join(f"named_struct('metric', '{m}', 'value', CAST({ident(m)} AS STRING))" for m in table.columns if m not in ("ordinal", "column"))
+            parts.append(table.selectExpr(f"'{section}' AS section", label, f"inline(array({cells}))"))
+        return reduce(DataFrame.unionByName, parts)

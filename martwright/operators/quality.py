@@ -33,17 +33,16 @@ def _text(*parts) -> Column:
 def column_stats(df: DataFrame) -> DataFrame:
     """Everything the per-column checks need, in one pass over the data: one row per column."""
     df = stats.normalize_nan(df)
-    nothing = F.lit(None)
     rows = []
     for i, f in enumerate(df.schema):
-        c, is_number = quoted(f.name), num.is_number(f.dataType)
-        v = c.cast("double")
+        c, is_number = stats.ident(f.name), num.is_number(f.dataType)
+        v = f"CAST({c} AS DOUBLE)"
         rows.append({
-            "i": F.lit(i), "column": F.lit(f.name), "n": F.count(F.lit(1)), "filled": F.count(c),
-            "numbers": F.count(num.safe_numeric(c)) if num.is_text(f.dataType) else nothing.cast("long"),
-            "negatives": F.count_if(v < 0) if is_number else nothing.cast("long"),
-            "mean": F.avg(v) if is_number else nothing.cast("double"),
-            "std": F.stddev_samp(v) if is_number else nothing.cast("double")})
+            "i": str(i), "column": num.sql_literal(f.name), "n": "count(1)", "filled": f"count({c})",
+            "numbers": f"count({num.safe_numeric_sql(c)})" if num.is_text(f.dataType) else "CAST(NULL AS BIGINT)",
+            "negatives": f"count_if({v} < 0)" if is_number else "CAST(NULL AS BIGINT)",
+            "mean": f"avg({v})" if is_number else "CAST(NULL AS DOUBLE)",
+            "std": f"stddev_samp({v})" if is_number else "CAST(NULL AS DOUBLE)"})
     return stats.long_stats(df, rows)
 
 
@@ -101,8 +100,8 @@ def extreme_outliers(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     seen = column_stats(df) if seen is None else seen
     # One row per column reaches the driver; the second pass over the data then needs no join.
     spread = seen.filter("std > 0").select("i", "column", "mean", "std").collect()
-    rows = [{"i": F.lit(r["i"]), "column": F.lit(r["column"]),
-             "bad": F.count_if(F.abs((quoted(r["column"]).cast("double") - r["mean"]) / r["std"]) > rules.EXTREME_STD)}
+    rows = [{"i": str(r["i"]), "column": num.sql_literal(r["column"]),
+             "bad": f"count_if(abs((CAST({stats.ident(r['column'])} AS DOUBLE) - {r['mean']!r}D) / {r['std']!r}D) > {rules.EXTREME_STD})"}
             for r in spread]
     if not rows:
         return _no_checks(df)

@@ -35,13 +35,13 @@ def plan_size_bytes(df: DataFrame) -> int:
 
 def normalize_nan(df: DataFrame) -> DataFrame:
     """NaN in floating columns becomes null; other columns pass untouched."""
-    floats = {f.name: num.no_nan(quoted(f.name)) for f in df.schema
+    floats = {f.name: F.expr(f"CASE WHEN NOT isnan({ident(f.name)}) THEN {ident(f.name)} END") for f in df.schema
               if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     return df.withColumns(floats) if floats else df
 
 
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(ident(name))
 
 
 def columns_of(df: DataFrame, test) -> list[str]:
@@ -53,21 +53,34 @@ def chunks(items: list, size: int) -> Iterable[list]:
         yield items[start:start + size]
 
 
-def long_stats(df: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
+def ident(name: str) -> str:
+    """A column name as expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def long_stats(df: DataFrame, rows: list[dict[str, Column | str]]) -> DataFrame:
     """Evaluate aggregates in one pass and return them as rows.
 
-    Each dict is one output row: constant columns (``F.lit``) and aggregates.
+    Each dict is one output row of constants and aggregates, given as columns or, for
+    tables with many columns, as expression text (one parse instead of a call per node).
     """
     parts = []
     for group in chunks(rows, max(1, EXPRESSIONS_PER_JOB // max(1, len(rows[0])))):
-        structs = [F.struct(*[c.alias(name) for name, c in row.items()]) for row in group]
-        parts.append(df.agg(F.array(*structs).alias("rows")).select(F.inline("rows")))
+        if all(isinstance(c, str) for row in group for c in row.values()):
+            packed = F.expr("array(" + ", ".join(_named_struct(row) for row in group) + ")")
+        else:
+            packed = F.array(*[F.struct(*[c.alias(name) for name, c in row.items()]) for row in group])
+        parts.append(df.agg(packed.alias("rows")).select(F.inline("rows")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
+def _named_struct(row: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"{num.sql_literal(name)}, {text}" for name, text in row.items()) + ")"
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Occurrences of every distinct non-null value: ordinal, column, whole, real, txt, n.
 
@@ -78,24 +91,21 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema}
     cells = []
     for ordinal, name in enumerate(columns):
-        c, t = quoted(name), types[name]
-        whole = c.cast("long") if num.is_integral(t) else F.lit(None).cast("long")
-        real = c.cast("double") + F.lit(0.0) if num.is_fractional(t) else F.lit(None).cast("double")
-        txt = F.lit(None).cast("string") if num.is_number(t) else as_text(c, t)
-        cells.append(F.struct(F.lit(ordinal).alias("ordinal"), F.lit(name).alias("column"),
-                              whole.alias("whole"), real.alias("real"), txt.alias("txt")))
-    return (df.select(F.inline(F.array(*cells)))
-            .filter(F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("txt").isNotNull(), F.lit(False)))
+        c, t = ident(name), types[name]
+        whole = f"CAST({c} AS BIGINT)" if num.is_integral(t) else "CAST(NULL AS BIGINT)"
+        real = f"CAST({c} AS DOUBLE) + 0.0D" if num.is_fractional(t) else "CAST(NULL AS DOUBLE)"
+        text = "CAST(NULL AS STRING)" if num.is_number(t) else text_sql(c, t)
+        cells.append(_named_struct({"ordinal": str(ordinal), "column": num.sql_literal(name), "whole": whole, "real": real, "txt": text}))
+    return (df.selectExpr(f"inline(array({', '.join(cells)}))")
+            .filter("whole IS NOT NULL OR real IS NOT NULL OR txt IS NOT NULL")
             .groupBy("ordinal", "column", "whole", "real", "txt").agg(F.count(F.lit(1)).alias("n")))
 
 
-def as_text(c: Column, t: T.DataType) -> Column:
-    """Text form of a value of any type."""
+def text_sql(c: str, t: T.DataType) -> str:
+    """Text form of a value of any type, as expression text."""
     if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(c)
-    if isinstance(t, T.BinaryType):
-        return F.hex(c)
-    return c.cast("string")
+        return f"to_json({c})"
+    return f"hex({c})" if isinstance(t, T.BinaryType) else f"CAST({c} AS STRING)"
 
 
 def value_text() -> Column:
@@ -106,9 +116,8 @@ def value_text() -> Column:
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values per column: ordinal, column, unique_count."""
     if approx:
-        return long_stats(df, [{"ordinal": F.lit(i), "column": F.lit(c),
-                                "unique_count": F.approx_count_distinct(quoted(c))}
-                               for i, c in enumerate(columns)])
+        return long_stats(df, [{"ordinal": str(i), "column": num.sql_literal(c),
+                                "unique_count": f"approx_count_distinct({ident(c)})"} for i, c in enumerate(columns)])
     return value_counts(df, columns).groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
@@ -122,14 +131,15 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 # --- exact quantiles -------------------------------------------------------------------------------
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: bool = False,
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: bool = False, at_most_rows: int | None = None,
               percentile_rows: int = PERCENTILE_ROWS, bracket_rows: int = BRACKET_ROWS) -> dict[str, list[float | None]]:
     """Interpolated quantiles of several numeric columns; only scalars reach the driver.
 
     Small inputs use the built-in exact percentile.  It keeps a map of all distinct
     values in one task, so larger inputs narrow brackets around the wanted ranks
     instead: each pass is one map-side-combined aggregate over the data, and cuts a
-    bracket by a factor of about 250 until it is small enough to sort.
+    bracket by a factor of about 250 until it is small enough to sort.  A caller that
+    knows a bound on the rows passes ``at_most_rows`` and saves the counting pass.
     """
     if not columns:
         return {}
@@ -137,14 +147,14 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: boo
         row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), probs, _ACCURACY).alias(f"q{i}")
                        for i, c in enumerate(columns)]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-    values = df.select(*[quoted(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    values = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)])
+    if at_most_rows is not None and at_most_rows <= percentile_rows:
+        return _percentiles(values, columns, probs)
     total = values.agg(*[f(f"v{i}").alias(f"{tag}{i}") for i in range(len(columns))
                          for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     counts = [total[f"n{i}"] for i in range(len(columns))]
     if max(counts) <= percentile_rows:
-        row = values.agg(*[F.percentile(f"v{i}", F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
-                           for i in range(len(columns))]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+        return _percentiles(values, columns, probs)
     wanted = {(i, rank) for i, n in enumerate(counts) if n for p in probs
               for rank in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
     brackets = {key: (total[f"lo{key[0]}"], total[f"hi{key[0]}"]) for key in wanted}
@@ -162,6 +172,12 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: boo
     return result
 
 
+def _percentiles(values: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    at = ", ".join(f"{p}D" for p in probs)
+    row = values.agg(*[F.expr(f"percentile(v{i}, array({at})) AS q{i}") for i in range(len(columns))]).first()
+    return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+
+
 def _order_statistics(values: DataFrame, brackets: dict, bracket_rows: int) -> dict:
     """The value at each (column, rank); ``brackets`` holds bounds known to enclose it."""
     found: dict = {}

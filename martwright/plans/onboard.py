@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +21,37 @@ from martwright.sources import files, tables
 Progress = Callable[[str, str], None]
 
 
+class Documents:
+    """Documentation of a cleaned dataset, computed when first asked for."""
+
+    def __init__(self, clean_df: DataFrame, profiled: profile.Profile, checks: DataFrame, lineage: DataFrame):
+        self._clean, self._profile, self._checks, self.lineage = clean_df, profiled, checks, lineage
+
+    @cached_property
+    def dictionary(self) -> DataFrame:
+        return docs.data_dictionary(self._clean)
+
+    @cached_property
+    def schema(self) -> DataFrame:
+        return docs.logical_schema(self._clean)
+
+    @cached_property
+    def triage(self) -> DataFrame:
+        return quality.triage(self._profile.issues, self._checks)
+
+
 @dataclass
 class OnboardResult:
     """What one onboarding produced.  Every table is a DataFrame."""
 
     table_name: str
-    profile: dict[str, DataFrame]
+    profile: profile.Profile
     clean: DataFrame
     counts: dict[str, int]
     log: DataFrame
     checks: DataFrame
     summary: DataFrame
-    docs: dict[str, DataFrame]
+    docs: Documents
     grade: str
     score: float
     gate_blocked: bool
@@ -53,7 +73,7 @@ def onboard(spark: SparkSession, df: DataFrame, dataset: str, source_name: str =
     """
     started, clock = datetime.now(timezone.utc), time.monotonic()
     progress("profile", "starting")
-    profiled = profile.full(df, approx)
+    profiled = profile.Profile(df, approx)
     progress("profile", "done")
     progress("transform", "starting")
     cleaned = clean.transform(df, dataset, loaded_at, approx)
@@ -67,9 +87,8 @@ def onboard(spark: SparkSession, df: DataFrame, dataset: str, source_name: str =
     blocked = minimum_grade is not None and rules.GRADE_RANK[verdict["grade"]] < rules.GRADE_RANK.get(minimum_grade, 0)
     progress("document", "starting")
     name = txt.table_name_of(dataset)
-    nodes = docs.lineage_nodes(log, source_name or dataset, name, cleaned.counts["rows_before"], cleaned.counts["rows_after"])
-    documents = {"dictionary": docs.data_dictionary(cleaned.df), "schema": docs.logical_schema(cleaned.df), "lineage": nodes,
-                 "triage": quality.triage(profiled["issues"], checks)}
+    documents = Documents(cleaned.df, profiled, checks, docs.lineage_nodes(
+        log, source_name or dataset, name, cleaned.counts["rows_before"], cleaned.counts["rows_after"]))
     progress("document", "done")
     rows_loaded = None
     if load and not blocked:
@@ -86,7 +105,7 @@ def onboard(spark: SparkSession, df: DataFrame, dataset: str, source_name: str =
 
 def record(spark: SparkSession, result: OnboardResult, folder: str) -> str:
     """Append the run and its artifacts to the history folder."""
-    artifacts = {"profile": profile.as_facts(result.profile), "scorecard": result.checks, "dictionary": result.docs["dictionary"]}
+    artifacts = {"profile": result.profile.as_facts(), "scorecard": result.checks, "dictionary": result.docs.dictionary}
     return history.record_run(spark, folder, result.run, artifacts)
 
 
