@@ -403,10 +403,10 @@ def logical_schema(t: Bench) -> DataFrame:
     return schema.join(docs.type_counts(schema), "data_type")
 
 
-_NODES = f"""nodes AS (SELECT * FROM (VALUES (1, 'transform', 'standardize_columns'), (2, 'transform', 'remove_duplicates'), (3, 'transform', 'convert_types'), (4, 'transform', 'handle_nulls'),
+_NODES = """nodes AS (SELECT 'orders' AS run_id, * FROM (SELECT * FROM (VALUES (1, 'transform', 'standardize_columns'), (2, 'transform', 'remove_duplicates'), (3, 'transform', 'convert_types'), (4, 'transform', 'handle_nulls'),
 (5, 'transform', 'clean_text_columns'), (6, 'transform', 'add_metadata_columns')) v(ordinal, kind, title), (SELECT CAST(NULL AS BIGINT) AS n_rows)
 UNION ALL SELECT 0, 'source', 'orders.csv', count(*) FROM dirty_orders UNION ALL SELECT 1000, 'table', 'orders', count(*) FROM (SELECT DISTINCT * FROM dirty_orders)
-UNION ALL SELECT 1001, 'mart', 'mart_orders', NULL)"""
+UNION ALL SELECT 1001, 'mart', 'mart_orders', NULL))"""
 
 
 def _nodes(t: Bench) -> DataFrame:
@@ -420,7 +420,7 @@ def lineage_nodes(t: Bench) -> DataFrame:
     return _nodes(t)
 
 
-@query("lineage_edges", f"""WITH {_NODES}, e AS (SELECT ordinal, title AS from_node, lead(title) OVER (ORDER BY ordinal) AS to_node FROM nodes) SELECT * FROM e WHERE to_node IS NOT NULL""")
+@query("lineage_edges", f"""WITH {_NODES}, e AS (SELECT run_id, ordinal, title AS from_node, lead(title) OVER (PARTITION BY run_id ORDER BY ordinal) AS to_node FROM nodes) SELECT * FROM e WHERE to_node IS NOT NULL""")
 def lineage_edges(t: Bench) -> DataFrame:
     return docs.lineage_edges(_nodes(t))
 

@@ -17,7 +17,7 @@ from martwright.functions import numeric as num
 from martwright.functions import text as txt
 from martwright.operators import stats
 from martwright.operators.stats import quoted
-from martwright.session import stage
+from martwright.session import rows_seen, stage
 
 STEPS = ("standardize_columns", "remove_duplicates", "convert_types", "handle_nulls", "clean_text_columns", "add_metadata_columns")
 UNKNOWN = "Unknown"
@@ -173,7 +173,7 @@ def transform(df: DataFrame, source: str, loaded_at: datetime | None = None, app
     n_rows = F.count(F.lit(1)).alias("n")
     rows = stage(remove_duplicates(renamed.observe(before, n_rows)).observe(after, n_rows), "deduplicated")
     counts = {"renamed": sum(a != b for a, b in zip(old, renamed.columns)), "columns": len(old),
-              "rows_before": before.get["n"], "rows_after": after.get["n"]}
+              "rows_before": rows_seen(before), "rows_after": rows_seen(after)}
     seen = read(rows)
     kinds = _conversions(rows, seen)
     typed = convert_types(rows, seen)

@@ -35,18 +35,21 @@ def type_counts(schema: DataFrame) -> DataFrame:
     return schema.groupBy("data_type").agg(F.count(F.lit(1)).alias("n_columns"))
 
 
-def lineage_nodes(log: DataFrame, source: str, table: str, rows_in: int, rows_out: int, mart: str | None = None) -> DataFrame:
+def lineage_nodes(log: DataFrame, source: str, table: str, rows_in: int, rows_out: int, mart: str | None = None,
+                  run_id: str | None = None) -> DataFrame:
     """The path of a dataset: source, each transform step, table and, if given, mart."""
     spark = log.sparkSession
-    steps = log.select(F.col("step").alias("ordinal"), F.lit("transform").alias("kind"), F.col("action").alias("title"),
+    run = F.lit(run_id or table).alias("run_id")
+    steps = log.select(run, F.col("step").alias("ordinal"), F.lit("transform").alias("kind"), F.col("action").alias("title"),
                        F.lit(None).cast("long").alias("n_rows"))
     ends = [(0, "source", source, rows_in), (1000, "table", table, rows_out)]
     if mart:
         ends.append((1001, "mart", mart, None))
-    return spark.createDataFrame(ends, "ordinal int, kind string, title string, n_rows long").unionByName(steps)
+    outer = spark.createDataFrame(ends, "ordinal int, kind string, title string, n_rows long")
+    return outer.select(run, "*").unionByName(steps)
 
 
 def lineage_edges(nodes: DataFrame) -> DataFrame:
-    """Edges between neighbouring nodes of one run (a handful of rows)."""
-    following = F.lead("title").over(Window.partitionBy(F.lit(1)).orderBy("ordinal"))
-    return nodes.select("ordinal", F.col("title").alias("from_node"), following.alias("to_node")).filter("to_node is not null")
+    """Edges between neighbouring nodes of each run (a run has a handful of nodes)."""
+    following = F.lead("title").over(Window.partitionBy("run_id").orderBy("ordinal"))
+    return nodes.select("run_id", "ordinal", F.col("title").alias("from_node"), following.alias("to_node")).filter("to_node IS NOT NULL")

@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martwright.functions import numeric as num
 from martwright.operators import stats
 
 N_BINS = 6
@@ -44,16 +45,17 @@ def top_bottom(mart: DataFrame, measure: str, spend: str, key: str, k: int = 3)
 
 def correlation(mart: DataFrame, a: str, b: str, digits: int = 3) -> DataFrame:
     """Pearson r over complete rows, when there are more than two: n, r."""
-    r = F.corr(a, b)
+    r = F.expr(stats.pearson_sql(stats.ident(a), stats.ident(b)))
     return complete(mart, [a, b]).agg(F.count(F.lit(1)).alias("n"), r.alias("r")).select(
-        "n", F.when((F.col("n") > 2) & ~F.isnan("r"), F.round("r", digits)).alias("r"))
+        "n", F.when(F.col("n") > 2, F.round("r", digits)).alias("r"))
 
 
 def pairwise(mart: DataFrame, columns: list[str], spend: str, digits: int = 3) -> DataFrame:
     """r of every pair of measures once, over rows complete in all of them: a, b, r."""
     rows = complete(mart, [*columns, spend])
-    pairs = [{"a": F.lit(a), "b": F.lit(b), "r": F.corr(a, b)} for a, b in combinations(columns, 2)]
-    return stats.long_stats(rows, pairs).withColumn("r", F.when(~F.isnan("r"), F.round("r", digits)))
+    pairs = [{"a": num.sql_literal(a), "b": num.sql_literal(b), "r": stats.pearson_sql(stats.ident(a), stats.ident(b))}
+             for a, b in combinations(columns, 2)]
+    return stats.long_stats(rows, pairs).withColumn("r", F.round("r", digits))
 
 
 def quadrant(mart: DataFrame, measure: str, spend: str) -> DataFrame:

@@ -21,7 +21,7 @@ def keep_codes(df: DataFrame, column: str, codes) -> DataFrame:
 
 def drop_codes(df: DataFrame, column: str, codes) -> DataFrame:
     """Rows whose code is not in the list; a missing code stays."""
-    return df.filter(F.coalesce(~F.col(column).isin(*codes), F.lit(True)))
+    return df.filter(F.col(column).isNull() | ~F.col(column).isin(*codes))
 
 
 def where_equal(df: DataFrame, wanted: Mapping[str, object | None]) -> DataFrame:

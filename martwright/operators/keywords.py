@@ -2,7 +2,8 @@
 
 Requests may be many and long; the catalogue is a dimension.  Words and four-letter
 windows of a request are exploded inside its task and probed against a size-checked
-broadcast of the catalogue, so no request text is ever shuffled.
+broadcast of the catalogue, so no request text is ever shuffled.  Lookup tables are
+materialised first: their true size, not an estimate of their source, is checked.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def catalog_words(catalog: DataFrame) -> DataFrame:
 
 def matches_catalog(requests: DataFrame, ids: list[str], text: str, catalog: DataFrame) -> DataFrame:
     """Whether a request shares a word with the catalogue or names a fixed column: ids, matched."""
-    words = stats.small_side(catalog_words(catalog).select(F.col("word").alias("token"), F.lit(True).alias("known")).distinct())
+    words = stats.dimension(catalog_words(catalog).select(F.col("word").alias("token"), F.lit(True).alias("known")).distinct())
     fixed = txt.contains_any(F.lower(text), rules.FIXED_COLUMN_TERMS)
     return (requests.select(*ids, fixed.alias("fixed"), F.explode_outer(txt.tokens(F.col(text))).alias("token"))
             .join(words, "token", "left").groupBy(*ids)
@@ -37,7 +38,7 @@ def suggest_metrics(requests: DataFrame, ids: list[str], text: str, metrics: Dat
     """
     words = metrics.select("metric_id", "ordinal", F.explode(key_ops.metric_words(F.col("meaning"))).alias("token"))
     hits = (requests.select(*ids, F.explode(key_ops.metric_words(F.col(text))).alias("token"))
-            .join(stats.small_side(words), "token").select(*ids, "ordinal", "metric_id").distinct())
+            .join(stats.dimension(words), "token").select(*ids, "ordinal", "metric_id").distinct())
     return _first_k(hits, ids, ["ordinal", "metric_id"], k).select(*ids, "position", "metric_id")
 
 
@@ -53,9 +54,9 @@ def pick_measures(requests: DataFrame, ids: list[str], text: str, catalog: DataF
         F.substring("word", 1, 4).alias("window"), "word", "question_id", (F.col("ordinal") + len(rules.MEASURE_SYNONYMS)).alias("place"))
     synonyms = (spark.createDataFrame([(i, term, q) for i, (term, q) in enumerate(rules.MEASURE_SYNONYMS)],
                                       "place long, word string, question_id string")
-                .join(stats.small_side(catalog.select("question_id")), "question_id", "left_semi")
+                .join(stats.dimension(catalog.select("question_id")), "question_id", "left_semi")
                 .select(F.substring("word", 1, 4).alias("window"), "word", "question_id", "place"))
-    lookup = stats.small_side(words.withColumn("place", F.col("place").cast("long")).unionByName(synonyms))
+    lookup = stats.dimension(words.withColumn("place", F.col("place").cast("long")).unionByName(synonyms))
     low = F.lower(text)
     windows = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=([a-z]{4}))"), F.lit(1)))
     found = (requests.select(*ids, low.alias("low"), F.explode(windows).alias("window")).join(lookup, "window")
@@ -74,7 +75,7 @@ def valid_measures(requests: DataFrame, request: str, ordinal: str, measure: str
     Repeats collapse before ranking, so a request's group is never larger than the catalogue.
     """
     named = requests.select(request, ordinal, F.upper(F.trim(measure)).alias("question_id"))
-    known = named.join(stats.small_side(catalog.select("question_id")), "question_id", "left_semi")
+    known = named.join(stats.dimension(catalog.select("question_id")), "question_id", "left_semi")
     once = known.groupBy(request, "question_id").agg(F.min(ordinal).alias("place"))
     return (_first_k(once, [request], ["place", "question_id"], k)
             .select(request, "position", "question_id", (F.col("position") == 1).alias("is_primary")))

@@ -70,15 +70,16 @@ def _pii_facts(v: str) -> dict[str, str]:
 
 
 def value_facts(df: DataFrame, top: int = TOP_K, samples: int = 3) -> DataFrame:
-    """One row per column with values: distinct count, smallest value as text, top values, smallest samples.
+    """One row per column with values: filled cells, distinct count, top values, smallest samples.
 
-    All three come from one count of distinct values.  Rank filters are pushed below the
-    shuffle, so a ranking task gets a few rows per column and task, never all values.
+    All come from one count of distinct values, whose shuffle the three branches share.
+    Rank filters are pushed below the next shuffle, so a ranking task gets a few rows per
+    column and task, never all values.
     """
     df = stats.normalize_nan(df)
     counted = stats.value_counts(df, df.columns)
     text = stats.value_text()
-    totals = counted.groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"), F.min(text).alias("smallest_text"))
+    totals = counted.groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("filled_count"))
     frequent = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("txt"), F.asc("whole"), F.asc("real"))
     smallest = Window.partitionBy("ordinal").orderBy("whole", "real", "txt")
 
@@ -180,12 +181,10 @@ def top_values(df: DataFrame, k: int = TOP_K, facts: DataFrame | None = None, va
 
 def issues(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """High null rates, constant columns and possible identifiers: ordinal, column, issue, severity, detail."""
-    if values is None:
-        plain = stats.normalize_nan(df)
-        values = stats.value_counts(plain, plain.columns).groupBy("ordinal").agg(
-            F.count(F.lit(1)).alias("unique_count"), F.min(stats.value_text()).alias("smallest_text"))
+    values = value_facts(df) if values is None else values
     facts = column_facts(df, ()) if facts is None else facts
-    base = facts.join(values.select("ordinal", "unique_count", "smallest_text"), "ordinal", "left")
+    only = F.element_at("samples", 1)["value"]
+    base = facts.join(values.select("ordinal", "unique_count", only.alias("only_value")), "ordinal", "left")
     null_share = F.try_divide(F.col("null_count") * 100.0, F.col("row_count").cast("double"))
     unique_share = F.try_divide(F.col("unique_count").cast("double"), F.col("row_count").cast("double"))
 
@@ -197,7 +196,7 @@ def issues(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | No
                issue("high_null_rate", F.when(null_share > rules.CRITICAL_NULL_PCT, "critical").otherwise("warning"),
                      F.concat(F.round(null_share, 1).cast("string"), F.lit("% null")))),
         F.when(F.col("unique_count") == 1,
-               issue("constant_column", F.lit("info"), F.concat(F.lit("Only value: "), F.col("smallest_text")))),
+               issue("constant_column", F.lit("info"), F.concat(F.lit("Only value: "), F.col("only_value")))),
         F.when((unique_share > rules.ID_UNIQUE_RATIO) & (F.col("dtype") == "VARCHAR"),
                issue("possible_id_column", F.lit("info"),
                      F.concat(F.col("unique_count").cast("string"), F.lit(" unique out of "),
@@ -211,7 +210,7 @@ def correlations(df: DataFrame, names: list[str] | None = None, above: float = r
     df = stats.normalize_nan(df)
     names = names or stats.columns_of(df, num.is_number)
     pairs = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b),
-              "correlation": f"corr(CAST({ident(a)} AS DOUBLE), CAST({ident(b)} AS DOUBLE))"} for a, b in combinations(names, 2)]
+              "correlation": stats.pearson_sql(ident(a), ident(b))} for a, b in combinations(names, 2)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_1 string, column_2 string, correlation double")
     r = F.col("correlation")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.functions import numeric as num
+from martwright.session import stage
 
 # A side is broadcast only when the optimizer's size estimate stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -28,6 +29,11 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if plan_size_bytes(df) <= BROADCAST_BYTES else df
 
 
+def dimension(df: DataFrame) -> DataFrame:
+    """Materialise a derived lookup table, so that its real size decides whether it is broadcast."""
+    return small_side(stage(df, "dimension"))
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -81,6 +87,16 @@ def _named_struct(row: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"{num.sql_literal(name)}, {text}" for name, text in row.items()) + ")"
 
 
+def pearson_sql(a: str, b: str) -> str:
+    """Pearson r over rows where both are present, as expression text; null when either is constant.
+
+    The built-in ``corr`` divides by zero on a constant column under ANSI rules.
+    """
+    a, b = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+    r = f"try_divide(regr_sxy({a}, {b}), sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})))"
+    return f"CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN {r} END"
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Occurrences of every distinct non-null value: ordinal, column, whole, real, txt, n.
 

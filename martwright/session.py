@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _STAGE_SUBDIR = "martwright_stage"
@@ -64,6 +65,14 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{_STAGE_SUBDIR}/{label}-{uuid.uuid4().hex}"
 
 
+def rows_seen(observation: Observation) -> int:
+    """The ``n`` metric of a finished job; 0 when the optimizer planned a known-empty input away with its metric."""
+    try:
+        return int(observation.get["n"])
+    except Py4JJavaError:
+        return 0
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder as parquet and return a DataFrame that reads it."""
     spark = df.sparkSession

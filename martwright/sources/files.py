@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright import rules
+from martwright.session import rows_seen
 
 SEPARATORS = (",", "\t", ";", "|")
 _SNIFF_LINES = 50
@@ -30,8 +31,7 @@ class Extract:
     @property
     def record_count(self) -> int:
         """Rows seen by the job that consumed the extract; -1 before any did."""
-        seen = self.observation
-        return int(seen.get["rows"]) if seen is not None and seen._jo is not None and _finished(seen) else -1
+        return rows_seen(self.observation) if self.observation is not None and _finished(self.observation) else -1
 
     def metadata(self) -> dict[str, object]:
         return {"name": self.name, "source_type": self.source_type,
@@ -45,7 +45,7 @@ def _finished(observation: Observation) -> bool:
 def observed(df: DataFrame, name: str, source_type: str) -> Extract:
     """Count the rows inside whichever job reads them, without a scan of its own."""
     seen = Observation()
-    return Extract(df.observe(seen, F.count(F.lit(1)).alias("rows")), name, source_type, observation=seen)
+    return Extract(df.observe(seen, F.count(F.lit(1)).alias("n")), name, source_type, observation=seen)
 
 
 def _nothing(spark: SparkSession, name: str, error: str) -> Extract:

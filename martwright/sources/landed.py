@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from martwright import rules
 from martwright.functions import numeric as num
 from martwright.operators import joins
+from martwright.session import stage
 
 EVENT_SCHEMA = """safetyreportid string, receivedate string, serious string, companynumb string,
 patient struct<patientonsetage: string, patientsex: string, patientweight: string,
@@ -115,8 +116,8 @@ def flat_events(df: DataFrame, json: str) -> DataFrame:
 
 def measure_catalog(raw: DataFrame) -> DataFrame:
     """Distinct measures that publish crude prevalence, by topic and question; defaults when there are none."""
-    found = (joins.where_equal(raw, {"datavaluetypeid": "CRDPREV"}).select("questionid", "question", "topic")
-             .dropna().distinct())
+    found = stage(joins.where_equal(raw, {"datavaluetypeid": "CRDPREV"}).select("questionid", "question", "topic")
+                  .dropna().distinct(), "catalog")
     if found.isEmpty():
         found = raw.sparkSession.createDataFrame(list(rules.DEFAULT_MEASURES), "questionid string, question string, topic string")
     return found.orderBy("topic", "question", "questionid")

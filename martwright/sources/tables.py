@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions import numeric as num
 from martwright.functions import text as txt
-from martwright.session import shared_folder
+from martwright.session import rows_seen, shared_folder
 
 AUDIT_SCHEMA = ("ts timestamp, task string, provider string, model string, latency_s double, prompt_chars long, "
                 "redaction_count long, success boolean")
@@ -26,14 +26,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def cached_pull(spark: SparkSession, folder: str, name: str, pull: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """Read the cached parquet, or pull, cache and read back.  An empty pull is returned but not cached."""
+    """Read the cached parquet, or pull, write and read back.  An empty cache never counts as a hit.
+
+    A pull runs once: it is written without asking first whether it is empty.
+    """
     path = f"{folder.rstrip('/')}/{name}.parquet"
     if not refresh and path_exists(spark, f"{path}/_SUCCESS"):
-        return spark.read.parquet(path)
-    fresh = pull()
-    if fresh.isEmpty():
-        return fresh
-    fresh.write.mode("overwrite").parquet(path)
+        cached = spark.read.parquet(path)
+        if not cached.isEmpty():
+            return cached
+    pull().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -43,9 +45,9 @@ def load_table(df: DataFrame, name: str, folder: str | None = None) -> int:
     seen = Observation()
     location = f"{(folder or shared_folder(spark)).rstrip('/')}/tables/{name}"
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-    (df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("path", location)
+    (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("path", location)
      .format("parquet").saveAsTable(f"`{name}`"))
-    return int(seen.get["rows"])
+    return rows_seen(seen)
 
 
 def drop_dataset(spark: SparkSession, name: str, history: DataFrame, history_path: str) -> DataFrame:
