@@ -39,13 +39,13 @@ def safe_numeric_sql(c: str) -> str:
 def safe_timestamp(c: Column) -> Column:
     """Text to a wall-clock timestamp; unreadable text becomes null."""
     tries = [F.try_to_timestamp(F.trim(c), F.lit(layout)) for layout in DATETIME_LAYOUTS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return F.when(c.rlike(r"\d"), F.coalesce(*tries)).cast("timestamp_ntz")
 
 
 def safe_timestamp_sql(c: str) -> str:
     """``safe_timestamp`` as expression text."""
     tries = ", ".join(f"try_to_timestamp(trim({c}), {sql_literal(layout)})" for layout in DATETIME_LAYOUTS)
-    return f"CAST(coalesce({tries}) AS TIMESTAMP_NTZ)"
+    return f"CAST(CASE WHEN {c} RLIKE '[0-9]' THEN coalesce({tries}) END AS TIMESTAMP_NTZ)"
 
 
 def blank_to_null(c: Column) -> Column:

@@ -25,8 +25,11 @@ def catalog_words(catalog: DataFrame) -> DataFrame:
 def matches_catalog(requests: DataFrame, ids: list[str], text: str, catalog: DataFrame) -> DataFrame:
     """Whether a request shares a word with the catalogue or names a fixed column: ids, matched."""
     words = stats.dimension(catalog_words(catalog).select(F.col("word").alias("token"), F.lit(True).alias("known")).distinct())
-    fixed = txt.contains_any(F.lower(text), rules.FIXED_COLUMN_TERMS)
-    return (requests.select(*ids, fixed.alias("fixed"), F.explode_outer(txt.tokens(F.col(text))).alias("token"))
+    fixed = txt.contains_any(F.col("low"), rules.FIXED_COLUMN_TERMS)
+    # Whatever is computed per request is computed before the explode, once per request.
+    per_request = (requests.select(*ids, F.lower(text).alias("low"))
+                   .select(*ids, fixed.alias("fixed"), txt.tokens(F.col("low")).alias("tokens")))
+    return (per_request.select(*ids, "fixed", F.explode_outer("tokens").alias("token"))
             .join(words, "token", "left").groupBy(*ids)
             .agg(F.max(F.col("fixed") | F.coalesce("known", F.lit(False))).alias("matched")))
 
@@ -57,9 +60,9 @@ def pick_measures(requests: DataFrame, ids: list[str], text: str, catalog: DataF
                 .join(stats.dimension(catalog.select("question_id")), "question_id", "left_semi")
                 .select(F.substring("word", 1, 4).alias("window"), "word", "question_id", "place"))
     lookup = stats.dimension(words.withColumn("place", F.col("place").cast("long")).unionByName(synonyms))
-    low = F.lower(text)
-    windows = F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=([a-z]{4}))"), F.lit(1)))
-    found = (requests.select(*ids, low.alias("low"), F.explode(windows).alias("window")).join(lookup, "window")
+    windows = F.array_distinct(F.regexp_extract_all(F.col("low"), F.lit(r"(?=([a-z]{4}))"), F.lit(1)))
+    per_request = requests.select(*ids, F.lower(text).alias("low")).withColumn("windows", windows)
+    found = (per_request.select(*ids, "low", F.explode("windows").alias("window")).join(lookup, "window")
              .filter(F.contains("low", "word")).groupBy(*ids, "question_id").agg(F.min("place").alias("place")))
     picked = _first_k(found, ids, ["place", "question_id"], k).select(*ids, "position", "question_id")
     if not defaults:

@@ -63,10 +63,14 @@ def _date_facts(c: str | None) -> dict[str, str]:
 def _pii_facts(v: str) -> dict[str, str]:
     codes = ", ".join(num.sql_literal(abbr) for _, abbr, _ in rules.STATES)
     names = ", ".join(num.sql_literal(name.lower()) for _, _, name in rules.STATES)
+    longest = max(len(name) for _, _, name in rules.STATES)
     row = {"values_n": f"count({v})", "filled": f"count_if(trim({v}) <> '')",
-           "states": f"count_if(upper(trim({v})) IN ({codes}) OR lower(trim({v})) IN ({names}))",
+           "states": f"count_if(length(trim({v})) <= {longest} AND (upper(trim({v})) IN ({codes}) OR lower(trim({v})) IN ({names})))",
            "persons": f"count_if(trim({v}) RLIKE {num.sql_literal(rules.PERSON_NAME_PATTERN)})"}
-    return row | {kind: f"count_if({v} RLIKE {num.sql_literal(p)})" for kind, p in rules.PII_VALUE_PATTERNS}
+    # A cheap test every match must pass spares most long texts the full pattern.
+    digits = f"{v} RLIKE {num.sql_literal(chr(92) + 'd{3}')}"
+    needs = {"email": f"contains({v}, '@')", "phone": digits, "ssn": digits, "npi": f"length({v}) <= 11"}
+    return row | {kind: f"count_if({needs[kind]} AND {v} RLIKE {num.sql_literal(p)})" for kind, p in rules.PII_VALUE_PATTERNS}
 
 
 def value_facts(df: DataFrame, top: int = TOP_K, samples: int = 3) -> DataFrame:
@@ -206,13 +210,29 @@ def issues(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | No
 
 def correlations(df: DataFrame, names: list[str] | None = None, above: float = rules.STRONG_CORRELATION,
                  digits: int = 4) -> DataFrame:
-    """Pearson r of every pair of numeric columns once, kept where ``|r| > above``."""
+    """Pearson r of every pair of numeric columns once, kept where ``|r| > above``.
+
+    A first aggregate finds constant columns (left out) and columns without gaps: pairs of
+    those share their standard deviations, the others are computed over complete pairs.
+    """
     df = stats.normalize_nan(df)
     names = names or stats.columns_of(df, num.is_number)
-    pairs = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b),
-              "correlation": stats.pearson_sql(ident(a), ident(b))} for a, b in combinations(names, 2)]
+    empty = df.sparkSession.createDataFrame([], "column_1 string, column_2 string, correlation double")
+    if len(names) < 2:
+        return empty
+    v = {c: f"CAST({ident(c)} AS DOUBLE)" for c in names}
+    seen = df.selectExpr("count(1) AS n", *[f"named_struct('n', count({x}), 'varies', min({x}) < max({x})) AS s{i}" for i, x in enumerate(v.values())]).first()
+    whole = {c for i, c in enumerate(names) if seen[f"s{i}"]["n"] == seen["n"]}
+    used = [c for i, c in enumerate(names) if seen[f"s{i}"]["varies"]]
+
+    def r_of(a: str, b: str) -> str:
+        if a in whole and b in whole:
+            return f"try_divide(covar_pop({v[a]}, {v[b]}), stddev_pop({v[a]}) * stddev_pop({v[b]}))"
+        return stats.pearson_sql(ident(a), ident(b))
+
+    pairs = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b), "correlation": r_of(a, b)} for a, b in combinations(used, 2)]
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column_1 string, column_2 string, correlation double")
+        return empty
     r = F.col("correlation")
     return (stats.long_stats(df, pairs).filter(r.isNotNull() & ~F.isnan(r) & (F.abs(r) > above))
             .withColumn("correlation", F.round(r, digits)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,12 +14,13 @@ from martwright.session import stage
 
 # A side is broadcast only when the optimizer's size estimate stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Up to this many values the built-in percentile may hold a column's value map in one task.
-PERCENTILE_ROWS = 5_000_000
-# A quantile bracket with at most this many values is finished by sorting it.
-BRACKET_ROWS = 1_000_000
-_GRID = 500
-_ACCURACY = 10_000
+# Up to this many rows the built-in percentile may hold a column's value map in one task.
+PERCENTILE_ROWS = 100_000
+# Buckets a bracket is cut into per pass when searching quantiles in larger data.
+BUCKETS = 4096
+# A bucket of at most this many rows is searched by sorting its values.
+SORTED_ROWS = 1_000_000
+_APPROX_ACCURACY = 10_000
 # Aggregate expressions per job, to stay inside generated-code limits.
 EXPRESSIONS_PER_JOB = 500
 
@@ -148,43 +149,37 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: bool = False, at_most_rows: int | None = None,
-              percentile_rows: int = PERCENTILE_ROWS, bracket_rows: int = BRACKET_ROWS) -> dict[str, list[float | None]]:
+              percentile_rows: int = PERCENTILE_ROWS, buckets: int = BUCKETS, sorted_rows: int = SORTED_ROWS) -> dict[str, list[float | None]]:
     """Interpolated quantiles of several numeric columns; only scalars reach the driver.
 
     Small inputs use the built-in exact percentile.  It keeps a map of all distinct
     values in one task, so larger inputs narrow brackets around the wanted ranks
-    instead: each pass is one map-side-combined aggregate over the data, and cuts a
-    bracket by a factor of about 250 until it is small enough to sort.  A caller that
-    knows a bound on the rows passes ``at_most_rows`` and saves the counting pass.
+    instead: each pass counts rows per bucket of the open brackets (one hash aggregate,
+    combined before its tiny shuffle) and keeps the bucket that holds the rank, until
+    that bucket holds a single value or few enough rows to sort.
+    A caller that knows a bound on the rows passes ``at_most_rows`` and may save a pass.
     """
     if not columns:
         return {}
+    values = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)])
     if approx:
-        row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), probs, _ACCURACY).alias(f"q{i}")
-                       for i, c in enumerate(columns)]).first()
+        at = ", ".join(f"{p}D" for p in probs)
+        row = values.selectExpr(*[f"percentile_approx(v{i}, array({at}), {_APPROX_ACCURACY}) AS q{i}" for i in range(len(columns))]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-    values = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)])
     if at_most_rows is not None and at_most_rows <= percentile_rows:
         return _percentiles(values, columns, probs)
-    total = values.agg(*[f(f"v{i}").alias(f"{tag}{i}") for i in range(len(columns))
-                         for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    counts = [total[f"n{i}"] for i in range(len(columns))]
+    total = values.selectExpr(*[f"{f}(v{i}) AS {f}{i}" for i in range(len(columns)) for f in ("count", "min", "max")]).first()
+    counts = [total[f"count{i}"] for i in range(len(columns))]
     if max(counts) <= percentile_rows:
         return _percentiles(values, columns, probs)
-    wanted = {(i, rank) for i, n in enumerate(counts) if n for p in probs
-              for rank in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
-    brackets = {key: (total[f"lo{key[0]}"], total[f"hi{key[0]}"]) for key in wanted}
-    found = _order_statistics(values, brackets, bracket_rows)
+    targets = [(i, rank) for i, n in enumerate(counts) if n
+               for rank in sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})]
+    found = _order_statistics(values, {t: (total[f"min{t[0]}"], total[f"max{t[0]}"], t[1]) for t in targets}, buckets, sorted_rows)
     result: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
-        result[c] = []
-        for p in probs:
-            if not counts[i]:
-                result[c].append(None)
-                continue
-            at = (counts[i] - 1) * p
-            low, high = found[i, math.floor(at)], found[i, math.ceil(at)]
-            result[c].append(low + (high - low) * (at - math.floor(at)))
+        at = [(counts[i] - 1) * p for p in probs]
+        ends = [(found[i, math.floor(x)], found[i, math.ceil(x)], x - math.floor(x)) if counts[i] else None for x in at]
+        result[c] = [low + (high - low) * part for low, high, part in ends] if counts[i] else [None] * len(probs)
     return result
 
 
@@ -194,56 +189,57 @@ def _percentiles(values: DataFrame, columns: list[str], probs: list[float]) -> d
     return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
 
 
-def _order_statistics(values: DataFrame, brackets: dict, bracket_rows: int) -> dict:
-    """The value at each (column, rank); ``brackets`` holds bounds known to enclose it."""
+def _order_statistics(values: DataFrame, targets: dict, buckets: int, sorted_rows: int) -> dict:
+    """The value at each (column, rank).
+
+    ``targets`` maps a target to (lowest, highest, offset): the smallest and largest value
+    of its bracket and the target's rank inside it.
+    """
     found: dict = {}
-    ready: dict = {}
-    while brackets:
-        keys = list(brackets)
-        aggs = []
-        for j, (i, _) in enumerate(keys):
-            v, (lo, hi) = F.col(f"v{i}"), brackets[keys[j]]
-            inner = (v > lo) & (v < hi)
-            aggs.append(F.struct(
-                F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("at_lo"),
-                F.count_if(inner).alias("inside"),
-                F.percentile_approx(F.when(inner, v), [g / _GRID for g in range(_GRID + 1)], _ACCURACY).alias("grid"),
-            ).alias(f"s{j}"))
-        row = values.agg(*aggs).first()
-        narrowed = {}
-        for j, key in enumerate(keys):
-            (lo, hi), s = brackets[key], row[f"s{j}"]
-            offset = key[1] - s["below"] - s["at_lo"]
-            if offset < 0:
-                found[key] = lo
-            elif offset >= s["inside"]:
-                found[key] = hi
-            elif s["inside"] <= bracket_rows:
-                ready[key] = (lo, hi, offset)
-            else:
-                share, slack = offset / s["inside"], 2 / _ACCURACY
-                first = math.floor((share - slack) * _GRID)
-                last = math.ceil((share + slack) * _GRID)
-                narrowed[key] = (s["grid"][first] if first > 0 else lo, s["grid"][last] if last < _GRID else hi)
-        brackets = narrowed
-    if ready:
-        found.update(_sorted_pick(values, ready))
+    small: dict = {}
+    spread = 0
+    while True:
+        found |= {t: lo for t, (lo, hi, _) in targets.items() if lo == hi}
+        targets = {t: b for t, b in targets.items() if t not in found and t not in small}
+        if not targets:
+            break
+        hits = _holding(values, targets, lambda v, lo, hi: _bucket(v, lo, hi, buckets, spread))
+        targets = {t: (h["lo"], h["hi"], targets[t][2] - h["before"]) for t, h in hits.items()}
+        small |= {t: targets[t] for t, h in hits.items() if h["n"] <= sorted_rows}
+        spread = (spread + 1) % 3
+    small = {t: b for t, b in small.items() if t not in found}
+    if small:
+        found |= {t: h["lo"] for t, h in _holding(values, small, lambda v, lo, hi: v).items()}
     return found
 
 
-def _sorted_pick(values: DataFrame, ready: dict) -> dict:
-    """Order statistics inside brackets of checked size, by sorting the values of each bracket."""
-    from pyspark.sql import Window
+def _holding(values: DataFrame, targets: dict, group) -> dict:
+    """For each target the group of its bracket that holds its rank: n, before, lo, hi.
 
-    keys = list(ready)
-    cells = []
-    for j, (i, _) in enumerate(keys):
-        lo, hi, offset = ready[keys[j]]
-        v = F.col(f"v{i}")
-        cells.append(F.when((v > lo) & (v < hi), F.struct(F.lit(j).alias("j"), F.lit(offset).cast("long").alias("offset"), v.alias("v"))))
-    counted = (values.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*")
-               .groupBy("j", "offset", "v").agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.partitionBy("j").orderBy("v"))
-    hit = (F.col("upto") > F.col("offset")) & (F.col("upto") - F.col("n") <= F.col("offset"))
-    rows = counted.withColumn("upto", upto).filter(hit).select("j", "v").collect()
-    return {keys[r["j"]]: r["v"] for r in rows}
+    One pass: rows of the open brackets are counted per group, then running counts over
+    the groups of a bracket (buckets, or the values of a small bracket) find the rank.
+    """
+    brackets = list(dict.fromkeys((t[0], lo, hi) for t, (lo, hi, _) in targets.items()))
+    inside = [f"v{i} BETWEEN {lo!r}D AND {hi!r}D" for i, lo, hi in brackets]
+    cells = [f"CASE WHEN {test} THEN named_struct('b', {j}, 'k', {group(f'v{i}', lo, hi)}, 'v', v{i}) END"
+             for j, ((i, lo, hi), test) in enumerate(zip(brackets, inside))]
+    counted = (values.filter(" OR ".join(inside)).selectExpr(f"inline(array_compact(array({', '.join(cells)})))").groupBy("b", "k")
+               .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("k"))
+    place = {t: brackets.index((t[0], lo, hi)) for t, (lo, hi, _) in targets.items()}
+    wanted = " OR ".join(f"(b = {place[t]} AND before <= {offset} AND {offset} < before + n)" for t, (_, _, offset) in targets.items())
+    rows = counted.withColumn("before", upto - F.col("n")).filter(wanted).collect()
+    return {t: next(r for r in rows if r["b"] == place[t] and r["before"] <= offset < r["before"] + r["n"])
+            for t, (_, _, offset) in targets.items()}
+
+
+def _bucket(v: str, lo: float, hi: float, buckets: int, spread: int) -> str:
+    """Bucket number of a value, never falling as the value grows.
+
+    Passes take turns between even buckets and buckets that get finer towards either end,
+    so neither a long tail nor a wide range of magnitudes slows the search.
+    """
+    share = f"(({v} * 0.5D - {lo * 0.5!r}D) / {hi * 0.5 - lo * 0.5!r}D)"
+    fine = "ln(1 + {x} * 1.0E12D) / ln(1 + 1.0E12D)"
+    place = (share, fine.format(x=share), f"(1 - {fine.format(x=f'(1 - {share})')})")[spread]
+    return f"CAST(floor({place} * {buckets}) AS INT)"

@@ -13,14 +13,15 @@ def test_quantiles_by_narrowing_equal_numpy(spark, kind):
             "wide": 10.0 ** rng.uniform(-200, 200, n), "constant": np.full(n, 7.0)}[kind]
     df = spark.createDataFrame([(float(x),) for x in data], "v double")
     probs = [0.0, 0.25, 0.5, 0.77, 1.0]
-    got = stats.quantiles(df, ["v"], probs, percentile_rows=10, bracket_rows=50)["v"]
-    assert np.allclose(got, np.quantile(data, probs), rtol=1e-12, atol=0)
+    for sorted_rows in (0, 50, n):
+        got = stats.quantiles(df, ["v"], probs, percentile_rows=10, buckets=16, sorted_rows=sorted_rows)["v"]
+        assert np.allclose(got, np.quantile(data, probs), rtol=1e-12, atol=0)
     assert np.allclose(stats.quantiles(df, ["v"], probs)["v"], np.quantile(data, probs), rtol=1e-12, atol=0)
 
 
 def test_quantiles_skip_missing_and_handle_empty(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "a double, b double")
-    for limits in ({}, {"percentile_rows": 1, "bracket_rows": 1}):
+    for limits in ({}, {"percentile_rows": 1, "buckets": 4, "sorted_rows": 0}):
         got = stats.quantiles(df, ["a", "b"], [0.5], **limits)
         assert got == {"a": [2.0], "b": [None]}
 
