@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -26,26 +27,34 @@ class Extract:
     source_type: str = "file"
     error: str | None = None
     extracted_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
-    observation: Observation | None = None
+    _seen: Observation | None = None
+
+    def counted(self) -> DataFrame:
+        """The rows, counted inside whichever job reads them.
+
+        Kept apart from ``df``: an observed plan would keep later filters from reaching the scan.
+        """
+        self._seen = Observation()
+        return self.df.observe(self._seen, F.count(F.lit(1)).alias("n"))
 
     @property
     def record_count(self) -> int:
-        """Rows seen by the job that consumed the extract; -1 before any did."""
-        return rows_seen(self.observation) if self.observation is not None and _finished(self.observation) else -1
+        """Rows seen by the job that consumed ``counted()``; -1 before."""
+        return rows_seen(self._seen) if self._seen is not None and _finished(self._seen) else -1
 
     def metadata(self) -> dict[str, object]:
         return {"name": self.name, "source_type": self.source_type,
                 "last_extract_time": self.extracted_at.isoformat(), "last_record_count": self.record_count}
 
 
-def _finished(observation: Observation) -> bool:
-    return observation._jo.future().isCompleted()
-
-
-def observed(df: DataFrame, name: str, source_type: str) -> Extract:
-    """Count the rows inside whichever job reads them, without a scan of its own."""
-    seen = Observation()
-    return Extract(df.observe(seen, F.count(F.lit(1)).alias("n")), name, source_type, observation=seen)
+def _finished(observation: Observation, wait_seconds: float = 1.0) -> bool:
+    """Whether a job has reported; reports arrive shortly after their job ends."""
+    deadline = time.monotonic() + wait_seconds
+    while observation._jo is not None and not observation._jo.future().isCompleted():
+        if time.monotonic() > deadline:
+            return False
+        time.sleep(0.02)
+    return observation._jo is not None
 
 
 def _nothing(spark: SparkSession, name: str, error: str) -> Extract:
@@ -109,7 +118,7 @@ def load(spark: SparkSession, path: str, **options) -> Extract:
         df = readers[suffix](spark, path, **options)
     except Exception as problem:  # every reader failure is reported, never raised
         return _nothing(spark, name, str(problem).splitlines()[0])
-    return observed(df, name, "file")
+    return Extract(df, name)
 
 
 # --- object stores ---------------------------------------------------------------------------------

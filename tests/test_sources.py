@@ -13,14 +13,17 @@ def test_separator_is_found(spark, tmp_path, suffix, sep):
     path.write_text(f"id{sep}name\n1{sep}a b\n2{sep}c\n")
     extract = files.load(spark, str(path))
     assert extract.error is None and extract.df.columns == ["id", "name"]
-    assert as_set(extract.df, "id", "name") == {(1, "a b"), (2, "c")}
+    assert as_set(extract.counted(), "id", "name") == {(1, "a b"), (2, "c")}
     assert extract.name == "data" and extract.record_count == 2
 
 
 def test_record_count_before_any_job(spark, tmp_path):
     path = tmp_path / "data.csv"
     path.write_text("a\n1\n")
-    assert files.load(spark, str(path)).metadata()["last_record_count"] == -1
+    extract = files.load(spark, str(path))
+    assert extract.metadata()["last_record_count"] == -1
+    extract.counted()
+    assert extract.record_count == -1
 
 
 def test_latin_1_fallback(spark, tmp_path):
