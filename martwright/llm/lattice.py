@@ -21,12 +21,16 @@ class Vocabulary:
         ids = range(self.size)
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.id_of = {model.id_to_piece(i): i for i in plain}
+        #: Every beginning of a piece, with the piece's id or -1.
+        self.begins = {piece[:n]: -1 for piece in self.id_of for n in range(1, len(piece))} | self.id_of
         self.piece_of = [model.id_to_piece(i) for i in ids]
         self.byte_id = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.id_of))
         self.scores = np.array([model.get_score(i) for i in ids])
+        self.score_list = self.scores.tolist()
+        self.byte_ids = np.array(sorted(self.byte_of))
         usual = self.scores[[i for i in plain if self.scores[i] > -1e8]]
         self.fallback_score = float(usual.min()) - 10
 
@@ -35,7 +39,7 @@ class Vocabulary:
 
     def matches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Word, end, length and id of every piece in every word, and the byte ids that ids from ``size`` on stand for."""
-        get, longest = self.id_of.get, self.longest
+        get, longest = self.begins.get, self.longest
         at, end, length, ids, extra, chars = [], [], [], [], {}, {}
         for number, word in enumerate(words):
             n = len(word)
@@ -43,7 +47,9 @@ class Vocabulary:
                 single = False
                 for e in range(i + 1, min(n, i + longest) + 1):
                     found = get(word[i:e])
-                    if found is not None:
+                    if found is None:
+                        break
+                    if found >= 0:
                         single |= e == i + 1
                         at.append(number), end.append(e), length.append(e - i), ids.append(found)
                 if not single:
