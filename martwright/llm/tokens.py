@@ -4,14 +4,16 @@ Files are written by Spark's ORC writer in ascending document order: integer col
 encoded, every stripe and row group has minimum and maximum of each column, and document ids have
 Bloom filters.  Readers split files at stripes and skip what a filter on ``doc_id`` rules out.
 
-Encoding splits a text where the tokenizer's own first step always splits it (at blanks), and keeps the
-ids of parts it has met in a bounded table of the task's process, so that a common word is encoded once.
+Encoding splits a text as the tokenizer's own first step does, and keeps the ids of parts it has met in
+a bounded table of the worker process, so that a common word is merged once.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,38 +31,60 @@ END_ID = 0
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 #: Parts kept per worker process, and the longest part that is kept.
-KEPT_PARTS, KEPT_LENGTH = 400_000, 64
-#: Characters with the Unicode property White_Space: what the tokenizer's pattern calls \s.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A word with the blank before it, or a run of white space up to the character before the next word.
-PART = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+KEPT_PARTS, KEPT_LENGTH = 600_000, 64
+#: White space, letters and numbers by Unicode property, below U+0250.
+WHITE = "\\t-\\r \\x85\\xa0"
+LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
+#: The tokenizer's own first split, for texts whose characters all lie below U+0250.
+PART = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{WHITE}{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+BEYOND = re.compile("[^\\x00-\\u024f]")
 SCHEMA = "doc_id long, part int, row long, ids array<int>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's letter for each byte: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 class CachingEncoder:
-    """Ids of whole texts, as little-endian 32-bit integers."""
+    """Ids of whole texts, as little-endian 32-bit integers.
+
+    Texts with a special token's string, or with a character whose class the split here does not know,
+    go to the tokenizer as they are; all others part by part, a part once as long as it is kept.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.kept: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _part(self, part: str) -> bytes:
+        return array("i", [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # such strings are cut out before the split at blanks
-            return self._plain([text])[0]
+        if BEYOND.search(text) or any(s in text for s in self.special):
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts, kept = PART.findall(text), self.kept
-        missing = [p for p in set(parts) if p not in kept]
-        if not missing:
+        try:
             return b"".join(map(kept.__getitem__, parts))
-        if len(kept) > KEPT_PARTS:
-            kept.clear()
-            missing = list(set(parts))
-        fresh = dict(zip(missing, self._plain(missing), strict=True))
-        kept.update((p, ids) for p, ids in fresh.items() if len(p) <= KEPT_LENGTH)
-        return b"".join([fresh[p] if p in fresh else kept[p] for p in parts])
+        except KeyError:
+            if len(kept) > KEPT_PARTS:
+                kept.clear()
+            long = {}
+            for part in parts:
+                if part not in kept:
+                    (kept if len(part) <= KEPT_LENGTH else long)[part] = self._part(part)
+            return b"".join([kept[p] if p in kept else long[p] for p in parts])
+
+
+@functools.cache
+def caching_encoder(path: str) -> CachingEncoder:
+    """One per process."""
+    return CachingEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -70,10 +94,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     text.  Columns other than id and text are ignored.  An empty table writes no rows.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, row = CachingEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, row = caching_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             ids = [encoder.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
