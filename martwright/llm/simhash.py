@@ -219,7 +219,7 @@ def links(codes: DataFrame, most_rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def near_duplicates(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Per distinct ``fingerprint`` its ``component_id``: the smallest id among all documents a chain of links reaches.
+    """Per distinct ``fingerprint`` its ``root`` (the same for all of a component) and ``component_id``: the smallest id a chain of links reaches.
 
     ``marked`` is a result of ``fingerprints``.  Null ids are passed over; a component of null ids alone has a null id.
     Nothing is dropped: exact copies share a fingerprint, so they meet in a sum, not in a list.
@@ -228,7 +228,7 @@ def near_duplicates(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     roots = stage(components(links(codes)), "roots")
     linked = stage(codes.join(roots, F.col("fingerprint") == F.col("u"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "linked")
     least = stage(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    return stage(linked.join(least, "root").select("fingerprint", "component_id"), "components")
+    return stage(linked.join(least, "root").select("fingerprint", "root", "component_id"), "components")
 
 
 @query("op9_simhash")
