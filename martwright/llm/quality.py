@@ -23,7 +23,7 @@ CHUNK_BYTES, STEP_BYTES = 512, 448
 VECTOR, FILTERS, WIDTH = 8, 16, 6
 #: Learning reads about this many labelled documents of each class, and of each up to so many chunks spread over it.
 SAMPLE_DOCS, SAMPLE_CHUNKS = 1000, 4
-EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
+STEPS, BATCH, RATE, DECAY = 500, 64, 0.01, 1e-4
 CHUNKS_AT_ONCE = 64
 SEED = 7
 
@@ -116,27 +116,26 @@ def fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> QualityMode
     target, weight = labels[owners].astype(float), importance[owners]
     adam = _Adam([vectors, filters, offsets, weights, constant])
     places = CHUNK_BYTES - WIDTH + 1
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            part = rows[pick].astype(np.intp)
-            single = np.einsum("bv,kvf->kbf", vectors, filters).astype(np.float32)
-            response = single[0][part[:, :places]]
-            for k in range(1, WIDTH):
-                response += single[k][part[:, k : k + places]]
-            top = response.argmax(axis=1)
-            pooled = np.take_along_axis(response, top[:, None, :], axis=1)[:, 0] + offsets
-            hidden = np.maximum(pooled, 0)
-            error = weight[pick] * (_sigmoid(hidden @ weights + constant) - target[pick]) / len(pick)
-            through = error[:, None] * weights * (pooled > 0)
-            spread = part[np.arange(len(pick))[:, None, None], top[:, :, None] + np.arange(WIDTH)]  # bytes under each filter's best place
-            seen = vectors[spread]
-            filter_slope = np.einsum("nf,nfkv->kvf", through, seen)
-            vector_slope = np.zeros_like(vectors)
-            np.add.at(vector_slope, spread, np.einsum("nf,kvf->nfkv", through, filters))
-            adam.step([vector_slope + DECAY * vectors, filter_slope + DECAY * filters, through.sum(axis=0), hidden.T @ error + DECAY * weights, error.sum(keepdims=True)],
-                      RATE * (1 - epoch / EPOCHS))
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-STEPS * BATCH // len(rows)))])  # as many steps for any sample
+    for step in range(STEPS):
+        pick = order[step * BATCH : (step + 1) * BATCH]
+        part = rows[pick].astype(np.intp)
+        single = np.einsum("bv,kvf->kbf", vectors, filters).astype(np.float32)
+        response = single[0][part[:, :places]]
+        for k in range(1, WIDTH):
+            response += single[k][part[:, k : k + places]]
+        top = response.argmax(axis=1)
+        pooled = np.take_along_axis(response, top[:, None, :], axis=1)[:, 0] + offsets
+        hidden = np.maximum(pooled, 0)
+        error = weight[pick] * (_sigmoid(hidden @ weights + constant) - target[pick]) / len(pick)
+        through = error[:, None] * weights * (pooled > 0)
+        spread = part[np.arange(len(pick))[:, None, None], top[:, :, None] + np.arange(WIDTH)]  # bytes under each filter's best place
+        seen = vectors[spread]
+        filter_slope = np.einsum("nf,nfkv->kvf", through, seen)
+        vector_slope = np.zeros_like(vectors)
+        np.add.at(vector_slope, spread, np.einsum("nf,kvf->nfkv", through, filters))
+        adam.step([vector_slope + DECAY * vectors, filter_slope + DECAY * filters, through.sum(axis=0), hidden.T @ error + DECAY * weights, error.sum(keepdims=True)],
+                  RATE * (1 - step / STEPS))
     model = QualityModel(vectors, filters, offsets, np.append(weights, constant), np.zeros(3))
     logits = features(rows, model.pair_tables(), offsets) @ weights + constant
     n = np.maximum(np.bincount(owners, minlength=len(labels)), 1)
