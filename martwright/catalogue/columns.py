@@ -187,12 +187,13 @@ def external_measure(t: Bench) -> DataFrame:
     return joins.spine_join(t.nation.select("n_nationkey"), added, "n_nationkey")
 
 
-@query("spine_join", """SELECT n.n_nationkey, a.customers, a.balance FROM nation n LEFT JOIN (SELECT c_nationkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance
-FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey) a ON n.n_nationkey = a.c_nationkey""")
+@query("spine_join", """SELECT n.n_nationkey, a.customers, a.balance FROM (SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey + 100 FROM region) n
+LEFT JOIN (SELECT c_nationkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_nationkey) a ON n.n_nationkey = a.c_nationkey""")
 def spine_join(t: Bench) -> DataFrame:
-    agg = (t.customer.filter("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("n_nationkey"))
-           .agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance")))
-    return joins.spine_join(t.nation.select("n_nationkey"), agg, "n_nationkey")
+    """All customers on a spine with keys that none of them has."""
+    agg = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    spine = t.nation.select("n_nationkey").union(t.region.select(F.col("r_regionkey") + 100))
+    return joins.spine_join(spine, agg, "n_nationkey")
 
 
 @query("group_sum_distinct", """SELECT loc, round(coalesce(sum(TRY_CAST(payment_text AS DOUBLE)), 0), 2) AS total_payment, count(DISTINCT npi) AS provider_count
@@ -208,9 +209,8 @@ UNION ALL SELECT l_returnflag, 'sum', round(sum(l_quantity), 4) FROM lineitem GR
 UNION ALL SELECT l_returnflag, 'count', CAST(count(l_quantity) AS DOUBLE) FROM lineitem GROUP BY 1
 UNION ALL SELECT l_returnflag, 'median?', round(avg(l_quantity), 4) FROM lineitem GROUP BY 1""")
 def group_by_op(t: Bench) -> DataFrame:
-    parts = [joins.group_by_op(t.lineitem, "l_returnflag", "l_quantity", op, "v").select("l_returnflag", F.lit(op).alias("op"), F.round(F.col("v").cast("double"), 4).alias("value"))
-             for op in ("avg", "sum", "count", "median?")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    found = joins.group_by_ops(t.lineitem, "l_returnflag", "l_quantity", ("avg", "sum", "count", "median?"), "value")
+    return found.withColumn("value", F.round("value", 4))
 
 
 @query("catalog_topics", """WITH m AS (SELECT DISTINCT p_type AS topic, p_brand AS question_id FROM part)

@@ -51,6 +51,16 @@ def record_run(t: Bench) -> DataFrame:
         "dataset_name", "rows_in", "rows_out", "grade", "score", "gate_blocked", "table_name", recorded.alias("checks_recorded"))
 
 
+@query("run_artifact", "SELECT o_orderpriority, count(*) AS n, 'run_b' AS run_id FROM orders GROUP BY o_orderpriority")
+def run_artifact(t: Bench) -> DataFrame:
+    """An artifact is read back by its run; another run's of the same name stays apart."""
+    folder = stage_path(t.spark, "artifacts")
+    counted = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    for run_id, table in (("run_a", counted.limit(1)), ("run_b", counted)):
+        history.save_artifact(table, folder, run_id, "counts")
+    return history.load_artifact(t.spark, folder, "run_b", "counts")
+
+
 @query("registry_upsert", """SELECT * FROM registry_new UNION ALL SELECT * FROM registry_old WHERE table_name NOT IN (SELECT table_name FROM registry_new)""")
 def registry_upsert(t: Bench) -> DataFrame:
     return history.upsert_registry(t.registry_old, t.registry_new).orderBy(F.desc("built_at"), "table_name")

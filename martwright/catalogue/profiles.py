@@ -357,6 +357,13 @@ def quality_dimensions(t: Bench) -> DataFrame:
     return quality.by_dimension(quality.scorecard(t.dirty_orders))
 
 
+@query("quality_details", f"""WITH c AS ({SCORECARD}), d AS (SELECT CASE WHEN prefix("check", 'overall') THEN 'Completeness' WHEN prefix("check", 'duplicate') THEN 'Duplicates'
+WHEN prefix("check", 'null_rate_') THEN 'Missing values' WHEN prefix("check", 'type_') THEN 'Type consistency' WHEN prefix("check", 'uniqueness_') THEN 'Uniqueness' ELSE 'Value ranges' END AS dimension, * FROM c)
+SELECT dimension, CAST(row_number() OVER (PARTITION BY dimension ORDER BY ordinal, "check") AS INT) AS place, "check", passed, detail FROM d""")
+def quality_details(t: Bench) -> DataFrame:
+    return quality.dimension_details(quality.scorecard(t.dirty_orders))
+
+
 @query("quality_gate", """SELECT run_id, score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'F' END AS grade, score < 75 AS blocked FROM runs""")
 def quality_gate(t: Bench) -> DataFrame:
     graded = t.runs.select("run_id", "score", num.grade(F.col("score")).alias("grade"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from martwright.catalogue.base import TABLES, Bench, query
 from martwright.functions import text as txt
 from martwright.operators import clean, joins
-from martwright.plans import console
-from martwright.session import stage_path
+from martwright.plans import console, onboard
+from martwright.session import stage, stage_path
 from martwright.sources import files, landed, tables
 
 SCHEMA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -177,6 +177,57 @@ def load_table(t: Bench) -> DataFrame:
     return t.spark.table("martwright_nation_load").withColumn("rows_loaded", F.lit(rows).cast("long"))
 
 
+@query("read_outcomes", """SELECT 'nation' AS name, FALSE AS failed, count(*) AS n_rows FROM nation
+UNION ALL SELECT 'absent', TRUE, 0 UNION ALL SELECT 'notes', TRUE, 0""")
+def read_outcomes(t: Bench) -> DataFrame:
+    """A file that is there, one that isn't, and one of an unknown kind."""
+    extracts = [files.load(t.spark, path) for path in (t.path("nation"), t.path("absent"), f"{t.folder}/notes.docx")]
+    parts = [e.df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(e.name).alias("name"), F.lit(e.error is not None).alias("failed"), "n_rows") for e in extracts]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("cached_pull", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
+def cached_pull(t: Bench) -> DataFrame:
+    """The second pull finds the first one's rows and asks nothing."""
+    folder = stage_path(t.spark, "cache")
+    tables.cached_pull(t.spark, folder, "orders", lambda: t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")))
+    return tables.cached_pull(t.spark, folder, "orders", lambda: t.orders.select("o_orderpriority", F.lit(-1).cast("long").alias("n")))
+
+
+@query("table_artifact", """SELECT n_nationkey, n_name, 'N' AS built_from, CAST((SELECT count(*) FROM nation) AS VARCHAR) AS rows_built FROM nation""")
+def table_artifact(t: Bench) -> DataFrame:
+    """A table and its build metadata, both written and read back."""
+    folder = stage_path(t.spark, "artifact")
+    tables.write_artifact(t.nation, folder, "nations", {"built_from": "N", "rows_built": t.nation.count()})
+    meta = t.spark.read.schema("built_from string, rows_built string").json(f"{folder}/nations_build_meta.json").first()
+    return t.spark.read.parquet(f"{folder}/nations.parquet").select("n_nationkey", "n_name", F.lit(meta["built_from"]).alias("built_from"), F.lit(meta["rows_built"]).alias("rows_built"))
+
+
+@query("drop_dataset", """SELECT run_id, table_name, FALSE AS still_there FROM runs WHERE table_name <> 't_3'""")
+def drop_dataset(t: Bench) -> DataFrame:
+    """A dropped table's runs leave the history, all others stay."""
+    tables.load_table(t.nation, "t_3", stage_path(t.spark, "dropped"))
+    kept = tables.drop_dataset(t.spark, "t_3", t.runs, stage_path(t.spark, "kept-runs"))
+    return kept.select("run_id", "table_name", F.lit(t.spark.catalog.tableExists("t_3")).alias("still_there"))
+
+
+@query("extract_bookkeeping", "SELECT 'orders' AS name, 'file' AS source_type, count(*) AS last_record_count, TRUE AS has_time FROM orders")
+def extract_bookkeeping(t: Bench) -> DataFrame:
+    """The row count of an extract comes from the job that consumed it."""
+    extract = files.load(t.spark, t.path("orders"))
+    consumed = stage(extract.counted().select("o_orderkey"), "consumed")
+    seen = extract.metadata()
+    return consumed.agg(F.first(F.lit(seen["name"])).alias("name"), F.first(F.lit(seen["source_type"])).alias("source_type"),
+                        F.first(F.lit(seen["last_record_count"]).cast("long")).alias("last_record_count"), F.first(F.lit(bool(seen["last_extract_time"]))).alias("has_time"))
+
+
+@query("batch_onboarding", """SELECT 'nation' AS dataset, count(*) AS rows_in, count(*) AS rows_out, FALSE AS failed FROM nation
+UNION ALL SELECT 'customer', count(*), count(*), FALSE FROM customer UNION ALL SELECT 'absent', NULL, NULL, TRUE""")
+def batch_onboarding(t: Bench) -> DataFrame:
+    done = onboard.onboard_files(t.spark, [t.path("nation"), t.path("customer"), t.path("absent")], load=False)
+    return done.select("dataset", "rows_in", "rows_out", F.col("error").isNotNull().alias("failed"))
+
+
 @query("export_csv", "SELECT page_id, url, html FROM pages")
 def export_csv(t: Bench) -> DataFrame:
     path = stage_path(t.spark, "pages") + ".csv"
@@ -193,9 +244,10 @@ def audit_recent(t: Bench) -> DataFrame:
                              schema="event_id long, ts timestamp_ntz, task string, provider string, prompt_chars long, redaction_count long")
 
 
-@query("schema_listing", _schema_sql())
+@query("schema_listing", f"SELECT s.*, c.n_rows FROM ({_schema_sql()}) s JOIN ({counts_sql(SCHEMA_TABLES)}) c ON s.table_name = c.table_name")
 def schema_listing(t: Bench) -> DataFrame:
-    return tables.schema_of({n: t.table(n) for n in SCHEMA_TABLES})
+    listed = {n: t.table(n) for n in SCHEMA_TABLES}
+    return tables.schema_of(listed).join(tables.row_counts(listed), "table_name")
 
 
 @query("schema_described", f"""WITH s AS ({_schema_sql()}), c AS ({counts_sql(SCHEMA_TABLES)}), d(ord, pat, txt) AS (VALUES
@@ -210,7 +262,8 @@ def schema_described(t: Bench) -> DataFrame:
     return tables.described_schema(tables.schema_of(listed), tables.row_counts(listed))
 
 
-@query("column_descriptions", f"""WITH s AS ({_schema_sql()}) SELECT column_name, data_type, CASE
+@query("column_descriptions", f"""WITH s AS (SELECT a.*, c.n_rows FROM ({_schema_sql()}) a JOIN ({counts_sql(SCHEMA_TABLES)}) c ON a.table_name = c.table_name)
+SELECT column_name, data_type, n_rows, CASE
 WHEN contains(column_name, '_id') OR contains(column_name, 'id_') OR contains(column_name, ' id') OR suffix(column_name, 'id') THEN 'Unique identifier field'
 WHEN regexp_matches(column_name, 'date|time|day|month|year|dob') THEN 'Date or time field'
 WHEN regexp_matches(column_name, 'first|last|full_name|fname|lname') THEN 'Person name field'
@@ -227,8 +280,9 @@ WHEN contains(column_name, 'age') THEN 'Age in years' WHEN prefix(column_name, '
 WHEN data_type IN ('INTEGER', 'FLOAT') THEN 'Numeric measurement field'
 ELSE 'Data field — review column contents for context' END AS description FROM s""")
 def column_descriptions(t: Bench) -> DataFrame:
-    schema = tables.schema_of({n: t.table(n) for n in SCHEMA_TABLES})
-    return schema.select("column_name", "data_type", txt.describe_field_kind(F.col("column_name"), F.col("data_type")).alias("description"))
+    listed = {n: t.table(n) for n in SCHEMA_TABLES}
+    schema = tables.schema_of(listed).join(tables.row_counts(listed), "table_name")
+    return schema.select("column_name", "data_type", "n_rows", txt.describe_field_kind(F.col("column_name"), F.col("data_type")).alias("description"))
 
 
 @query("footer_counts", counts_sql())

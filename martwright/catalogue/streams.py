@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from martwright.catalogue.base import Bench, query
 from martwright.session import stage_path
@@ -20,16 +21,29 @@ def _log(t: Bench) -> DataFrame:
 
 @query("stream_audit_metrics", """SELECT count(*) AS total_calls, count(*) FILTER (WHERE lower(provider) IN ('ollama', 'gemma', 'local')) AS local_calls,
 count(*) FILTER (WHERE lower(provider) NOT IN ('ollama', 'gemma', 'local', 'none', '')) AS cloud_calls, CAST(sum(redaction_count) AS BIGINT) AS total_redactions,
-CAST(sum(CASE WHEN lower(provider) NOT IN ('ollama', 'gemma', 'local', 'none', '') THEN prompt_chars END) AS BIGINT) AS cloud_prompt_chars FROM audit""")
+CAST(sum(CASE WHEN lower(provider) NOT IN ('ollama', 'gemma', 'local', 'none', '') THEN prompt_chars END) AS BIGINT) AS cloud_prompt_chars,
+round(count(*) FILTER (WHERE lower(provider) IN ('ollama', 'gemma', 'local')) * 100.0E0 / count(*), 1) AS local_pct,
+round(count(*) FILTER (WHERE lower(provider) NOT IN ('ollama', 'gemma', 'local', 'none', '')) * 100.0E0 / count(*), 1) AS cloud_pct FROM audit""")
 def stream_audit_metrics(t: Bench) -> DataFrame:
     out = stage_path(t.spark, "audit-metrics")
     calls.run_once_replacing(calls.running_metrics(_log(t)), out, stage_path(t.spark, "audit-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(out).select("total_calls", "local_calls", "cloud_calls", "total_redactions", "cloud_prompt_chars")
+    return t.spark.read.parquet(out)
+
+
+def _updated(t: Bench, stream: DataFrame, keys: list[str]) -> DataFrame:
+    out = stage_path(t.spark, "updates")
+    calls.run_once_updating(stream, out, stage_path(t.spark, "updates-checkpoint")).awaitTermination()
+    return calls.newest(t.spark.read.parquet(out), keys)
 
 
-@query("stream_calls_per_day", """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls FROM audit GROUP BY user_id, CAST(ts AS DATE))
-SELECT user_id, day, calls, calls > 200 AS over_limit FROM d WHERE day + 1 <= (SELECT max(ts) FROM audit) - INTERVAL 1 HOUR""")
+@query("stream_calls_per_day", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS calls, count(*) > 200 AS over_limit FROM audit GROUP BY user_id, CAST(ts AS DATE)")
 def stream_calls_per_day(t: Bench) -> DataFrame:
-    out = stage_path(t.spark, "calls-per-day")
-    calls.run_once(calls.calls_per_day(_log(t)), out, stage_path(t.spark, "calls-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(out)
+    return _updated(t, calls.calls_per_day(_log(t)), ["user_id", "day"])
+
+
+@query("stream_calls_sliding", """WITH e AS (SELECT user_id, time_bucket(INTERVAL '10 seconds', ts, TIMESTAMP '1970-01-01 00:00:00') AS slot FROM audit),
+w AS (SELECT user_id, slot - k * INTERVAL '10 seconds' AS window_start FROM e, range(6) r(k))
+SELECT user_id, window_start, window_start + INTERVAL '60 seconds' AS window_end, count(*) AS calls, count(*) > 20 AS over_limit FROM w GROUP BY user_id, window_start""")
+def stream_calls_sliding(t: Bench) -> DataFrame:
+    found = _updated(t, calls.calls_in_last_minute(_log(t), limit=20), ["user_id", "window_start", "window_end"])
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})

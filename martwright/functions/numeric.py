@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,6 +32,20 @@ def sql_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def double_literal(x: float | None) -> str:
+    """A double as expression text, whatever it is."""
+    if x is None:
+        return "CAST(NULL AS DOUBLE)"
+    if math.isfinite(x):
+        return f"{x!r}D"
+    return "double('NaN')" if math.isnan(x) else f"double('{'-' if x < 0 else ''}Infinity')"
+
+
+def finite_sql(v: str) -> str:
+    """A double where it is finite, else null, as expression text."""
+    return f"CASE WHEN abs({v}) < double('Infinity') THEN {v} END"
+
+
 def safe_numeric_sql(c: str) -> str:
     """``safe_numeric`` as expression text, for aggregates over many columns."""
     return f"CASE WHEN {c} RLIKE {sql_literal(NUMERIC_TEXT)} THEN try_cast(trim({c}) AS DOUBLE) END"

@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martwright import rules
 from martwright.functions import numeric as num
@@ -77,8 +78,12 @@ def standardize_columns(df: DataFrame) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """One row of each group of equal rows; nulls are equal."""
-    return df.dropDuplicates()
+    """One row of each group of equal rows; nulls are equal, and so are maps with the same entries in any order."""
+    maps = {f.name: stats.canonical(quoted(f.name), f.dataType) for f in df.schema if isinstance(f.dataType, T.MapType)}
+    if not maps:
+        return df.dropDuplicates()
+    marked = df.withColumns({f"__map{i}": c for i, c in enumerate(maps.values())})
+    return marked.dropDuplicates([c for c in marked.columns if c not in maps]).drop(*[f"__map{i}" for i in range(len(maps))])
 
 
 def _hinted(name: str) -> bool:
@@ -121,7 +126,7 @@ def handle_nulls(df: DataFrame, approx: bool = False, missing: dict[str, int] |
         seen = df.selectExpr("count(1) AS n", *[f"count_if({stats.ident(c)} IS NULL) AS m{i}" for i, c in enumerate(fillable)]).first()
         missing, rows = {c: seen[f"m{i}"] for i, c in enumerate(fillable)}, seen["n"]
     gaps = [c for c in fillable if missing[c]]
-    medians = stats.quantiles(df, [c for c in gaps if num.is_number(types[c])], [0.5], approx, at_most_rows=rows)
+    medians = stats.quantiles(df, [c for c in gaps if num.is_number(types[c])], [0.5], approx)
     changes = {}
     for c in gaps:
         if num.is_text(types[c]):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +43,21 @@ def group_by_op(df: DataFrame, key: str, column: str, op: str, name: str) -> Dat
     return df.groupBy(key).agg(_AGGREGATES.get(op.lower(), F.avg)(column).alias(name))
 
 
-def spine_join(spine: DataFrame, measures: DataFrame, key: str) -> DataFrame:
-    """Every key of the spine with the measures that exist for it.
+def group_by_ops(df: DataFrame, key: str, column: str, ops: Sequence[str], name: str) -> DataFrame:
+    """``group_by_op`` for several operations in one aggregate: a row per key and operation."""
+    found = df.groupBy(key).agg(*[_AGGREGATES.get(op.lower(), F.avg)(column).cast("double").alias(f"o{i}") for i, op in enumerate(ops)])
+    each = F.explode(F.array(*[F.struct(F.lit(op).alias("op"), F.col(f"o{i}").alias(name)) for i, op in enumerate(ops)]))
+    return found.select(key, each.alias("x")).select(key, "x.op", f"x.{name}")
+
+
+def spine_join(spine: DataFrame, measures: DataFrame, key: str, checked: bool = True) -> DataFrame:
+    """Every key of the spine once, with the measures that exist for it.
 
-    ``measures`` must already hold one row per key (an aggregate on it), so the spine's
-    row count is kept; the planner broadcasts whichever side proves small at run time.
+    A key with several rows of measures would multiply the spine: that is found first and refused, unless the caller
+    knows better.  The planner broadcasts whichever side proves small at run time.
     """
+    if checked and (twice := measures.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()) is not None:
+        raise ValueError(f"several rows of measures for key {twice[key]!r}")
     return spine.join(measures, key, "left")
 
 
@@ -61,9 +72,9 @@ def state_crosswalk(spark: SparkSession) -> DataFrame:
 
 
 def spellings(dimension: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Every accepted spelling of a key, lower-cased and trimmed, with the key it stands for."""
+    """Every accepted spelling of a key, lower-cased and trimmed, with the key it stands for; of several the smallest."""
     each = F.explode(F.array(*[F.lower(F.trim(F.col(c).cast("string"))) for c in columns]))
-    return dimension.select(each.alias("spelling"), key).filter(F.col("spelling").isNotNull()).dropDuplicates(["spelling"])
+    return dimension.select(each.alias("spelling"), key).filter(F.col("spelling").isNotNull()).groupBy("spelling").agg(F.min(key).alias(key))
 
 
 def normalize_key(df: DataFrame, raw: str, dimension: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -54,6 +54,8 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     """Min, max and mean of every numeric column, in one pass."""
     df = stats.normalize_nan(df)
     names = stats.columns_of(df, num.is_number)
+    if not names:
+        return df.sparkSession.createDataFrame([], "ordinal int, column string, min double, max double, mean double")
     return stats.long_stats(df, [
         {"ordinal": str(i), "column": num.sql_literal(c), "min": f"CAST(min({stats.ident(c)}) AS DOUBLE)",
          "max": f"CAST(max({stats.ident(c)}) AS DOUBLE)", "mean": f"round(avg({stats.ident(c)}), 4)"} for i, c in enumerate(names)])
@@ -72,7 +74,7 @@ def source_profile(df: DataFrame, table: str, spellings: DataFrame) -> DataFrame
     return rows.join(key, "table_name", "left").select(
         "table_name", "n_rows", F.lit(len(df.columns)).alias("n_fields"), "key_column", n_keys.alias("n_keys"),
         joinable.alias("joinable"), relevant.alias("relevant"),
-        F.when(relevant, ",".join(metrics[:rules.MAX_MEASURES])).otherwise("").alias("metrics"),
+        F.when(relevant, ",".join(metrics)).otherwise("").alias("metrics"),
         _reason(has_key, bool(numbers), bool(metrics), topical, joinable).alias("reason"))
 
 

@@ -7,6 +7,8 @@ them; a full profile stages both once and derives every section from there.
 
 from __future__ import annotations
 
+import math
+import sys
 from functools import cached_property, reduce
 from itertools import combinations
 
@@ -19,6 +21,8 @@ from martwright.operators import stats
 from martwright.operators.stats import ident, quoted
 from martwright.session import stage
 
+_NUMERIC_SCHEMA = ("ordinal int, column string, mean double, median double, std double, min double, max double, q1 double, q3 double, "
+                   "iqr double, outlier_count bigint, skewness double")
 ALL_PARTS = ("numbers", "lengths", "dates", "pii")
 TOP_K = 5
 
@@ -44,10 +48,10 @@ def column_facts(df: DataFrame, parts: tuple[str, ...] = ALL_PARTS) -> DataFrame
 
 
 def _number_facts(v: str | None) -> dict[str, str]:
-    texts = {"mean": "avg({v})", "std": "stddev_samp({v})", "min": "min({v})", "max": "max({v})",
+    texts = {"mean": "avg({f})", "std": "stddev_samp({f})", "min": "min({v})", "max": "max({v})",
              # Spark's skewness is the population one; the factor makes it the sample one.
-             "skewness": "CASE WHEN count({v}) > 2 THEN skewness({v}) * sqrt(count({v}) * (count({v}) - 1.0D)) / (count({v}) - 2.0D) END"}
-    return {k: t.format(v=v) if v else "CAST(NULL AS DOUBLE)" for k, t in texts.items()}
+             "skewness": "CASE WHEN count({f}) > 2 THEN skewness({f}) * sqrt(count({f}) * (count({f}) - 1.0D)) / (count({f}) - 2.0D) END"}
+    return {k: t.format(v=v, f=num.finite_sql(v)) if v else "CAST(NULL AS DOUBLE)" for k, t in texts.items()}
 
 
 def _length_facts(c: str | None) -> dict[str, str]:
@@ -103,10 +107,10 @@ def overview(df: DataFrame) -> DataFrame:
     df = stats.normalize_nan(df)
     filled = F.expr(" + ".join(f"CAST({ident(c)} IS NOT NULL AS BIGINT)" for c in df.columns))
     width = len(df.columns)
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    groups = df.groupBy(*stats.row_digest(df)).agg(F.count(F.lit(1)).alias("__n"), F.max(filled).alias("__filled"))
     totals = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
                         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),
-                        F.coalesce(F.sum(filled * F.col("__n")), F.lit(0)).alias("filled"))
+                        F.coalesce(F.sum(F.col("__filled") * F.col("__n")), F.lit(0)).alias("filled"))
     return totals.select(
         "row_count", F.lit(width).alias("column_count"), "duplicate_rows",
         num.percentage(F.col("duplicate_rows"), F.col("row_count")).alias("duplicate_pct"),
@@ -127,34 +131,45 @@ def columns(df: DataFrame, approx: bool = False, facts: DataFrame | None = None,
                     F.coalesce("unique_count", F.lit(0)).alias("unique_count")))
 
 
-def numeric(df: DataFrame, names: list[str] | None = None, approx: bool = False, **limits) -> DataFrame:
-    """Per numeric column: moments, quartiles, outliers outside the IQR fences, sample skewness."""
+def numeric(df: DataFrame, names: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """Per numeric column: moments, quartiles, outliers outside the IQR fences, sample skewness.
+
+    Infinities are values for range and quartiles and always outliers; mean, deviation and skewness are of the
+    finite values.  Without a numeric column the table is empty.
+    """
     df = stats.normalize_nan(df)
     names = names or stats.columns_of(df, num.is_number)
-    quartiles = stats.quantiles(df, names, [0.25, 0.5, 0.75], approx, **limits)
+    if not names:
+        return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
+    quartiles = stats.quantiles(df, names, [0.25, 0.5, 0.75], approx)
     rows = []
     for ordinal, name in enumerate(names):
         q1, q2, q3 = quartiles[name]
         v = f"CAST({ident(name)} AS DOUBLE)"
-        known = q1 is not None
-        low, high = (q1 - rules.IQR_FACTOR * (q3 - q1), q3 + rules.IQR_FACTOR * (q3 - q1)) if known else (0.0, 0.0)
+        known = q1 is not None and math.isfinite(q1) and math.isfinite(q3)
+        low, high = (num.double_literal(x) for x in ((q1 - rules.IQR_FACTOR * (q3 - q1), q3 + rules.IQR_FACTOR * (q3 - q1)) if known else (-sys.float_info.max, sys.float_info.max)))
         m = _number_facts(v)
         rows.append({
             "ordinal": str(ordinal), "column": num.sql_literal(name), "mean": f"round({m['mean']}, 4)", "median": _rounded(q2),
             "std": f"round({m['std']}, 4)", "min": m["min"], "max": m["max"], "q1": _rounded(q1), "q3": _rounded(q3),
             "iqr": _rounded(q3 - q1 if known else None),
-            "outlier_count": f"count_if({v} < {low!r}D OR {v} > {high!r}D)", "skewness": f"round({m['skewness']}, 4)"})
+            "outlier_count": f"count_if({v} < {low} OR {v} > {high})", "skewness": f"round({m['skewness']}, 4)"})
     return stats.long_stats(df, rows)
 
 
 def _rounded(x: float | None) -> str:
-    return "CAST(NULL AS DOUBLE)" if x is None else f"round({x!r}D, 4)"
+    return num.double_literal(x) if x is None or not math.isfinite(x) else f"round({num.double_literal(x)}, 4)"
+
+
+def _some(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns; without any the first one, so that a table of no rows keeps its schema."""
+    return df.select(*[quoted(c) for c in names or df.columns[:1]])
 
 
 def strings(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """Per string column: length statistics, empty values, whether it looks like an identifier."""
     if facts is None:
-        df = df.select(*[quoted(c) for c in stats.columns_of(df, num.is_text)])
+        df = _some(df, stats.columns_of(df, num.is_text))
         facts = column_facts(df, ("lengths",))
     share = F.try_divide(F.coalesce("unique_count", F.lit(0)).cast("double"), F.col("row_count").cast("double"))
     return (facts.filter("dtype = 'VARCHAR'").join(_distinct(df, values), "ordinal", "left")
@@ -165,7 +180,7 @@ def strings(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | N
 def moments_in_time(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Per date or time column: first, last, and whole elapsed days between them."""
     if facts is None:
-        facts = column_facts(df.select(*[quoted(c) for c in stats.columns_of(df, num.is_moment)]), ("dates",))
+        facts = column_facts(_some(df, stats.columns_of(df, num.is_moment)), ("dates",))
     return (facts.filter("dtype = 'TIMESTAMP'").select("ordinal", "column", "min_date", "max_date")
             .withColumn("range_days", num.age_days(F.col("min_date"), F.col("max_date"))))
 
@@ -177,6 +192,8 @@ def top_values(df: DataFrame, k: int = TOP_K, facts: DataFrame | None = None, va
         return (values.join(texts, "ordinal", "left_semi").select("column", F.inline("top"))
                 .select("column", "rank", "value", F.col("n").alias("occurrences")))
     names = stats.columns_of(df, num.is_text)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string, occurrences bigint")
     w = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("txt"))
     return (stats.value_counts(df.select(*[quoted(c) for c in names]), names)
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -280,10 +297,6 @@ class Profile:
     def values(self) -> DataFrame:
         return stage(value_facts(self.df), "value-facts")
 
-    @cached_property
-    def rows(self) -> int:
-        return self.facts.agg(F.max("row_count").alias("n")).first()["n"]
-
     @cached_property
     def overview(self) -> DataFrame:
         return overview(self.df)
@@ -306,7 +319,7 @@ class Profile:
 
     @cached_property
     def numeric(self) -> DataFrame | None:
-        return numeric(self.df, approx=self.approx, at_most_rows=self.rows) if stats.columns_of(self.df, num.is_number) else None
+        return numeric(self.df, approx=self.approx) if stats.columns_of(self.df, num.is_number) else None
 
     @cached_property
     def strings(self) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martwright import rules
@@ -41,8 +41,8 @@ def column_stats(df: DataFrame) -> DataFrame:
             "i": str(i), "column": num.sql_literal(f.name), "n": "count(1)", "filled": f"count({c})",
             "numbers": f"count({num.safe_numeric_sql(c)})" if num.is_text(f.dataType) else "CAST(NULL AS BIGINT)",
             "negatives": f"count_if({v} < 0)" if is_number else "CAST(NULL AS BIGINT)",
-            "mean": f"avg({v})" if is_number else "CAST(NULL AS DOUBLE)",
-            "std": f"stddev_samp({v})" if is_number else "CAST(NULL AS DOUBLE)"})
+            "mean": f"avg({num.finite_sql(v)})" if is_number else "CAST(NULL AS DOUBLE)",
+            "std": f"stddev_samp({num.finite_sql(v)})" if is_number else "CAST(NULL AS DOUBLE)"})
     return stats.long_stats(df, rows)
 
 
@@ -95,13 +95,13 @@ def no_negatives(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 
 
 def extreme_outliers(df: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """No value lies more than five standard deviations from the mean; constant columns are skipped."""
+    """No value lies more than five standard deviations from the mean, both of the finite values; constant columns are skipped."""
     df = stats.normalize_nan(df)
     seen = column_stats(df) if seen is None else seen
     # One row per column reaches the driver; the second pass over the data then needs no join.
     spread = seen.filter("std > 0").select("i", "column", "mean", "std").collect()
     rows = [{"i": str(r["i"]), "column": num.sql_literal(r["column"]),
-             "bad": f"count_if(abs((CAST({stats.ident(r['column'])} AS DOUBLE) - {r['mean']!r}D) / {r['std']!r}D) > {rules.EXTREME_STD})"}
+             "bad": f"count_if(abs((CAST({stats.ident(r['column'])} AS DOUBLE) - {num.double_literal(r['mean'])}) / {num.double_literal(r['std'])}) > {rules.EXTREME_STD})"}
             for r in spread]
     if not rows:
         return _no_checks(df)
@@ -163,6 +163,13 @@ def by_dimension(checks: DataFrame) -> DataFrame:
                  F.min("ordinal").alias("first_ordinal")))
 
 
+def dimension_details(checks: DataFrame) -> DataFrame:
+    """Every check under its quality dimension, with its place there: dimension, place, check, passed, detail."""
+    dimension = txt.check_dimension(F.col("check"))
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy("ordinal", "check"))  # a few checks per column
+    return checks.withColumn("dimension", dimension).select("dimension", place.alias("place"), "check", "passed", "detail")
+
+
 def mart_checks(mart: DataFrame, spine_rows: int, population: str, bands: list[str], per_capita: str,
                 measures: list[str], allowed_gaps: int = 5) -> DataFrame:
     """Invariants of a mart, in one pass: grain, population, sanity bands, spend, coverage."""

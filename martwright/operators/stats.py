@@ -14,12 +14,9 @@ from martwright.session import stage
 
 # A side is broadcast only when the optimizer's size estimate stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Up to this many rows the built-in percentile may hold a column's value map in one task.
-PERCENTILE_ROWS = 100_000
-# Buckets a bracket is cut into per pass when searching quantiles in larger data.
+# Buckets a bracket is cut into when searching quantiles, and the size and rank error of the sketch that gives brackets.
 BUCKETS = 4096
-# A bucket of at most this many rows is searched by sorting its values.
-SORTED_ROWS = 1_000_000
+_SKETCH_K, _SKETCH_ERROR = 4096, 0.002
 _APPROX_ACCURACY = 10_000
 # Aggregate expressions per job, to stay inside generated-code limits.
 EXPRESSIONS_PER_JOB = 500
@@ -111,7 +108,8 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         c, t = ident(name), types[name]
         whole = f"CAST({c} AS BIGINT)" if num.is_integral(t) else "CAST(NULL AS BIGINT)"
         real = f"CAST({c} AS DOUBLE) + 0.0D" if num.is_fractional(t) else "CAST(NULL AS DOUBLE)"
-        text = "CAST(NULL AS STRING)" if num.is_number(t) else text_sql(c, t)
+        # A decimal is told apart by its exact text and ordered by its double.
+        text = "CAST(NULL AS STRING)" if num.is_number(t) and not isinstance(t, T.DecimalType) else text_sql(c, t)
         cells.append(_named_struct({"ordinal": str(ordinal), "column": num.sql_literal(name), "whole": whole, "real": real, "txt": text}))
     return (df.selectExpr(f"inline(array({', '.join(cells)}))")
             .filter("whole IS NOT NULL OR real IS NOT NULL OR txt IS NOT NULL")
@@ -138,9 +136,30 @@ def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) ->
     return value_counts(df, columns).groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits that stand for a whole row, so that a count of equal rows shuffles no wide rows.
+
+    Which cells are null is part of it; signed zeros are equal; a map is its sorted entries.
+    """
+    cells = []
+    for f in df.schema:
+        c = quoted(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0).cast(f.dataType)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = canonical(c, f.dataType)
+        cells += [c.isNull(), c]
+    return [F.xxhash64(F.lit(seed), *cells).alias(f"__d{seed}") for seed in (0, 1)]
+
+
+def canonical(c: Column, t: T.DataType) -> Column:
+    """A nested value as text that is equal for equal values, whatever the order of map entries."""
+    return F.to_json(F.array_sort(F.map_entries(c))) if isinstance(t, T.MapType) else F.to_json(c)
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: total rows and rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    groups = df.groupBy(*row_digest(df)).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
                       F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
@@ -148,98 +167,103 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 # --- exact quantiles -------------------------------------------------------------------------------
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: bool = False, at_most_rows: int | None = None,
-              percentile_rows: int = PERCENTILE_ROWS, buckets: int = BUCKETS, sorted_rows: int = SORTED_ROWS) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], approx: bool = False, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
     """Interpolated quantiles of several numeric columns; only scalars reach the driver.
 
-    Small inputs use the built-in exact percentile.  It keeps a map of all distinct
-    values in one task, so larger inputs narrow brackets around the wanted ranks
-    instead: each pass counts rows per bucket of the open brackets (one hash aggregate,
-    combined before its tiny shuffle) and keeps the bucket that holds the rank, until
-    that bucket holds a single value or few enough rows to sort.
-    A caller that knows a bound on the rows passes ``at_most_rows`` and may save a pass.
+    Three passes at any size.  A sketch brackets every wanted rank.  One aggregate counts the values below
+    each bracket and in it, which proves that the rank is inside (a bracket that missed it becomes the whole
+    column).  The bracketed values, a few thousandths of the rows, are counted by value, and running
+    counts over buckets, then over one bucket's values, end at the rank.
+    Infinities are values at either end; null and NaN are none.
     """
     if not columns:
         return {}
-    values = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS v{i}" for i, c in enumerate(columns)])
+    values = df.selectExpr(*[f"nanvl(CAST({ident(c)} AS DOUBLE), NULL) AS v{i}" for i, c in enumerate(columns)])
     if approx:
         at = ", ".join(f"{p}D" for p in probs)
         row = values.selectExpr(*[f"percentile_approx(v{i}, array({at}), {_APPROX_ACCURACY}) AS q{i}" for i in range(len(columns))]).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-    if at_most_rows is not None and at_most_rows <= percentile_rows:
-        return _percentiles(values, columns, probs)
-    total = values.selectExpr(*[f"{f}(v{i}) AS {f}{i}" for i in range(len(columns)) for f in ("count", "min", "max")]).first()
-    counts = [total[f"count{i}"] for i in range(len(columns))]
-    if max(counts) <= percentile_rows:
-        return _percentiles(values, columns, probs)
-    targets = [(i, rank) for i, n in enumerate(counts) if n
-               for rank in sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})]
-    found = _order_statistics(values, {t: (total[f"min{t[0]}"], total[f"max{t[0]}"], t[1]) for t in targets}, buckets, sorted_rows)
+    seen = _sketched(values, len(columns), probs)
+    wanted, found = {}, {}
+    for i, row in enumerate(seen):
+        for rank in sorted({r for p in probs for r in (math.floor((row["n"] - 1) * p), math.ceil((row["n"] - 1) * p))}) if row["n"] else ():
+            inner = rank - row["low"]
+            if inner < 0 or inner >= row["finite"]:
+                found[i, rank] = -math.inf if inner < 0 else math.inf
+            else:
+                wanted[i, rank] = (inner, _bracket(row, inner))
+    found |= _order_statistics(values, wanted, [(row["lo"], row["hi"]) for row in seen], buckets)
     result: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        at = [(counts[i] - 1) * p for p in probs]
-        ends = [(found[i, math.floor(x)], found[i, math.ceil(x)], x - math.floor(x)) if counts[i] else None for x in at]
-        result[c] = [low + (high - low) * part for low, high, part in ends] if counts[i] else [None] * len(probs)
+    for i, (c, row) in enumerate(zip(columns, seen)):
+        at = [(row["n"] - 1) * p for p in probs]
+        result[c] = [_between(found[i, math.floor(x)], found[i, math.ceil(x)], x - math.floor(x)) for x in at] if row["n"] else [None] * len(probs)
     return result
 
 
-def _percentiles(values: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    at = ", ".join(f"{p}D" for p in probs)
-    row = values.agg(*[F.expr(f"percentile(v{i}, array({at})) AS q{i}") for i in range(len(columns))]).first()
-    return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+def _between(low: float, high: float, part: float) -> float:
+    """Linear interpolation; between a number and an infinity lies that infinity."""
+    if low == high or not part:
+        return low
+    return low if low == -math.inf else low + (high - low) * part
 
 
-def _order_statistics(values: DataFrame, targets: dict, buckets: int, sorted_rows: int) -> dict:
-    """The value at each (column, rank).
+def _sketched(values: DataFrame, n: int, probs: list[float]) -> list[dict]:
+    """Per column: rows, rows of minus infinity, finite rows, their ends, and sketched values around each probability."""
+    grid = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_SKETCH_ERROR, _SKETCH_ERROR)})
+    ranks = ", ".join(f"{g!r}D" for g in grid)
+    aggs, reads = [], []
+    for i in range(n):
+        finite = f"CASE WHEN abs(v{i}) < double('Infinity') THEN v{i} END"
+        aggs += [f"count(v{i}) AS n{i}", f"count_if(v{i} = double('-Infinity')) AS low{i}", f"count({finite}) AS finite{i}", f"min({finite}) AS lo{i}", f"max({finite}) AS hi{i}",
+                 f"kll_sketch_agg_double({finite}, {_SKETCH_K}) AS s{i}"]
+        reads += [*(f"{c}{i}" for c in ("n", "low", "finite", "lo", "hi")), f"CASE WHEN finite{i} > 0 THEN kll_sketch_get_quantile_double(s{i}, array({ranks})) END AS at{i}"]
+    row = values.selectExpr(*aggs).selectExpr(*reads).first()
+    return [{c: row[f"{c}{i}"] for c in ("n", "low", "finite", "lo", "hi")} | {"at": list(zip(grid, row[f"at{i}"] or ()))} for i in range(n)]
 
-    ``targets`` maps a target to (lowest, highest, offset): the smallest and largest value
-    of its bracket and the target's rank inside it.
-    """
-    found: dict = {}
-    small: dict = {}
-    spread = 0
-    while True:
-        found |= {t: lo for t, (lo, hi, _) in targets.items() if lo == hi}
-        targets = {t: b for t, b in targets.items() if t not in found and t not in small}
-        if not targets:
-            break
-        hits = _holding(values, targets, lambda v, lo, hi: _bucket(v, lo, hi, buckets, spread))
-        targets = {t: (h["lo"], h["hi"], targets[t][2] - h["before"]) for t, h in hits.items()}
-        small |= {t: targets[t] for t, h in hits.items() if h["n"] <= sorted_rows}
-        spread = (spread + 1) % 3
-    small = {t: b for t, b in small.items() if t not in found}
-    if small:
-        found |= {t: h["lo"] for t, h in _holding(values, small, lambda v, lo, hi: v).items()}
-    return found
-
-
-def _holding(values: DataFrame, targets: dict, group) -> dict:
-    """For each target the group of its bracket that holds its rank: n, before, lo, hi.
-
-    One pass: rows of the open brackets are counted per group, then running counts over
-    the groups of a bracket (buckets, or the values of a small bracket) find the rank.
-    """
-    brackets = list(dict.fromkeys((t[0], lo, hi) for t, (lo, hi, _) in targets.items()))
+
+def _bracket(row: dict, rank: int) -> tuple[float, float]:
+    """The sketched values that most likely enclose a rank among the finite ones."""
+    share = rank / max(row["finite"] - 1, 1)
+    below = [v for g, v in row["at"] if g <= share - _SKETCH_ERROR / 2]
+    above = [v for g, v in row["at"] if g >= share + _SKETCH_ERROR / 2]
+    return (below[-1] if below else row["lo"]), (above[0] if above else row["hi"])
+
+
+def _order_statistics(values: DataFrame, wanted: dict, ends: list[tuple[float, float]], buckets: int) -> dict:
+    """The value at each (column, rank); ``wanted`` maps it to its rank among finite values and a bracket."""
+    if not wanted:
+        return {}
+    brackets = list(dict.fromkeys((t[0], *b) for t, (_, b) in wanted.items()))
+    row = values.selectExpr(*[f"count_if(v{i} > double('-Infinity') AND v{i} < {lo!r}D) AS b{j}" for j, (i, lo, _) in enumerate(brackets)],
+                            *[f"count_if(v{i} BETWEEN {lo!r}D AND {hi!r}D) AS m{j}" for j, (i, lo, hi) in enumerate(brackets)]).first()
+    place = {}
+    for t, (rank, b) in wanted.items():
+        j = brackets.index((t[0], *b))
+        if row[f"b{j}"] <= rank < row[f"b{j}"] + row[f"m{j}"]:
+            place[t] = ((t[0], *b), rank - row[f"b{j}"])
+        else:
+            place[t] = ((t[0], *ends[t[0]]), rank)
+    done = {t: b[1] for t, (b, _) in place.items() if b[1] == b[2]}
+    place = {t: p for t, p in place.items() if t not in done}
+    if not place:
+        return done
+    brackets = list(dict.fromkeys(b for b, _ in place.values()))
     inside = [f"v{i} BETWEEN {lo!r}D AND {hi!r}D" for i, lo, hi in brackets]
-    cells = [f"CASE WHEN {test} THEN named_struct('b', {j}, 'k', {group(f'v{i}', lo, hi)}, 'v', v{i}) END"
-             for j, ((i, lo, hi), test) in enumerate(zip(brackets, inside))]
-    counted = (values.filter(" OR ".join(inside)).selectExpr(f"inline(array_compact(array({', '.join(cells)})))").groupBy("b", "k")
-               .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    upto = F.sum("n").over(Window.partitionBy("b").orderBy("k"))
-    place = {t: brackets.index((t[0], lo, hi)) for t, (lo, hi, _) in targets.items()}
-    wanted = " OR ".join(f"(b = {place[t]} AND before <= {offset} AND {offset} < before + n)" for t, (_, _, offset) in targets.items())
-    rows = counted.withColumn("before", upto - F.col("n")).filter(wanted).collect()
-    return {t: next(r for r in rows if r["b"] == place[t] and r["before"] <= offset < r["before"] + r["n"])
-            for t, (_, _, offset) in targets.items()}
-
-
-def _bucket(v: str, lo: float, hi: float, buckets: int, spread: int) -> str:
-    """Bucket number of a value, never falling as the value grows.
-
-    Passes take turns between even buckets and buckets that get finer towards either end,
-    so neither a long tail nor a wide range of magnitudes slows the search.
-    """
-    share = f"(({v} * 0.5D - {lo * 0.5!r}D) / {hi * 0.5 - lo * 0.5!r}D)"
-    fine = "ln(1 + {x} * 1.0E12D) / ln(1 + 1.0E12D)"
-    place = (share, fine.format(x=share), f"(1 - {fine.format(x=f'(1 - {share})')})")[spread]
-    return f"CAST(floor({place} * {buckets}) AS INT)"
+    cells = [f"CASE WHEN {test} THEN named_struct('b', {j}, 'v', v{i} + 0.0D) END" for j, ((i, lo, hi), test) in enumerate(zip(brackets, inside))]
+    counted = values.filter(" OR ".join(inside)).selectExpr(f"inline(array_compact(array({', '.join(cells)})))").groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    bucket = " ".join(f"WHEN {j} THEN {_bucket('v', lo, hi, buckets)}" for j, (_, lo, hi) in enumerate(brackets))
+    counted = stage(counted.withColumn("k", F.expr(f"CASE b {bucket} END")), "bracketed")
+    # Up to as many rows as there are buckets per bracket; then the values of one bucket per rank.
+    before = F.sum("n").over(Window.partitionBy("b").orderBy("k")) - F.col("n")
+    totals = counted.groupBy("b", "k").agg(F.sum("n").alias("n")).withColumn("before", before)
+    ranks = {t: (brackets.index(b), rank) for t, (b, rank) in place.items()}
+    holds = totals.filter(" OR ".join(f"(b = {j} AND before <= {rank} AND {rank} < before + n)" for j, rank in ranks.values()))
+    running = Window.partitionBy("b", "k").orderBy("v")
+    chosen = counted.join(F.broadcast(holds.select("b", "k", "before")), ["b", "k"]).withColumn("start", F.col("before") + F.sum("n").over(running) - F.col("n"))
+    rows = chosen.filter(" OR ".join(f"(b = {j} AND start <= {rank} AND {rank} < start + n)" for j, rank in ranks.values())).collect()
+    return done | {t: next(r["v"] for r in rows if r["b"] == j and r["start"] <= rank < r["start"] + r["n"]) for t, (j, rank) in ranks.items()}
+
+
+def _bucket(v: str, lo: float, hi: float, buckets: int) -> str:
+    """Bucket number of a value, never falling as the value grows; halves keep the width of the widest range finite."""
+    return f"CAST(floor(({v} * 0.5D - {lo * 0.5!r}D) / {hi * 0.5 - lo * 0.5!r}D * {buckets}) AS INT)"

@@ -1,27 +1,30 @@
-"""Read-only SQL: clean the text, refuse what could write or escape, run the rest."""
+"""Read-only SQL: clean the text, parse it, refuse all but queries over known tables, run the rest once."""
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from martwright import rules
 from martwright.functions import text as txt
-from martwright.session import pin_utc
+from martwright.session import pin_utc, rows_seen, stage
 
-# What Spark could do beyond reading tables: change data under WITH, run programs, call Java, read any path.
-_SPARK_REFUSALS = (
-    (r"(?i)\bMERGE\b", "Forbidden keyword in SQL: MERGE"),
-    (r"(?i)\bTRANSFORM\s*\(.*\bUSING\b", "Script transforms are not allowed"),
-    (r"(?i)\b(try_)?reflect\s*\(|\bjava_method\s*\(", "Calling Java methods is not allowed"),
-    (r"(?i)\b[a-z]+\s*\.\s*`[^`]*[/\\][^`]*`", "Reading paths as tables is not allowed"),
-)
+# Parsed nodes a plain query consists of; anything else (commands, scripts, streams, hints on files) is refused.
+_QUERY_NODES = {
+    "Aggregate", "AggregateInPandas", "CTERelationDef", "Distinct", "Except", "Expand", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "Limit", "LocalLimit",
+    "LocalRelation", "Offset", "OneRowRelation", "ParameterizedQuery", "Pivot", "Project", "Range", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Tail", "Transpose", "Union",
+    "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedOrdinal", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction",
+    "UnresolvedWith", "Unpivot", "Window", "WithCTE", "WithWindowDefinition",
+}
+# Built-in functions that reach beyond the tables: Java calls, and what tells of or stops the machine.
+_BARRED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "raise_error", "assert_true", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "user",
+                     "session_user", "version", "spark_partition_id"}
 
 
 @dataclass
@@ -42,40 +45,93 @@ class ConsoleResult:
 
 
 def review(spark: SparkSession, raw: str) -> tuple[str, str]:
-    """The cleaned statement and the reason it may not run (empty when it may)."""
+    """The cleaned statement and the reason its words rule it out (empty when they don't)."""
     cleaned = txt.clean_sql(F.lit(raw))
-    seen = spark.range(1).select(cleaned.alias("sql"), txt.sql_rejection(cleaned).alias("reason"), *[
-        cleaned.rlike(p).alias(f"r{i}") for i, (p, _) in enumerate(_SPARK_REFUSALS)]).first()
-    spark_reason = next((why for i, (_, why) in enumerate(_SPARK_REFUSALS) if seen[f"r{i}"]), "")
-    return seen["sql"], seen["reason"] or spark_reason
+    seen = spark.range(1).select(cleaned.alias("sql"), txt.sql_rejection(cleaned).alias("reason")).first()
+    return seen["sql"], seen["reason"]
+
+
+def _items(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.size()))
+
+
+def _nodes(plan, plans) -> Iterator:
+    """A parsed plan's nodes and their expressions, those of subqueries and of WITH included."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node
+        name = node.getClass().getSimpleName()
+        todo += _items(node.children())
+        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            todo.append(node.plan())
+        if name == "UnresolvedWith":
+            todo += (pair._2() for pair in _items(node.cteRelations()))
+        elif plans.isInstance(node):
+            todo += _items(node.expressions())
+
+
+def refusal(session: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> str:
+    """Why a statement is more than a query over known tables, by its parsed form; nothing runs.
+
+    Every plan node must be one a query is made of, every relation one of ``tables``, of the statement's own WITH names
+    or of the catalogue, and every function a built-in one that stays inside the tables.
+    """
+    jvm = session._jvm
+    plans = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+    parsed = list(_nodes(session._jsparkSession.sessionState().sqlParser().parsePlan(sql), plans))
+    known = {r["function"] for r in session.sql("SHOW SYSTEM FUNCTIONS").collect()}
+    own = {name.lower() for name in tables}
+    for node in parsed:
+        if node.getClass().getSimpleName() == "UnresolvedWith":
+            own |= {pair._1().lower() for pair in _items(node.cteRelations())}
+    for node in parsed:
+        name = node.getClass().getSimpleName()
+        if plans.isInstance(node) and name not in _QUERY_NODES:
+            return f"Only queries are allowed: {name}"
+        if name == "UnresolvedRelation":
+            path = list(_items(node.multipartIdentifier()))
+            if not (len(path) == 1 and path[0].lower() in own) and not session.catalog.tableExists(".".join(f"`{p.replace('`', '``')}`" for p in path)):
+                if len(path) > 1 or any(c in path[0] for c in "/\\:"):
+                    return "Only tables of the catalogue are allowed"
+        if name in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            path = [p.lower() for p in _items(node.nameParts() if name == "UnresolvedFunction" else node.name())]
+            if path[-1] not in known or path[-1] in _BARRED_FUNCTIONS:
+                return f"Function is not allowed: {path[-1]}"
+    return ""
 
 
 def run_readonly(spark: SparkSession, raw: str, tables: Mapping[str, DataFrame] | None = None,
                  max_rows: int = rules.CONSOLE_MAX_ROWS) -> ConsoleResult:
     """Run one SELECT in a session of its own, over the catalogue and the given tables.
 
-    The statement is only planned until its plan is known to be a plain query:
-    ``spark.sql`` would execute a command as soon as it is parsed.
+    In that session files can't be named as tables.  The statement runs once: its rows are staged in their order and
+    counted by the write, ``rows`` reads the first ``max_rows`` of them back.
     """
+    tables = tables or {}
     sql, reason = review(spark, raw)
     if reason:
         return ConsoleResult(False, sql, rejected=True, reason=reason)
     session = spark.newSession()
     pin_utc(session)
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
     clock = time.monotonic()
-    shared = {name: f"console_{uuid.uuid4().hex}" for name in tables or {}}
+    shared = {name: f"console_{uuid.uuid4().hex}" for name in tables}
     try:
+        if reason := refusal(session, sql, tables):
+            return ConsoleResult(False, sql, rejected=True, reason=reason)
         for name, alias in shared.items():
             tables[name].createOrReplaceGlobalTempView(alias)
             session.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.{alias}")
-        plan = session.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
-        if "ScriptTransformation" in plan:
-            return ConsoleResult(False, sql, rejected=True, reason="Script transforms are not allowed")
         df = session.sql(sql)
-        count = df.count()
+        seen, names = Observation(), df.columns
+        plain = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("place", F.monotonically_increasing_id())
+        staged = stage(plain.observe(seen, F.count(F.lit(1)).alias("n")), "console")
+        count = rows_seen(seen)
     except PySparkException as problem:
         return ConsoleResult(False, sql, reason=f"Spark error: {str(problem).splitlines()[0]}")
     finally:
         for alias in shared.values():
             spark.catalog.dropGlobalTempView(alias)
-    return ConsoleResult(True, sql, rows=df.limit(max_rows), row_count=count, elapsed_ms=round((time.monotonic() - clock) * 1000, 1))
+    rows = staged.orderBy("place").limit(max_rows).drop("place").toDF(*names)
+    return ConsoleResult(True, sql, rows=rows, row_count=count, elapsed_ms=round((time.monotonic() - clock) * 1000, 1))

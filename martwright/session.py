@@ -7,6 +7,7 @@ never re-runs the lineage behind it, and column pruning still applies.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _STAGE_SUBDIR = "martwright_stage"
 _LOCAL_FOLDERS: dict[str, str] = {}
+_OWNED: set[str] = set()
 
 
 def get_session(app_name: str = "martwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,23 +48,43 @@ def pin_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session that names none gets a temporary folder; a cluster that
-    names none falls back to its warehouse, which is shared by definition.
+    Where it is unset, a local session gets a temporary folder and a cluster its warehouse, but only if that lies in a
+    shared store: a ``file:`` warehouse is another disk on every machine.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not re.match(r"(?!file:)[a-z0-9+.-]+:", warehouse, re.IGNORECASE):
+            raise RuntimeError(f"set {CHECKPOINT_KEY}: {warehouse} is not shared by the executors")
+        return warehouse
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="martwright-")
     return _LOCAL_FOLDERS[app]
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def stage_folder(spark: SparkSession) -> str:
+    """Where this application stages; it goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{_STAGE_SUBDIR}/{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _OWNED.add(folder)
+    return folder
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; no two calls share one."""
-    return f"{shared_folder(spark)}/{_STAGE_SUBDIR}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the application's stage folder; no two calls share one."""
+    return f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def rows_seen(observation: Observation) -> int:

@@ -6,6 +6,7 @@ import re
 import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from martwright import rules
 from martwright.session import rows_seen
 
 SEPARATORS = (",", "\t", ";", "|")
-_SNIFF_LINES = 50
 
 
 @dataclass
@@ -61,48 +61,76 @@ def _nothing(spark: SparkSession, name: str, error: str) -> Extract:
     return Extract(spark.createDataFrame([], T.StructType([])), name, error=error)
 
 
-def sniff_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The candidate that occurs equally often on every leading line, else the most frequent one."""
-    lines = spark.read.text(path).limit(_SNIFF_LINES)
-    seen = lines.agg(*[f(F.length("value") - F.length(F.replace("value", F.lit(s), F.lit("")))).alias(f"{tag}{i}")
-                       for i, s in enumerate(SEPARATORS) for tag, f in (("lo", F.min), ("hi", F.max))]).first()
-    score = {s: (seen[f"lo{i}"] == seen[f"hi{i}"], seen[f"lo{i}"] or 0) for i, s in enumerate(SEPARATORS) if (seen[f"hi{i}"] or 0) > 0}
-    return max(score, key=score.get) if score else ","
+@dataclass(frozen=True)
+class Shape:
+    """What one pass over all lines of a text file tells."""
 
+    separator: str
+    encoding: str
 
-def text_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else Latin-1 (which accepts any byte)."""
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
-    return "ISO-8859-1" if broken.count() else "UTF-8"
+
+def shape(spark: SparkSession, path: str) -> Shape:
+    """Separator and encoding, in one pass over every line.
+
+    The separator is the candidate that occurs equally often on every line, else the one no line lacks or that is most
+    frequent; UTF-8 unless some line is not, then Latin-1 (which accepts any byte).
+    """
+    n = [F.length("value") - F.length(F.replace("value", F.lit(s), F.lit(""))) for s in SEPARATORS]
+    seen = spark.read.text(path).agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("broken"),
+        *[f(c).alias(f"{tag}{i}") for i, c in enumerate(n) for tag, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))]).first()
+    score = {s: (seen[f"lo{i}"] == seen[f"hi{i}"], seen[f"lo{i}"] or 0, seen[f"sum{i}"]) for i, s in enumerate(SEPARATORS) if (seen[f"hi{i}"] or 0) > 0}
+    return Shape(max(score, key=score.get) if score else ",", "ISO-8859-1" if seen["broken"] else "UTF-8")
 
 
 def read_delimited(spark: SparkSession, path: str, schema=None, multi_line: bool = False, **options) -> DataFrame:
-    """CSV or TSV with a header; separator and encoding are found from the file.
+    """CSV or TSV with a header; what the caller leaves open of separator and encoding is found from the file.
 
     Without ``multi_line`` big files split across tasks; set it when quoted values hold line breaks.
     """
-    reader = (spark.read.option("header", True).option("sep", options.pop("sep", None) or sniff_separator(spark, path))
-              .option("encoding", options.pop("encoding", None) or text_encoding(spark, path))
+    found = None if {"sep", "encoding"} <= options.keys() else shape(spark, path)
+    reader = (spark.read.option("header", True).option("sep", options.pop("sep", None) or found.separator)
+              .option("encoding", options.pop("encoding", None) or found.encoding)
               .option("quote", '"').option("escape", '"').option("multiLine", multi_line).options(**options))
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Record arrays, JSON lines, or one object of column lists."""
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
-    line = head["value"].strip() if head else ""
-    lines = line.startswith("{") and line.endswith("}") and not _is_column_lists(spark, path, line)
-    reader = spark.read.option("multiLine", not lines)
-    df = reader.schema(schema).json(path) if schema is not None else reader.json(path)
-    if all(isinstance(f.dataType, T.ArrayType) for f in df.schema) and df.columns and not lines:
-        return df.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in df.columns])))
-    return df
+def json_layouts(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files of a path by layout: True for one object per line, False for one document per file; by all their lines."""
+    line = F.trim("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line")).where("line <> ''")
+    whole = F.col("line").startswith("{") & F.col("line").endswith("}")
+    files = lines.groupBy("file").agg(F.count_if(~whole).alias("parts"), F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    out: dict[bool, list[str]] = {}
+    for r in files.orderBy("file").collect():
+        by_line = r["parts"] == 0 and not (r["n"] == 1 and _is_column_lists(spark, r["line"]))
+        out.setdefault(by_line, []).append(r["file"])
+    return out
 
 
-def _is_column_lists(spark: SparkSession, path: str, line: str) -> bool:
+def read_json(spark: SparkSession, path: str, schema=None, lines: bool | None = None) -> DataFrame:
+    """Record arrays, JSON lines, or objects of column lists.
+
+    Each file's layout is decided by its own lines, or for all by ``lines``; files of different layouts are read apart and
+    united by column name.  A file that is one document is one task.
+    """
+    layouts = json_layouts(spark, path) if lines is None else {lines: [path]}
+    parts = []
+    for by_line, files in sorted(layouts.items()):
+        reader = spark.read.option("multiLine", not by_line)
+        df = reader.schema(schema).json(files) if schema is not None else reader.json(files)
+        if all(isinstance(f.dataType, T.ArrayType) for f in df.schema) and df.columns and not by_line:
+            df = df.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in df.columns])))
+        parts.append(df)
+    if not parts:
+        return spark.read.json(path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _is_column_lists(spark: SparkSession, line: str) -> bool:
     """A single object on one line whose every member is a list."""
-    shape = spark.range(1).select(F.schema_of_json(F.lit(line)).alias("s")).first()["s"]
-    kinds = [f.dataType for f in T._parse_datatype_string(shape)]
+    shape_of = spark.range(1).select(F.schema_of_json(F.lit(line)).alias("s")).first()["s"]
+    kinds = [f.dataType for f in T._parse_datatype_string(shape_of)]
     return bool(kinds) and all(isinstance(t, T.ArrayType) for t in kinds)
 
 

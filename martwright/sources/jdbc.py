@@ -39,17 +39,28 @@ def limited(engine: str, source: str, max_rows: int) -> str:
     return f"(SELECT * FROM {source} LIMIT {max_rows}) limited_rows"
 
 
-def read_table(spark: SparkSession, engine: str, options: dict[str, str], table: str, max_rows: int | None = rules.JDBC_MAX_ROWS,
+def read_table(spark: SparkSession, engine: str, options: dict[str, str], table: str, max_rows: int | None = None,
                partition_column: str | None = None, lower: object = None, upper: object = None, partitions: int = 16) -> DataFrame:
-    """A table, limited by the server; or the whole table in parallel ranges of ``partition_column``."""
-    reader = spark.read.format("jdbc").options(**options)
+    """A whole table, in parallel ranges of ``partition_column`` if given; at most ``max_rows`` rows, by the server, only if asked for."""
+    reader = spark.read.format("jdbc").options(**table_options(engine, table, max_rows, partition_column, lower, upper, partitions), **options)
+    return reader.load()
+
+
+def table_options(engine: str, table: str, max_rows: int | None = None, partition_column: str | None = None, lower: object = None,
+                  upper: object = None, partitions: int = 16) -> dict[str, str]:
+    """What to read, with the limit inside the source, so that it holds for parallel ranges too."""
+    chosen = {"dbtable": table if max_rows is None else limited(engine, table, max_rows)}
     if partition_column:
-        return reader.options(dbtable=table, partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper),
-                              numPartitions=str(partitions)).load()
-    return reader.option("dbtable", table if max_rows is None else limited(engine, table, max_rows)).load()
+        chosen |= {"partitionColumn": partition_column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
+    return chosen
 
 
-def read_query(spark: SparkSession, options: dict[str, str], sql: str, max_rows: int | None = rules.JDBC_MAX_ROWS) -> DataFrame:
-    """The result of one query, at most ``max_rows`` rows."""
+def read_query(spark: SparkSession, options: dict[str, str], sql: str, max_rows: int | None = None) -> DataFrame:
+    """The result of one query; at most ``max_rows`` rows only if asked for."""
     df = spark.read.format("jdbc").options(**options).option("query", sql).load()
     return df if max_rows is None else df.limit(max_rows)
+
+
+def capped(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """At most ``max_rows`` rows, and whether there are more: read one more than wanted, then call this."""
+    return df.limit(max_rows), df.limit(max_rows + 1).count() > max_rows

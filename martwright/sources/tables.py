@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions import numeric as num
 from martwright.functions import text as txt
-from martwright.session import rows_seen, shared_folder
+from martwright.session import rows_seen
 
 AUDIT_SCHEMA = ("ts timestamp, task string, provider string, model string, latency_s double, prompt_chars long, "
                 "redaction_count long, success boolean")
@@ -40,14 +41,30 @@ def cached_pull(spark: SparkSession, folder: str, name: str, pull: Callable[[],
 
 
 def load_table(df: DataFrame, name: str, folder: str | None = None) -> int:
-    """Create or replace a table and return the rows written, counted by the write itself."""
+    """Create or replace a table and return the rows written, counted by the write itself.
+
+    The rows go to a new version beside the old one, and the table is switched only once they are there: a failed
+    write leaves the old table, and a table can be rebuilt from itself.  The default place is the warehouse.
+    """
     spark = df.sparkSession
     seen = Observation()
-    location = f"{(folder or shared_folder(spark)).rstrip('/')}/tables/{name}"
+    home = f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}_versions"
+    version = f"{home}/{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(version)
+    count = rows_seen(seen)
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-    (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("path", location)
-     .format("parquet").saveAsTable(f"`{name}`"))
-    return rows_seen(seen)
+    spark.catalog.createTable(f"`{name}`", path=version, source="parquet", schema=df.schema)
+    _keep_only(spark, home, version)
+    return count
+
+
+def _keep_only(spark: SparkSession, home: str, version: str) -> None:
+    """Delete the other versions of a table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(path):
+        if status.getPath().getName() != version.rsplit("/", 1)[-1]:
+            store.delete(status.getPath(), True)
 
 
 def drop_dataset(spark: SparkSession, name: str, history: DataFrame, history_path: str) -> DataFrame:
@@ -96,18 +113,14 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def footer_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Rows per parquet table from file footers: the count is pushed into the scan."""
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.sources.useV1SourceList", "spark.sql.parquet.aggregatePushdown")}
-    try:
-        spark.conf.set("spark.sql.sources.useV1SourceList", "")
-        spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
-        counts = row_counts({t: spark.read.parquet(p) for t, p in paths.items()})
-        # Planning happens under the settings above, and footers are all a count reads.
-        rows = [(r["table_name"], r["n_rows"]) for r in counts.collect()]
-    finally:
-        for key, value in old.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.createDataFrame(rows, "table_name string, n_rows long")
+    """Rows per parquet table from file footers: the count is pushed into the scan.
+
+    The settings this takes are those of a session of its own; the result's plan keeps them.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return row_counts({t: own.read.parquet(p) for t, p in paths.items()})
 
 
 def table_catalog(counts: DataFrame, reserved=("reporting_state_health",), hidden=("pipeline_runs",), labels: DataFrame | None = None) -> DataFrame:

@@ -43,6 +43,25 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
             .trigger(availableNow=True).format("parquet").start(path))
 
 
+def run_once_updating(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process all available input; every batch appends what it changed, open windows included, under its number.
+
+    State stays bounded by the watermark; ``newest`` reads the result.  A batch that is run again replaces its own rows.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(add).start())
+
+
+def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of each key, from the batch with the highest number."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
+
+
 def run_once_replacing(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process all available input; each batch replaces the result (complete mode)."""
     def replace(batch: DataFrame, _: int) -> None:

@@ -165,12 +165,28 @@ def test_console_runs_selects(spark, people):
 
 @pytest.mark.parametrize("sql", ["DROP TABLE people", "SELECT 1 -- DELETE", "WITH a AS (SELECT 1 AS id) MERGE INTO people USING a ON true WHEN MATCHED THEN DELETE",
                                  "SELECT TRANSFORM(id) USING 'cat' AS x FROM people", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM parquet.`/etc/x`",
-                                 "SELECT * FROM csv . `/etc/passwd`", "SELECT java_method('java.util.UUID', 'randomUUID')", ""])
+                                 "SELECT * FROM csv . `/etc/passwd`", "SELECT java_method('java.util.UUID', 'randomUUID')", "",
+                                 "SELECT `reflect`('java.lang.System', 'nanoTime')", "SELECT `java_method`('java.util.UUID', 'randomUUID')",
+                                 "SELECT reflect/**/('java.util.UUID', 'randomUUID')", "SELECT * FROM `text`.`/etc/hostname`", "SELECT * FROM text/**/.`/etc/hostname`",
+                                 "SELECT (SELECT `reflect`('java.util.UUID', 'randomUUID'))", "WITH x AS (SELECT * FROM `text`.`/etc/hostname`) SELECT * FROM x",
+                                 "SELECT * FROM people WHERE id IN (SELECT `try_reflect`('java.util.UUID', 'randomUUID'))", "SELECT no_such_function(id) FROM people"])
 def test_console_refuses(spark, people, sql):
     result = console.run_readonly(spark, sql, people)
     assert not result.ok and result.rejected and result.reason
 
 
+def test_console_runs_plain_queries(spark, people):
+    for sql, n in (("SELECT g, count(*) AS n FROM people GROUP BY g HAVING count(*) > 0 ORDER BY g", 3), ("SELECT p.*, q.* FROM people p JOIN people q ON p.id = q.id LIMIT 2", 2),
+                   ("SELECT * FROM people WHERE id IN (SELECT max(id) FROM people)", 1), ("SELECT id, row_number() OVER (PARTITION BY g ORDER BY id) AS r FROM people", None),
+                   ("SELECT 1 AS a UNION ALL SELECT 2", 2), ("SELECT explode(array(1, 2)) AS x", 2), ("SELECT * FROM VALUES (1), (2) t(a)", 2)):
+        result = console.run_readonly(spark, sql, people)
+        assert result.ok, (sql, result.reason)
+        assert n is None or result.row_count == n
+    ordered = console.run_readonly(spark, "SELECT id FROM people ORDER BY id DESC", people)
+    ids = [r["id"] for r in ordered.rows.collect()]
+    assert ids == sorted(ids, reverse=True)
+
+
 def test_console_reports_engine_errors_apart(spark, people):
     result = console.run_readonly(spark, "SELECT nope FROM people", people)
     assert not result.ok and not result.rejected and result.reason.startswith("Spark error")

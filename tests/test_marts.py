@@ -126,3 +126,19 @@ def test_facts_save(spark, inputs, tmp_path):
     assert all(df.columns for df in out.values())
     built.save(str(tmp_path), "mart_saved")
     assert spark.table("mart_saved").count() == 51
+
+
+def test_spine_join_refuses_repeated_keys(spark):
+    from martwright.operators import joins
+
+    spine, measures = spark.range(3).toDF("k"), spark.createDataFrame([(1, 2.0), (1, 3.0)], "k long, v double")
+    with pytest.raises(ValueError, match="key 1"):
+        joins.spine_join(spine, measures, "k")
+    assert joins.spine_join(spine, measures.limit(1), "k").count() == 3
+
+
+def test_clashing_spellings_take_the_smallest_key(spark):
+    from martwright.operators import joins
+
+    dimension = spark.createDataFrame([(2, "North"), (1, " north ")], "k int, name string")
+    assert {(r.spelling, r.k) for r in joins.spellings(dimension, "k", "name").collect()} == {("north", 1)}

@@ -13,15 +13,32 @@ def test_quantiles_by_narrowing_equal_numpy(spark, kind):
             "wide": 10.0 ** rng.uniform(-200, 200, n), "constant": np.full(n, 7.0)}[kind]
     df = spark.createDataFrame([(float(x),) for x in data], "v double")
     probs = [0.0, 0.25, 0.5, 0.77, 1.0]
-    for sorted_rows in (0, 50, n):
-        got = stats.quantiles(df, ["v"], probs, percentile_rows=10, buckets=16, sorted_rows=sorted_rows)["v"]
-        assert np.allclose(got, np.quantile(data, probs), rtol=1e-12, atol=0)
-    assert np.allclose(stats.quantiles(df, ["v"], probs)["v"], np.quantile(data, probs), rtol=1e-12, atol=0)
+    for buckets in (2, 16, 4096):
+        assert np.allclose(stats.quantiles(df, ["v"], probs, buckets=buckets)["v"], np.quantile(data, probs), rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("n", [101, 50_000, 150_000])
+def test_quantiles_with_infinities_are_the_same_at_every_size(spark, n):
+    df = spark.range(n).selectExpr("CASE WHEN id = 0 THEN double('Infinity') WHEN id = 1 THEN double('-Infinity') WHEN id = 2 THEN double('NaN') ELSE CAST(id AS DOUBLE) END AS v",
+                                   "double('Infinity') AS w")
+    data = np.array([-np.inf, *range(3, n), np.inf])
+    got = stats.quantiles(df, ["v", "w"], [0.0, 0.25, 0.5, 1.0])
+    assert got == {"v": [-np.inf, float(np.quantile(data, 0.25)), float(np.quantile(data, 0.5)), np.inf], "w": [np.inf] * 4}
+
+
+def test_decimals_keep_their_digits(spark):
+    df = spark.sql("SELECT CAST(v AS DECIMAL(38,18)) AS d FROM VALUES ('1.000000000000000001'), ('1.000000000000000002'), ('1.000000000000000002') t(v)")
+    assert stats.distinct_counts(df, ["d"]).first()["unique_count"] == 2
+
+
+def test_row_digests_tell_nulls_and_maps_apart(spark):
+    df = spark.sql("SELECT * FROM VALUES (NULL, 1, map('a', 1, 'b', 2)), (1, NULL, map('a', 1)), (1, NULL, map('a', 1)), (NULL, 1, map('b', 2, 'a', 1)) t(a, b, m)")
+    assert tuple(stats.duplicate_count(df).first()) == (4, 2)
 
 
 def test_quantiles_skip_missing_and_handle_empty(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "a double, b double")
-    for limits in ({}, {"percentile_rows": 1, "buckets": 4, "sorted_rows": 0}):
+    for limits in ({}, {"buckets": 4}):
         got = stats.quantiles(df, ["a", "b"], [0.5], **limits)
         assert got == {"a": [2.0], "b": [None]}
 
