@@ -5,7 +5,8 @@ random, so that the distance over the first columns estimates the whole (Gao & L
 Approximate Nearest Neighbor Search: with Reliable and Efficient Distance Comparison Operations"), and lie
 in column blocks.  In each probed list a query first measures a few vectors in full; the others are followed
 block by block, and one is abandoned once a test says that its distance, judged by the columns so far,
-exceeds the k-th best.  Survivors get their exact inner product of original vectors.
+exceeds the k-th best.  Survivors get their exact inner product of original vectors.  The nearest lists are
+searched first; what their k-th best is worth goes with the query to the others.
 
 Centroids are fitted on a bounded sample; every row is indexed.  The number of lists to probe is the
 smallest that reaches the wanted recall in the sample.  Long lists are dealt out in parts of bounded size,
@@ -34,6 +35,8 @@ RECALL, TUNING_QUERIES = 0.97, 200
 PART_ROWS, QUERY_ROWS = 1024, 256
 #: Columns of a block, candidates measured in full first, and the width of the test in standard deviations.
 BLOCK_COLUMNS, FIRST_ROWS, DEVIATIONS = 16, 64, 2.1
+#: Nearest lists a query searches before the others are told its k-th best; share of pairs (one in so many) below which pairs are taken singly.
+FIRST_LISTS, DENSE_SHARE = 8, 8
 SEED = 11
 
 
@@ -81,36 +84,49 @@ def build(sample: np.ndarray, largest: float, lists: int, k: int = K, recall: fl
     return Index(rotation, largest, centroids, int(np.quantile(needed, recall, method="higher")) if needed.size else 1)
 
 
-def scan(queries: np.ndarray, rows: np.ndarray, barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query and row numbers of the pairs that were not abandoned.  All vectors rotated; ``barred`` pairs are out.
+def scan(queries: np.ndarray, rows: np.ndarray, barred: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Query and row numbers of the pairs that were not abandoned, the k nearest of each query and ties.
 
-    Survivors hold the k smallest distances of each query but for what the test abandons by error.
+    All vectors are rotated; ``barred`` pairs are out; ``limit`` holds a squared distance per query beyond which nothing is
+    wanted.  While many pairs are left a block's distances are one matrix product, then they are taken pair by pair.
     """
-    size = rows.shape[1]
-    first = min(len(rows), FIRST_ROWS)
-    whole = ((queries[:, None, :] - rows[None, :first, :]) ** 2).sum(axis=2)
-    whole[barred[:, :first]] = np.inf
-    limit = np.sort(whole, axis=1)[:, k - 1] if first >= k else np.full(len(queries), np.inf)
-    q_first, c_first = np.nonzero(whole <= limit[:, None])
-    seen = np.isfinite(whole[q_first, c_first])
-    found = [(q_first[seen], c_first[seen])]
-    if first < len(rows):
-        q, c = np.nonzero(~barred[:, first:])
-        c, partial = c + first, np.zeros(len(q))
-        for a in range(0, size, BLOCK_COLUMNS):
-            b = min(size, a + BLOCK_COLUMNS)
-            if a == 0:
-                left, right = queries[:, a:b], rows[first:, a:b]
-                block = (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2.0 * (left @ right.T)
-                partial = block[q, c - first]
-            else:
-                partial = partial + ((queries[q, a:b] - rows[c, a:b]) ** 2).sum(axis=1)
-            # At the last column the test is the comparison itself; rounding gets some room.
-            slack = (b / size) * (1.0 + DEVIATIONS / np.sqrt(b)) ** 2 if b < size else 1.0 + 1e-9
-            stay = partial <= limit[q] * slack + 1e-12
-            q, c, partial = q[stay], c[stay], partial[stay]
-        found.append((q, c))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    size, first = rows.shape[1], min(len(rows), FIRST_ROWS)
+    limit = np.full(len(queries), np.inf) if limit is None else limit
+
+    def block(a: int, b: int, upto: int) -> np.ndarray:
+        left, right = queries[:, a:b], rows[:upto, a:b]
+        return (left**2).sum(axis=1)[:, None] + (right**2).sum(axis=1)[None, :] - 2.0 * (left @ right.T)
+
+    if first >= k:
+        whole = np.where(barred[:, :first], np.inf, block(0, size, first))
+        limit = np.minimum(limit, np.partition(whole, k - 1, axis=1)[:, k - 1])
+    alive, partial, sparse = ~barred, np.zeros((len(queries), len(rows))), None
+    for a in range(0, size, BLOCK_COLUMNS):
+        b = min(size, a + BLOCK_COLUMNS)
+        # At the last column the test is the comparison itself; rounding gets some room.
+        slack = (b / size) * (1.0 + DEVIATIONS / np.sqrt(b)) ** 2 if b < size else 1.0 + 1e-9
+        if sparse is None and alive.sum() * DENSE_SHARE < alive.size:
+            q, c = np.nonzero(alive)
+            sparse = (q, c, partial[q, c])
+        if sparse is None:
+            partial += block(a, b, len(rows))
+            alive &= partial <= (limit * slack + 1e-9)[:, None]
+        else:
+            q, c, seen = sparse
+            seen = seen + ((queries[q, a:b] - rows[c, a:b]) ** 2).sum(axis=1)
+            stay = seen <= limit[q] * slack + 1e-9
+            sparse = (q[stay], c[stay], seen[stay])
+    if sparse is None:
+        q, c = np.nonzero(alive)
+        sparse = (q, c, partial[q, c])
+    q, c, seen = sparse
+    order = np.lexsort((seen, q))
+    q, c, seen = q[order], c[order], seen[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    worst = np.full(len(queries), np.inf)
+    worst[q[place == k - 1]] = seen[place == k - 1]
+    stay = seen <= worst[q] * (1.0 + 1e-9) + 1e-9
+    return q[stay], c[stay]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -153,10 +169,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
                 order = sent.value.distances(rotated).argsort(axis=1)
                 enough = (np.cumsum(counts[order], axis=1) <= k).sum(axis=1) + 1  # lists that hold more than k rows
                 use = np.minimum(np.maximum(enough, sent.value.probes), order.shape[1])
-                yield pd.DataFrame({"query_id": frame["vec_id"], "q": frame["x"], "q_rotated": list(rotated), "lists": [o[:n] for o, n in zip(order, use, strict=True)]})
-
-    asked = stage(indexed.where("asked").select("vec_id", "x").mapInPandas(probe, "query_id long, q array<double>, q_rotated array<double>, lists array<long>"), "ann_queries")
-    probing = asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("m"))
+                first = np.minimum(np.maximum(enough, FIRST_LISTS), use)
+                yield pd.DataFrame({"query_id": frame["vec_id"], "q": frame["x"], "q_rotated": list(rotated), "near": [o[:n] for o, n in zip(order, first, strict=True)],
+                                    "far": [o[n:m] for o, n, m in zip(order, first, use, strict=True)]})
+
+    asked = stage(indexed.where("asked").select("vec_id", "x").mapInPandas(probe, "query_id long, q array<double>, q_rotated array<double>, near array<long>, far array<long>"), "ann_queries")
+    near = stage(_search(indexed, asked.select("query_id", "q", "q_rotated", "near", F.lit(None).cast("double").alias("tau")), "near", sizes, index.largest, k), "ann_near")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kth = near.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("score").alias("tau"))
+    told = stage(asked.join(kth, "query_id", "left").select("query_id", "q", "q_rotated", "far", "tau"), "ann_told")
+    found = near.unionByName(_search(indexed, told, "far", sizes, index.largest, k))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(indexed: DataFrame, asked: DataFrame, lists: str, sizes: DataFrame, largest: float, k: int) -> DataFrame:
+    """The k best of each part of each list in ``lists`` that are not below the query's ``tau``."""
+    probing = asked.select(F.explode(lists).alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("m"))
     parts = stage(sizes.join(probing, "list").select(
         "list", F.ceil(F.col("n") / PART_ROWS).cast("long").alias("parts"), F.ceil(F.col("m") / QUERY_ROWS).cast("long").alias("q_parts")), "ann_parts")
 
@@ -164,7 +192,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     left = indexed.select("vec_id", "x", "rotated", "list").join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("q_part", each("q_parts"))
-    right = asked.select("query_id", "q", "q_rotated", F.explode("lists").alias("list")).join(F.broadcast(parts), "list").withColumn(
+    right = asked.select("query_id", "q", "q_rotated", "tau", F.explode(lists).alias("list")).join(F.broadcast(parts), "list").withColumn(
         "q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts"))).withColumn("part", each("parts"))
     key = ["list", "part", "q_part"]
 
@@ -173,16 +201,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         candidates = candidates.sort_values("vec_id")
         ids, query_ids = candidates["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        q_at, c_at = scan(np.stack(queries["q_rotated"].to_list()), np.stack(candidates["rotated"].to_list()), query_ids[:, None] == ids[None, :], k)
         q, c = np.stack(queries["q"].to_list()), np.stack(candidates["x"].to_list())
+        tau = queries["tau"].to_numpy(float)
+        limit = np.where(np.isnan(tau), np.inf, (largest**2 + (q * q).sum(axis=1) - 2.0 * tau) * (1.0 + 1e-9) + 1e-9)
+        q_at, c_at = scan(np.stack(queries["q_rotated"].to_list()), np.stack(candidates["rotated"].to_list()), query_ids[:, None] == ids[None, :], k, limit)
         score = (q[q_at] * c[c_at]).sum(axis=1)
-        found = pd.DataFrame({"query_id": query_ids[q_at], "vec_id": ids[c_at], "score": score})
-        return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        order = np.lexsort((ids[c_at], -score, q_at))
+        q_at, c_at, score = q_at[order], c_at[order], score[order]
+        keep = (np.arange(len(q_at)) - np.searchsorted(q_at, q_at) < k) & ~(score < tau[q_at])
+        return pd.DataFrame({"query_id": query_ids[q_at[keep]], "vec_id": ids[c_at[keep]], "score": score[keep]})
 
-    found = left.select(*key, "vec_id", "x", "rotated").groupBy(*key).cogroup(right.select(*key, "query_id", "q", "q_rotated").groupBy(*key)).applyInPandas(
+    return left.select(*key, "vec_id", "x", "rotated").groupBy(*key).cogroup(right.select(*key, "query_id", "q", "q_rotated", "tau").groupBy(*key)).applyInPandas(
         search, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 @query("op5_ann")
