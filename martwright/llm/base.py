@@ -57,9 +57,24 @@ def draw(*parts: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, by: str, rows: int, seed: str) -> DataFrame:
-    """About ``rows`` rows of each value of ``by`` (all of a smaller group), chosen by a hash of ``key``; no group meets in one task."""
+    """About ``rows`` rows of each value of ``by`` (all of a smaller group), chosen by a hash of ``key``; no group meets in one task.
+
+    ``by`` holds classes: the model to be learned has a column for each, so a row for each can be broadcast.
+    """
     sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
-    return df.join(sizes, F.col(by) == F.col("_by")).where(draw(F.lit(seed), F.col(key)) * F.col("_n") < rows).drop("_by", "_n")
+    return df.join(F.broadcast(sizes), F.col(by) == F.col("_by")).where(draw(F.lit(seed), F.col(key)) * F.col("_n") < rows).drop("_by", "_n")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices with about ``most`` bytes of a text column each (one row at least), so that a worker's memory stays bounded."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def in_order(df: DataFrame, order: Sequence[str], totals: Sequence[str] = (), label: str = "order") -> DataFrame:

@@ -9,9 +9,10 @@ them, and a word met again in a task is not summed again.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm.base import bounded_sample, held_out, query, table, vocabulary_file
+from martwright.llm.base import bounded_sample, held_out, query, slices, table, vocabulary_file
 from martwright.llm.lattice import SPACE, blocks, steps, vocabulary
 from martwright.session import stage
 
@@ -30,8 +31,8 @@ SAMPLE_DOCS = 400
 ROUNDS = 3
 SMOOTHING = 50.0
 LONGEST_LEARNED = 64
-KEPT_WORDS = 300_000
-TEXTS_AT_ONCE = 2_000_000
+KEPT_WORDS = 400_000
+BYTES_AT_ONCE = 2_000_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
@@ -44,6 +45,7 @@ class LanguageModel:
     languages: tuple[str, ...]
     pieces: np.ndarray
     vocabulary_path: str
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def words_of(text: str) -> list[str]:
@@ -59,32 +61,33 @@ def forward(words: list[str], model: LanguageModel) -> np.ndarray:
         table_ = model.pieces
         if extra:
             table_ = np.vstack([table_, *(np.prod(model.pieces[b], axis=0) for b in extra.values())])
-        longest = max(map(len, block))
-        sums = np.zeros((len(block), longest + 1, kinds))
-        sums[:, 0] = 1.0
-        logs, scaled_at = np.zeros((len(block), kinds)), 0
         sizes = np.array([len(w) for w in block])
+        sums = np.zeros((int(sizes.max()) + 1, len(block), kinds))
+        sums[0] = 1.0
+        logs, scaled_at = np.zeros((len(block), kinds)), 0
         result = np.zeros((len(block), kinds))
         done = 0
+
+        def read_off() -> None:
+            # Words that end where all sums are known.
+            ready = np.flatnonzero(sizes == done)
+            if len(ready):
+                result[ready] = np.log(sums[done, ready]) + logs[ready]
+
         for e, k, part in steps(end, length):
             if e > done:
-                # Once all sums at an end are known, words that end there are read off; now and then all are rescaled.
-                ready = sizes == done
-                if ready.any():
-                    result[ready] = np.log(sums[ready, done]) + logs[ready]
+                read_off()
                 if done - scaled_at >= vocab.longest:
                     window = slice(max(0, done - vocab.longest), done + 1)
-                    top = sums[:, window].max(axis=1)
+                    top = sums[window].max(axis=0)
                     top[top <= 0] = 1.0
-                    sums[:, window] /= top[:, None]
+                    sums[window] /= top
                     logs += np.log(top)
                     scaled_at = done
                 done = e
             rows = at[part]
-            sums[rows, e] += sums[rows, e - k] * table_[ids[part]]
-        ready = sizes == done
-        if ready.any():
-            result[ready] = np.log(sums[ready, done]) + logs[ready]
+            sums[e, rows] += sums[e - k, rows] * table_[ids[part]]
+        read_off()
         out.append(result)
         place.update(zip(block, range(len(place), len(place) + len(block)), strict=True))
     if not words:
@@ -187,40 +190,46 @@ class Scorer:
         self.model, self.place, self.logs = model, {}, np.zeros((0, len(model.languages) + 1))
 
     def _learn(self, words: list[str]) -> None:
-        parts = [[SPACE + run for run in _LETTERS.findall(w)] for w in words]
+        parts = [[SPACE + w] if w.isalpha() else [SPACE + run for run in _LETTERS.findall(w)] for w in words]
         distinct = list(dict.fromkeys(p for ps in parts for p in ps))
-        logs = dict(zip(distinct, forward(distinct, self.model), strict=True))
-        fresh = np.array([[*np.sum([logs[p] for p in ps], axis=0), 1.0] if ps else np.zeros(self.logs.shape[1]) for ps in parts]).reshape(len(words), -1)
+        place, logs = {p: n for n, p in enumerate(distinct)}, forward(distinct, self.model)
+        owner = np.repeat(np.arange(len(words)), [len(ps) for ps in parts])
+        fresh = np.zeros((len(words), self.logs.shape[1]))
+        np.add.at(fresh, owner, np.column_stack([logs, np.ones(len(logs))])[[place[p] for ps in parts for p in ps]])
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.logs = np.vstack([self.logs, fresh])
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Best language and its share of the total probability (languages equally likely beforehand)."""
         names, shares = [], []
-        at = 0
-        while at < len(texts):
-            chars, to = 0, at
-            while to < len(texts) and (to == at or chars < TEXTS_AT_ONCE):
-                chars += len(texts[to] or "")
-                to += 1
-            lists = [words_of(t) if t else [] for t in texts[at:to]]
-            if len(self.place) > KEPT_WORDS:
-                self.place, self.logs = {}, self.logs[:0]
-            missing = [w for w in set().union(*lists) if w not in self.place]
-            if missing:
-                self._learn(missing)
-            for words in lists:
-                sums = self.logs[list(map(self.place.__getitem__, words))].sum(axis=0) if words else np.zeros(self.logs.shape[1])
-                if not sums[-1] or not self.model.languages:
-                    names.append(UNDETERMINED), shares.append(0.0)
-                    continue
-                best = int(np.argmax(sums[:-1]))
-                names.append(self.model.languages[best])
-                shares.append(float(1.0 / np.exp(sums[:-1] - sums[best]).sum()))
-            at = to
+        lists = [words_of(t) if t else [] for t in texts]
+        if len(self.place) > KEPT_WORDS:
+            self.place, self.logs = {}, self.logs[:0]
+        missing = [w for w in set().union(*lists) if w not in self.place]
+        if missing:
+            self._learn(missing)
+        for words in lists:
+            sums = self.logs[list(map(self.place.__getitem__, words))].sum(axis=0) if words else np.zeros(self.logs.shape[1])
+            if not sums[-1] or not self.model.languages:
+                names.append(UNDETERMINED), shares.append(0.0)
+                continue
+            best = int(np.argmax(sums[:-1]))
+            names.append(self.model.languages[best])
+            shares.append(float(1.0 / np.exp(sums[:-1] - sums[best]).sum()))
         return names, shares
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(model: LanguageModel) -> Scorer:
+    """The process's scorer of a model; that of an earlier model goes."""
+    if model.key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.key] = Scorer(model)
+    return _SCORERS[model.key]
+
+
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with ``lang_pred`` and ``score`` (0 to 1) for every whole text.
 
@@ -230,8 +239,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        for batch in batches:
+        scorer = _scorer(sent.value)
+        for batch in slices(batches, -1, BYTES_AT_ONCE):
             names, shares = scorer.score(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*keep, "lang_pred", "score"])
 

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm.base import bounded_sample, held_out, query, table
+from martwright.llm.base import bounded_sample, held_out, query, slices, table
 
 CHUNK_BYTES, STEP_BYTES = 512, 448
 VECTOR, FILTERS, WIDTH = 8, 16, 6
 #: Learning reads about this many labelled documents of each class, and of each up to so many chunks spread over it.
 SAMPLE_DOCS, SAMPLE_CHUNKS = 1000, 4
 STEPS, BATCH, RATE, DECAY = 500, 64, 0.01, 1e-4
-CHUNKS_AT_ONCE = 64
+CHUNKS_AT_ONCE, BYTES_AT_ONCE = 64, 4_000_000
 SEED = 7
 
 
@@ -198,7 +198,7 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", keep: tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in slices(batches, -1, BYTES_AT_ONCE):
             texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.score(texts), pa.float64())], names=[*keep, "score"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martwright.llm.base import query, table
+from martwright.llm.base import query, slices, table
 from martwright.llm.components import components
 from martwright.session import stage
 
@@ -35,6 +35,7 @@ DEALS = 3
 #: Children of an index node, groups large enough to be skipped as a whole, and node pairs expanded at once.
 FAN, LARGE_GROUP, PAIRS_AT_ONCE = 8, 64, 200_000
 BATCH_ROWS = 200_000
+BYTES_AT_ONCE = 8_000_000
 
 
 def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches, -1, BYTES_AT_ONCE):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             codes = np.array([fingerprint(t or b"", words_each) for t in texts], "<u8").view("<i8")
             keys = np.arange(at, at + len(texts), dtype=np.int64)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from martwright.llm.base import in_order, query, table, vocabulary_file
+from martwright.llm.base import in_order, query, slices, table, vocabulary_file
 from martwright.session import stage_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,7 @@ ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.
                "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 #: Parts kept per worker process, and the longest part that is kept.
 KEPT_PARTS, KEPT_LENGTH = 600_000, 64
+BYTES_AT_ONCE = 8_000_000
 #: White space, letters and numbers by Unicode property, below U+0250.
 WHITE = "\\t-\\r \\x85\\xa0"
 LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
@@ -96,7 +97,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, row = caching_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<i4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1, BYTES_AT_ONCE):
             ids = [encoder.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype=np.int64)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
