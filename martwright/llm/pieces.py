@@ -16,7 +16,6 @@ import functools
 import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martwright.llm.base import query, table, vocabulary_file
-from martwright.llm.lattice import SPACE, Vocabulary, vocabulary
+from martwright.llm.base import query, slices, table, vocabulary_file
+from martwright.llm.lattice import SPACE, Vocabulary, blocks, steps, vocabulary
 from martwright.session import stage
 
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-KEPT_WORDS = 600_000
-TEXTS_AT_ONCE = 2_000_000
+KEPT_WORDS = 400_000
+BYTES_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 500
 #: The digest of ids is the sum of id times place (from 1), modulo this prime.
 DIGEST_PRIME = (1 << 31) - 1
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -92,31 +91,36 @@ def trace(text: str, sums: np.ndarray, end: int, entry: np.ndarray, vocab: Vocab
         at -= length
 
 
-def solve(word: str, vocab: Vocabulary) -> list[int]:
-    """Ids of the best segmentation of a whole word."""
-    get, scores, longest, n = vocab.begins.get, vocab.score_list, vocab.longest, len(word)
-    sums, last, back = [LOWEST] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    sums[0] = 0.0
-    for i in range(n):  # of one end the longer pieces come first: at equal sums they stay
-        here, single = sums[i], False
-        for e in range(i + 1, min(n, i + longest) + 1):
-            found = get(word[i:e])
-            if found is None:
-                break
-            if found >= 0:
-                single |= e == i + 1
-                value = here + scores[found]
-                if value > sums[e]:
-                    sums[e], last[e], back[e] = value, found, i
-        if not single and here + vocab.fallback_score > sums[i + 1]:
-            sums[i + 1], last[i + 1], back[i + 1] = here + vocab.fallback_score, -1, i
-    ids, e = [], n
-    while e:
-        i = back[e]
-        ids += [last[e]] if last[e] >= 0 else reversed(vocab.fallback(word[i]))
-        e = i
-    ids.reverse()
-    return ids
+def solve(words: list[str], vocab: Vocabulary) -> Iterator[tuple[str, bytes]]:
+    """Each word with the ids of its best segmentation as 32-bit integers, many words at a time."""
+    for block in blocks(words):
+        at, end, length, ids, extra = vocab.matches(block)
+        scores = np.append(vocab.scores, np.full(len(extra), vocab.fallback_score))
+        sizes = np.array([len(w) for w in block])
+        sums = np.full((int(sizes.max()) + 1, len(block)), LOWEST)
+        sums[0] = 0.0
+        last, back = np.zeros(sums.shape, np.int32), np.zeros(sums.shape, np.int8)
+        for e, k, part in steps(end, length):  # of one end the shorter pieces first: at equal sums the longer one stays
+            rows = at[part]
+            value = sums[e - k, rows] + scores[ids[part]]
+            better = value >= sums[e, rows]
+            rows = rows[better]
+            sums[e, rows], last[e, rows], back[e, rows] = value[better], ids[part][better], k
+        rows, e, taken = np.arange(len(block)), sizes.copy(), []
+        while len(rows):  # all words are traced back together, a piece at a time
+            taken.append((rows, last[e[rows], rows]))
+            e[rows] -= back[e[rows], rows]
+            rows = rows[e[rows] > 0]
+        row, piece = (np.concatenate(x) for x in zip(*taken, strict=True))
+        order = np.lexsort((-np.arange(len(row)), row))
+        ends = np.cumsum(np.bincount(row, minlength=len(block))).tolist()
+        flat = piece[order].astype("<i4")
+        raw = flat.tobytes()
+        for word, a, b in zip(block, [0, *ends[:-1]], ends, strict=True):
+            found = raw[4 * a : 4 * b]
+            if extra and (flat[a:b] >= vocab.size).any():
+                found = array("i", [j for i in flat[a:b].tolist() for j in (extra.get(i) or (i,))]).tobytes()
+            yield word, found
 
 
 class WordEncoder:
@@ -129,35 +133,13 @@ class WordEncoder:
         """Make sure that all these words are in the table."""
         if len(self.ids) > KEPT_WORDS:
             self.ids = {}
-        for word in words:
-            if word not in self.ids:
-                self.ids[word] = array("i", solve(word, self.vocab)).tobytes()
-
-    def sum(self, words: list[str]) -> float:
-        """The sum of all these words' scores; a character that fell back to bytes counts once."""
-        self.prepare(set(words))
-        return sum(self._sum(w) * n for w, n in Counter(words).items())
-
-    def _sum(self, word: str) -> float:
-        ids = np.frombuffer(self.ids[word], "<i4")
-        of_bytes = np.isin(ids, self.vocab.byte_ids)
-        pieces = self.vocab.scores[ids[~of_bytes]].sum()
-        return float(pieces + self.vocab.fallback_score * sum(c not in self.vocab.id_of for c in word) if of_bytes.any() else pieces)
+        self.ids.update(solve([w for w in words if w not in self.ids], self.vocab))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of normalised texts as 32-bit integers."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            chars, to = 0, at
-            while to < len(texts) and (to == at or chars < TEXTS_AT_ONCE):
-                chars += len(texts[to])
-                to += 1
-            lists = [_WORD.findall(t) for t in texts[at:to]]
-            self.prepare(set().union(*lists))
-            out += [b"".join(map(self.ids.__getitem__, words)) for words in lists]
-            at = to
-        return out
+        lists = [_WORD.findall(t) for t in texts]
+        self.prepare(set().union(*lists))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in lists]
 
 
 # ---- chunks of giant documents
@@ -190,7 +172,11 @@ class Chunk:
         return _WORD.findall(self.body[first:last])
 
     def matrix(self) -> np.ndarray:
-        """Best sum from each state at the left to each state at the right."""
+        """Best sum from each state at the left to each state at the right, less what all paths share.
+
+        Between the first and the last place that no piece crosses all paths are the same; a number that is the same for
+        all states changes no choice, here or further on, and is left out.
+        """
         states, n = self.states, len(self.body)
         out = np.full((states, states), LOWEST)
         if self.cut is None:
@@ -199,14 +185,13 @@ class Chunk:
                 out[s, : len(sums) - n] = sums[n : n + states]
             return out
         first, last = self.cut
-        middle = self.encoder.sum(self._inner())
         head = np.full(states, LOWEST)
         for s in range(min(states, first + 1)):
             head[s] = best_sums(self.body[:first], {s: 0.0}, self.vocab, first)[first]
         tail = np.full(states, LOWEST)
         ends = best_sums(self.text[last:], {0: 0.0}, self.vocab, n - last)[n - last :]
         tail[: len(ends[:states])] = ends[:states]
-        return head[:, None] + middle + tail[None, :]
+        return head[:, None] + tail[None, :]
 
     def _entered(self, entry: np.ndarray, stop: int, upto: int) -> np.ndarray:
         return best_sums(self.text[:upto], {s: v for s, v in enumerate(entry) if v > LOWEST and s <= upto}, self.vocab, stop)
@@ -288,7 +273,7 @@ def encode_whole(docs: DataFrame, path: str, keep: tuple[str, ...], text: str =
     """``keep`` and ``ids`` of every text of up to ``chunk_chars`` characters; a null or empty text has no ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for batch in batches:
+        for batch in slices(batches, -1, BYTES_AT_ONCE):
             ids = encoder.encode([normal(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()])
             ends = np.cumsum([0, *(len(b) // 4 for b in ids)])
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -410,8 +395,10 @@ def encode_and_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_
 
     def shorts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_results(batch.columns[-1], vocab)], names=[*held, *(n for n, _ in RESULT)])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_results(batch.columns[-1], vocab)], names=[*held, *(n for n, _ in RESULT)])
 
     def giant(key: tuple, chunks: pa.Table) -> pa.Table:
         # The chunks of one text: what a row held.
