@@ -73,7 +73,7 @@ FROM {conversations}""",
   WHEN 3 THEN ' Do the same people also have both conditions?' ELSE '' END) AS request
 FROM {conversations} c LEFT JOIN {part} p ON c.conv_id = p.p_partkey""",
     "catalog_rows": """SELECT CASE p_name WHEN 'small ring' THEN 'DIA01' WHEN 'red widget' THEN 'NPW14' ELSE upper(replace(p_name, ' ', '_')) END AS question_id,
-  p_name AS question, min(p_type) AS topic, CAST(row_number() OVER (ORDER BY p_name) AS BIGINT) AS ordinal
+  p_name AS question, min(p_type) AS topic, CAST(min(p_partkey) AS BIGINT) AS ordinal
 FROM {part} GROUP BY p_name""",
     "picked": """SELECT l.l_orderkey AS request_id, l.l_linenumber AS ordinal, concat(' ', lower(p.p_type), ' ') AS measure
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",

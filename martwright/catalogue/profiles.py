@@ -177,14 +177,16 @@ def profile_issues(t: Bench) -> DataFrame:
     return profile.issues(t.dirty_orders)
 
 
+_CORRELATED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2", "net", "sparse")
+
+
 @query("correlations", " UNION ALL ".join(
     f"""SELECT column_1, column_2, round(r, 4) AS correlation FROM (SELECT '{a}' AS column_1, '{b}' AS column_2, corr({a}, {b}) AS r FROM (
-SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_quantity * 2 + l_tax AS q2, l_extendedprice * (1 - l_discount) AS net FROM lineitem)) WHERE abs(r) > 0.7"""
-    for i, a in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2", "net"))
-    for b in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2", "net")[i + 1:]))
+SELECT *, l_quantity * 2 + l_tax AS q2, l_extendedprice * (1 - l_discount) AS net, CASE WHEN l_linenumber <> 3 THEN l_quantity * 3 END AS sparse FROM lineitem)) WHERE abs(r) > 0.7"""
+    for i, a in enumerate(_CORRELATED) for b in _CORRELATED[i + 1:]))
 def correlations(t: Bench) -> DataFrame:
-    df = t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_quantity") * 2 + F.col("l_tax")).alias("q2"),
-                           (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    """All numeric columns, two derived ones and one with gaps."""
+    df = t.lineitem.selectExpr("*", "l_quantity * 2 + l_tax AS q2", "l_extendedprice * (1 - l_discount) AS net", "CASE WHEN l_linenumber <> 3 THEN l_quantity * 3 END AS sparse")
     return profile.correlations(df)
 
 

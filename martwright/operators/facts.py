@@ -1,7 +1,7 @@
 """Facts derived from a built mart: rankings, correlations, quadrants, composite index, histogram, findings.
 
-A mart has one row per spine key.  Medians and bounds are scalar subqueries of the
-same plan, so nothing is collected and nothing is cross-joined.
+A mart has one row per spine key.  Medians and bounds are found first, by one aggregate and one
+quantile search, and enter the plan as literals: a few numbers, whatever the size.
 """
 
 from __future__ import annotations
@@ -18,9 +18,19 @@ from martwright.operators import stats
 N_BINS = 6
 
 
-def scalar(df: DataFrame, value: Column) -> Column:
-    """An aggregate over ``df`` as a scalar subquery."""
-    return df.agg(value.alias("value")).scalar()
+def ends(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """Smallest and largest value of each column, by one aggregate, and the number of rows under ``""``."""
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("double")).alias(f"{tag}{i}") for i, c in enumerate(columns) for tag, f in (("lo", F.min), ("hi", F.max))]).first()
+    return {c: (seen[f"lo{i}"], seen[f"hi{i}"]) for i, c in enumerate(columns)} | {"": (seen["n"], seen["n"])}
+
+
+def medians(rows: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact median of each column; only these numbers reach the driver."""
+    return {c: q[0] for c, q in stats.quantiles(rows, columns, [0.5]).items()}
+
+
+def _above(column: str, value: float | None) -> Column:
+    return F.lit(False) if value is None else F.col(column) > F.lit(value)
 
 
 def complete(mart: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,7 +71,8 @@ def pairwise(mart: DataFrame, columns: list[str], spend: str, digits: int = 3) -
 def quadrant(mart: DataFrame, measure: str, spend: str) -> DataFrame:
     """Keys above the median measure and below the median spend."""
     rows = complete(mart, [measure, spend])
-    return rows.filter((F.col(measure) > scalar(rows, F.median(measure))) & (F.col(spend) < scalar(rows, F.median(spend))))
+    middle = medians(rows, [measure, spend])
+    return rows.filter(_above(measure, middle[measure]) & (F.lit(False) if middle[spend] is None else F.col(spend) < F.lit(middle[spend])))
 
 
 def composite(mart: DataFrame, columns: list[str], spend: str, digits: int | None = 1) -> DataFrame:
@@ -70,19 +81,17 @@ def composite(mart: DataFrame, columns: list[str], spend: str, digits: int | Non
     Empty unless there are two measures and three complete rows.
     """
     rows = complete(mart, [*columns, spend])
-    scaled = []
-    for c in columns:
-        low, high = scalar(rows, F.min(c)), scalar(rows, F.max(c))
-        scaled.append(F.coalesce(F.try_divide(F.col(c) - low, F.nullif(high - low, F.lit(0.0))) * 100.0, F.lit(50.0)))
+    seen = ends(rows, columns)
+    scaled = [(F.col(c) - F.lit(seen[c][0])) / F.lit(seen[c][1] - seen[c][0]) * 100.0 if seen[""][0] and seen[c][0] != seen[c][1] else F.lit(50.0) for c in columns]
     index = reduce(lambda a, b: a + b, scaled) / F.lit(float(len(columns)))
-    enough = F.lit(len(columns) >= 2) & (scalar(rows, F.count(F.lit(1))) >= 3)
-    return rows.filter(enough).withColumn("burden_index", index if digits is None else F.round(index, digits))
+    return rows.filter(F.lit(len(columns) >= 2 and seen[""][0] >= 3)).withColumn("burden_index", index if digits is None else F.round(index, digits))
 
 
 def hotspots(mart: DataFrame, columns: list[str], spend: str) -> DataFrame:
     """Keys above the median of every measure at once."""
     rows = complete(mart, [*columns, spend])
-    above = [F.col(c) > scalar(rows, F.median(c)) for c in columns]
+    middle = medians(rows, columns)
+    above = [_above(c, middle[c]) for c in columns]
     return rows.filter(reduce(lambda a, b: a & b, above))
 
 
@@ -92,9 +101,10 @@ def scatter(mart: DataFrame, x: str, spend: str, key: str) -> DataFrame:
     ``hi`` compares the unrounded x with the unrounded median.
     """
     rows = complete(mart, [x, spend])
-    x_median, y_median = scalar(rows, F.median(x)), scalar(rows, F.median(spend))
-    return rows.filter(scalar(rows, F.count(F.lit(1))) >= 2).select(
-        key, F.round(x, 2).alias("x"), F.round(spend, 2).alias("y"), (F.col(x) > x_median).alias("hi"),
+    middle = medians(rows, [x, spend])
+    x_median, y_median = (F.lit(middle[c]).cast("double") for c in (x, spend))
+    return rows.filter(F.lit(ends(rows, [])[""][0] >= 2)).select(
+        key, F.round(x, 2).alias("x"), F.round(spend, 2).alias("y"), _above(x, middle[x]).alias("hi"),
         F.round(x_median, 2).alias("x_median"), F.round(y_median, 2).alias("y_median"))
 
 
@@ -105,8 +115,10 @@ def histogram(points: DataFrame, key: str | None = None, bins: int = N_BINS) ->
     is closed), so float edges fall exactly where the bounds say.  Empty bins are kept.
     """
     spark = points.sparkSession
-    low, high, n = scalar(points, F.min("x")), scalar(points, F.max("x")), scalar(points, F.count("x"))
-    width = F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0)) / F.lit(float(bins))
+    seen = ends(points.filter(F.col("x").isNotNull()), ["x"])
+    n, (least, most) = seen[""][0], seen["x"]
+    low, high = F.lit(least).cast("double"), F.lit(most).cast("double")
+    width = F.lit((most - least or 1.0) / bins if n else 1.0)
 
     def lower(i: int) -> Column:
         return low + F.lit(float(i)) * width
@@ -123,7 +135,7 @@ def histogram(points: DataFrame, key: str | None = None, bins: int = N_BINS) ->
            F.coalesce("n", F.lit(0)).alias("members_count")]
     if key:
         out.append(F.coalesce("members", F.lit("")).alias("members"))
-    return frame.filter(n >= 4).join(counted, "bin", "left").select(*out)
+    return frame.filter(F.lit(n >= 4)).join(counted, "bin", "left").select(*out)
 
 
 def anomalies(points: DataFrame, key: str, k: int = 3) -> DataFrame:

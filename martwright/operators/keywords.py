@@ -1,8 +1,8 @@
 """Matching a table of free-text requests to a measure catalogue and to onboarded metrics.
 
-Requests may be many and long; the catalogue is a dimension.  Words and four-letter
-windows of a request are exploded inside its task and probed against a size-checked
-broadcast of the catalogue, so no request text is ever shuffled.  Lookup tables are
+Requests may be many and long; the catalogue is a dimension.  Words and short stretches
+of a request are exploded inside its task and probed against a size-checked
+broadcast of the catalogue, so no request text is ever copied or shuffled.  Lookup tables are
 materialised first: their true size, not an estimate of their source, is checked.
 """
 
@@ -60,10 +60,11 @@ def pick_measures(requests: DataFrame, ids: list[str], text: str, catalog: DataF
                 .join(stats.dimension(catalog.select("question_id")), "question_id", "left_semi")
                 .select(F.substring("word", 1, 4).alias("window"), "word", "question_id", "place"))
     lookup = stats.dimension(words.withColumn("place", F.col("place").cast("long")).unionByName(synonyms))
-    windows = F.array_distinct(F.regexp_extract_all(F.col("low"), F.lit(r"(?=([a-z]{4}))"), F.lit(1)))
-    per_request = requests.select(*ids, F.lower(text).alias("low")).withColumn("windows", windows)
-    found = (per_request.select(*ids, "low", F.explode("windows").alias("window")).join(lookup, "window")
-             .filter(F.contains("low", "word")).groupBy(*ids, "question_id").agg(F.min("place").alias("place")))
+    # Of a request only stretches as long as the longest word leave its row, never the text itself.
+    longest = lookup.agg(F.max(F.length("word"))).first()[0] or 4
+    stretches = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=([a-z]{{4}}.{{0,{max(0, longest - 4)}}}))"), F.lit(1)))
+    found = (requests.select(*ids, F.explode(stretches).alias("stretch")).withColumn("window", F.substring("stretch", 1, 4)).join(lookup, "window")
+             .filter(F.startswith("stretch", "word")).groupBy(*ids, "question_id").agg(F.min("place").alias("place")))
     picked = _first_k(found, ids, ["place", "question_id"], k).select(*ids, "position", "question_id")
     if not defaults:
         return picked

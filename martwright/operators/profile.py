@@ -12,6 +12,8 @@ import sys
 from functools import cached_property, reduce
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,8 +231,8 @@ def correlations(df: DataFrame, names: list[str] | None = None, above: float = r
                  digits: int = 4) -> DataFrame:
     """Pearson r of every pair of numeric columns once, kept where ``|r| > above``.
 
-    A first aggregate finds constant columns (left out) and columns without gaps: pairs of
-    those share their standard deviations, the others are computed over complete pairs.
+    A first aggregate finds constant columns (left out) and columns without gaps: all pairs of those come from one
+    pass, however many columns there are; the others are computed pair by pair over complete rows.
     """
     df = stats.normalize_nan(df)
     names = names or stats.columns_of(df, num.is_number)
@@ -239,20 +241,23 @@ def correlations(df: DataFrame, names: list[str] | None = None, above: float = r
         return empty
     v = {c: f"CAST({ident(c)} AS DOUBLE)" for c in names}
     seen = df.selectExpr("count(1) AS n", *[f"named_struct('n', count({x}), 'varies', min({x}) < max({x})) AS s{i}" for i, x in enumerate(v.values())]).first()
-    whole = {c for i, c in enumerate(names) if seen[f"s{i}"]["n"] == seen["n"]}
     used = [c for i, c in enumerate(names) if seen[f"s{i}"]["varies"]]
+    whole = [c for i, c in enumerate(names) if c in used and seen[f"s{i}"]["n"] == seen["n"]]
+    strong = df.sparkSession.createDataFrame(_strong_pairs(df.selectExpr(*[f"{v[c]} AS {ident(c)}" for c in whole]), whole, above), empty.schema) if len(whole) > 1 else empty
+    gaps = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b), "correlation": stats.pearson_sql(ident(a), ident(b))}
+            for a, b in combinations(used, 2) if not (a in whole and b in whole)]
+    r = F.col("correlation")
+    if gaps:
+        strong = strong.unionByName(stats.long_stats(df, gaps).filter(r.isNotNull() & ~F.isnan(r) & (F.abs(r) > above)))
+    return strong.withColumn("correlation", F.round(r, digits))
 
-    def r_of(a: str, b: str) -> str:
-        if a in whole and b in whole:
-            return f"try_divide(covar_pop({v[a]}, {v[b]}), stddev_pop({v[a]}) * stddev_pop({v[b]}))"
-        return stats.pearson_sql(ident(a), ident(b))
 
-    pairs = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b), "correlation": r_of(a, b)} for a, b in combinations(used, 2)]
-    if not pairs:
-        return empty
-    r = F.col("correlation")
-    return (stats.long_stats(df, pairs).filter(r.isNotNull() & ~F.isnan(r) & (F.abs(r) > above))
-            .withColumn("correlation", F.round(r, digits)))
+def _strong_pairs(df: DataFrame, names: list[str], above: float) -> list[tuple[str, str, float]]:
+    """Pairs of columns without gaps above the limit, from one pass of cross products; the matrix has a cell per pair."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return [(names[i], names[j], float(matrix[i, j])) for i, j in combinations(range(len(names)), 2) if abs(matrix[i, j]) > above]
 
 
 def pii_columns(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from martwright.functions import numeric as num
 from martwright.functions import text as txt
-from martwright.session import rows_seen
+from martwright.session import rows_seen, stage
 
 AUDIT_SCHEMA = ("ts timestamp, task string, provider string, model string, latency_s double, prompt_chars long, "
                 "redaction_count long, success boolean")
@@ -142,10 +142,13 @@ def described_schema(schema: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def volume_funnel(counts: DataFrame) -> DataFrame:
-    """Rows per source with the total and the number of non-empty sources."""
-    total = counts.agg(F.sum("n_rows").alias("x")).scalar()
-    filled = counts.agg(F.count_if(F.col("n_rows") > 0).alias("x")).scalar()
-    return counts.select("table_name", "n_rows", total.alias("total_rows"), filled.alias("non_empty_sources"))
+    """Rows per source with the total and the number of non-empty sources.
+
+    The counts, a row per source, are staged, so that no table is counted twice.
+    """
+    counts = stage(counts, "counts")
+    seen = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total"), F.count_if(F.col("n_rows") > 0).alias("filled")).first()
+    return counts.select("table_name", "n_rows", F.lit(seen["total"]).cast("long").alias("total_rows"), F.lit(seen["filled"]).cast("long").alias("non_empty_sources"))
 
 
 # --- call log --------------------------------------------------------------------------------------

@@ -151,3 +151,28 @@ def test_dictionary_and_schema(encounters):
     assert rows["age"]["sample_values"] == "-5, 21, 22" and rows["age"]["description"] == "Age in years"
     schema = docs.logical_schema(encounters)
     assert as_set(docs.type_counts(schema), "data_type", "n_columns") == {("VARCHAR", 4), ("INTEGER", 1), ("FLOAT", 1)}
+
+
+def test_correlations_of_a_wide_table_take_one_pass(spark):
+    wide = spark.range(40).selectExpr("id", *[f"CAST((id * {k} + id * id * {k % 7}) % 101 AS DOUBLE) AS c{k}" for k in range(1, 500)])
+    pairs = {(r.column_1, r.column_2) for r in profile.correlations(wide.withColumn("twice", F.col("c3") * 2)).collect()}
+    assert ("c3", "twice") in pairs
+
+
+def test_infinities_do_not_stop_profiles_and_checks(spark):
+    df = spark.sql("SELECT * FROM VALUES (1.0D, 'a'), (2.0D, 'b'), (3.0D, 'c'), (double('Infinity'), 'd'), (double('-Infinity'), 'e') t(rate, s)")
+    row = profile.numeric(df).first()
+    assert (row["min"], row["max"], row["mean"], row["median"], row["outlier_count"]) == (float("-inf"), float("inf"), 2.0, 2.0, 2)
+    assert {r["check"]: r["passed"] for r in quality.scorecard(df).collect()}["extreme_outliers_rate"] is False
+    assert quality.summarize(quality.scorecard(clean.transform(df, "x").df)).count() == 1
+
+
+def test_profiles_without_a_kind_of_column_are_empty(spark):
+    numbers = spark.range(3)
+    assert profile.strings(numbers).count() == profile.moments_in_time(numbers).count() == profile.top_values(numbers).count() == 0
+    assert profile.numeric(spark.createDataFrame([("a",)], "s string")).count() == 0
+
+
+def test_maps_are_deduplicated(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, map('a', 1, 'b', 2)), (1, map('b', 2, 'a', 1)), (2, map('a', 1)) t(id, m)")
+    assert clean.remove_duplicates(df).count() == 2 and clean.remove_duplicates(df).columns == ["id", "m"]
