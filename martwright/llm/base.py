@@ -65,6 +65,30 @@ def bounded_sample(df: DataFrame, key: str, by: str, rows: int, seed: str) -> Da
     return df.join(F.broadcast(sizes), F.col(by) == F.col("_by")).where(draw(F.lit(seed), F.col(key)) * F.col("_n") < rows).drop("_by", "_n")
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks, such as a table of words met before: one thing at a time, so that memory stays bounded
+    when operators follow each other on the same workers."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what the worker process keeps."""
+    _HELD.clear()
+
+
+def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, int]:
+    """``keep`` and the text, which comes once even if it is kept, and the text's place."""
+    if text in keep:
+        return docs.select(*keep), keep.index(text)
+    return docs.select(*keep, F.col(text).alias("_text")), len(keep)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices with about ``most`` bytes of a text column each (one row at least), so that a worker's memory stays bounded."""
     for batch in batches:

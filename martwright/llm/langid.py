@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm.base import bounded_sample, held_out, query, slices, table, vocabulary_file
+from martwright.llm.base import bounded_sample, held, held_out, query, slices, table, vocabulary_file, with_text
 from martwright.llm.lattice import SPACE, blocks, steps, vocabulary
 from martwright.session import stage
 
@@ -31,7 +31,7 @@ SAMPLE_DOCS = 400
 ROUNDS = 3
 SMOOTHING = 50.0
 LONGEST_LEARNED = 64
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 BYTES_AT_ONCE = 2_000_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -219,17 +219,6 @@ class Scorer:
         return names, shares
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(model: LanguageModel) -> Scorer:
-    """The process's scorer of a model; that of an earlier model goes."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
-
-
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with ``lang_pred`` and ``score`` (0 to 1) for every whole text.
 
@@ -237,17 +226,18 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     code point.  Repeated rows stay; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at = with_text(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent.value)
-        for batch in slices(batches, -1, BYTES_AT_ONCE):
-            names, shares = scorer.score(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*keep, "lang_pred", "score"])
+        scorer = held(("langid", sent.value.key), lambda: Scorer(sent.value))
+        for batch in slices(batches, at, BYTES_AT_ONCE):
+            names, shares = scorer.score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     for field in schema:
         field.nullable = True
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def train_on(docs: DataFrame) -> LanguageModel:

@@ -12,7 +12,6 @@ scan over maps fixes all states.  Then every chunk is traced back on its own.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -26,14 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martwright.llm.base import query, slices, table, vocabulary_file
+from martwright.llm.base import held, query, slices, table, vocabulary_file
 from martwright.llm.lattice import SPACE, Vocabulary, blocks, steps, vocabulary
 from martwright.session import stage
 
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-KEPT_WORDS = 400_000
-BYTES_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 500
+KEPT_WORDS = 350_000
+BYTES_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 500
 #: The digest of ids is the sum of id times place (from 1), modulo this prime.
 DIGEST_PRIME = (1 << 31) - 1
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -153,10 +152,9 @@ def split_chunk(chunk: str, before: str) -> tuple[int, int] | None:
     return (places[0], places[-1]) if places else None
 
 
-@functools.cache
 def word_encoder(path: str) -> WordEncoder:
     """One per process."""
-    return WordEncoder(vocabulary(path))
+    return held(("pieces", path), lambda: WordEncoder(vocabulary(path)))
 
 
 class Chunk:

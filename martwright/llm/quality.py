@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martwright.llm.base import bounded_sample, held_out, query, slices, table
+from martwright.llm.base import bounded_sample, held_out, query, release, slices, table, with_text
 
 CHUNK_BYTES, STEP_BYTES = 512, 448
 VECTOR, FILTERS, WIDTH = 8, 16, 6
@@ -195,15 +195,16 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", keep: tup
     Equal texts have equal scores.  Repeated rows stay; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at = with_text(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(sent.value)
-        for batch in slices(batches, -1, BYTES_AT_ONCE):
-            texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.score(texts), pa.float64())], names=[*keep, "score"])
+        for batch in slices(batches, at, BYTES_AT_ONCE):
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scorer.score(texts), pa.float64())], names=[*keep, "score"])
 
-    schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.select(*keep, F.lit(0.0).alias("score")).schema)
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> QualityModel:

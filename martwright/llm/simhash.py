@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martwright.llm.base import query, slices, table
+from martwright.llm.base import query, release, slices, table, with_text
 from martwright.llm.components import components
 from martwright.session import stage
 
@@ -57,17 +57,19 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     A null text has no words.
     """
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("row_key", T.LongType()), T.StructField("fingerprint", T.LongType())])
+    rows, place = with_text(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, -1, BYTES_AT_ONCE):
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+        for batch in slices(batches, place, BYTES_AT_ONCE):
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
             codes = np.array([fingerprint(t or b"", words_each) for t in texts], "<u8").view("<i8")
             keys = np.arange(at, at + len(texts), dtype=np.int64)
             at += len(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys), pa.array(codes)], names=[*keep, "row_key", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(keys), pa.array(codes)], names=[*keep, "row_key", "fingerprint"])
 
-    return stage(docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema), "fingerprints")
+    return stage(rows.mapInArrow(run, schema), "fingerprints")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -10,7 +10,6 @@ a bounded table of the worker process, so that a common word is merged once.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from martwright.llm.base import in_order, query, slices, table, vocabulary_file
+from martwright.llm.base import held, in_order, query, slices, table, vocabulary_file
 from martwright.session import stage_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,10 +81,9 @@ class CachingEncoder:
             return b"".join([kept[p] if p in kept else long[p] for p in parts])
 
 
-@functools.cache
 def caching_encoder(path: str) -> CachingEncoder:
     """One per process."""
-    return CachingEncoder(path)
+    return held(("tokens", path), lambda: CachingEncoder(path))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> None:
