@@ -31,7 +31,7 @@ SAMPLE_DOCS = 400
 ROUNDS = 3
 SMOOTHING = 50.0
 LONGEST_LEARNED = 64
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
 BYTES_AT_ONCE = 2_000_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")

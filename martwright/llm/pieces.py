@@ -31,8 +31,8 @@ from martwright.session import stage
 
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-KEPT_WORDS = 350_000
-BYTES_AT_ONCE, ROWS_AT_ONCE = 1_000_000, 500
+KEPT_WORDS = 300_000
+BYTES_AT_ONCE = 1_000_000
 #: The digest of ids is the sum of id times place (from 1), modulo this prime.
 DIGEST_PRIME = (1 << 31) - 1
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -374,9 +374,7 @@ def digest(ids: np.ndarray, before: int = 0) -> int:
 RESULT = (("n_pieces", "long"), ("ids_digest", "long"), ("decoded_crc32", "long"))
 
 
-def _results(batch_ids: pa.ListArray, vocab: Vocabulary) -> list[pa.Array]:
-    flat, ends = batch_ids.values.to_numpy(zero_copy_only=False), batch_ids.offsets.to_numpy()
-    spans = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def _results(spans: list[np.ndarray], vocab: Vocabulary) -> list[pa.Array]:
     crc = [zlib.crc32(decode_ids(ids.tolist(), vocab)[1:].encode()) for ids in spans]
     return [pa.array([len(ids) for ids in spans], pa.int64()), pa.array([digest(ids) for ids in spans], pa.int64()), pa.array(crc, pa.int64())]
 
@@ -389,14 +387,14 @@ def encode_and_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_
     """
     plain = F.translate(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
     rows = docs.select(*keep, F.col(text).alias("_body"), F.crc32(F.encode(plain, "UTF-8")).alias("text_crc32"))
-    held = (*keep, "text_crc32")
+    held_columns = (*keep, "text_crc32")
 
     def shorts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_results(batch.columns[-1], vocab)], names=[*held, *(n for n, _ in RESULT)])
+        # Encoded and decoded by one worker: ids need not cross to a second one.
+        encoder = word_encoder(path)
+        for batch in slices(batches, -1, BYTES_AT_ONCE):
+            ids = encoder.encode([normal(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_results([np.frombuffer(i, "<i4") for i in ids], encoder.vocab)], names=[*held_columns, *(n for n, _ in RESULT)])
 
     def giant(key: tuple, chunks: pa.Table) -> pa.Table:
         # The chunks of one text: what a row held.
@@ -408,11 +406,12 @@ def encode_and_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_
             n += len(values)
             part = decode_ids(values.tolist(), vocab)
             crc, first = zlib.crc32((part[1:] if first else part).encode(), crc), False
-        return pa.table([*(chunks.column(c).slice(0, 1) for c in held), [n], [total % DIGEST_PRIME], [crc]], names=[*held, *(n for n, _ in RESULT)])
+        return pa.table([*(chunks.column(c).slice(0, 1) for c in held_columns), [n], [total % DIGEST_PRIME], [crc]], names=[*held_columns, *(n for n, _ in RESULT)])
 
-    schema = _schema(rows, held, *RESULT)
-    done = encode_whole(rows, path, held, "_body", chunk_chars).mapInArrow(shorts, schema).unionByName(
-        encode_giants(rows, path, held, "_body", chunk_chars).groupBy("row_key").applyInArrow(giant, schema))
+    schema = _schema(rows, held_columns, *RESULT)
+    short = rows.where(~_is_giant("_body", chunk_chars)).select(*held_columns, "_body")
+    done = short.mapInArrow(shorts, schema).unionByName(
+        encode_giants(rows, path, held_columns, "_body", chunk_chars).groupBy("row_key").applyInArrow(giant, schema))
     return done.select(*keep, *(n for n, _ in RESULT), (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"))
 
 
