@@ -56,39 +56,20 @@ def forward(words: list[str], model: LanguageModel) -> np.ndarray:
     """Log probability of each word in each language, over all segmentations, at any length."""
     vocab = vocabulary(model.vocabulary_path)
     kinds, place, out = len(model.languages), {}, []
+    known = np.log(model.pieces)
     for block in blocks(words):
         at, end, length, ids, extra = vocab.matches(block)
-        table_ = model.pieces
+        table_ = known
         if extra:
-            table_ = np.vstack([table_, *(np.prod(model.pieces[b], axis=0) for b in extra.values())])
+            table_ = np.vstack([table_, *(known[b].sum(axis=0) for b in extra.values())])
         sizes = np.array([len(w) for w in block])
-        sums = np.zeros((int(sizes.max()) + 1, len(block), kinds))
-        sums[0] = 1.0
-        logs, scaled_at = np.zeros((len(block), kinds)), 0
-        result = np.zeros((len(block), kinds))
-        done = 0
-
-        def read_off() -> None:
-            # Words that end where all sums are known.
-            ready = np.flatnonzero(sizes == done)
-            if len(ready):
-                result[ready] = np.log(sums[done, ready]) + logs[ready]
-
+        # Logs, because a letter outside the vocabulary costs the product of its bytes: a few in a row leave the range of floats.
+        sums = np.full((int(sizes.max()) + 1, len(block), kinds), -np.inf)
+        sums[0] = 0.0
         for e, k, part in steps(end, length):
-            if e > done:
-                read_off()
-                if done - scaled_at >= vocab.longest:
-                    window = slice(max(0, done - vocab.longest), done + 1)
-                    top = sums[window].max(axis=0)
-                    top[top <= 0] = 1.0
-                    sums[window] /= top
-                    logs += np.log(top)
-                    scaled_at = done
-                done = e
             rows = at[part]
-            sums[e, rows] += sums[e - k, rows] * table_[ids[part]]
-        read_off()
-        out.append(result)
+            sums[e, rows] = np.logaddexp(sums[e, rows], sums[e - k, rows] + table_[ids[part]])
+        out.append(sums[sizes, np.arange(len(block))])
         place.update(zip(block, range(len(place), len(place) + len(block)), strict=True))
     if not words:
         return np.zeros((0, kinds))
@@ -98,7 +79,7 @@ def forward(words: list[str], model: LanguageModel) -> np.ndarray:
 
 def expected_counts(words: list[str], weights: np.ndarray, kinds: np.ndarray, pieces: np.ndarray, path: str) -> np.ndarray:
     """How often each piece is expected in each language, over all segmentations of words of known language."""
-    vocab = vocabulary(path)
+    vocab, logs = vocabulary(path), np.log(pieces)
     out = np.zeros_like(pieces)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     start = 0
@@ -108,23 +89,22 @@ def expected_counts(words: list[str], weights: np.ndarray, kinds: np.ndarray, pi
         at, end, length, ids, extra = vocab.matches(block)
         known = ids < vocab.size
         kind, weight = kinds[rows], weights[rows]
-        p = np.ones(len(ids))
-        p[known] = pieces[ids[known], kind[at[known]]]
+        p = np.zeros(len(ids))
+        p[known] = logs[ids[known], kind[at[known]]]
         if extra:
-            rest = {i: np.prod(pieces[b], axis=0) for i, b in extra.items()}
+            rest = {i: logs[b].sum(axis=0) for i, b in extra.items()}
             p[~known] = [rest[i][kind[a]] for i, a in zip(ids[~known].tolist(), at[~known].tolist(), strict=True)]
         sizes = np.array([len(w) for w in block])
         n = int(sizes.max())
-        ahead, behind = np.zeros((len(block), n + 1)), np.zeros((len(block), n + 1))
-        ahead[:, 0] = 1.0
-        behind[np.arange(len(block)), sizes] = 1.0
-        by_end = steps(end, length)
-        for e, k, part in by_end:
-            ahead[at[part], e] += ahead[at[part], e - k] * p[part]
+        ahead, behind = np.full((len(block), n + 1), -np.inf), np.full((len(block), n + 1), -np.inf)
+        ahead[:, 0] = 0.0
+        behind[np.arange(len(block)), sizes] = 0.0
+        for e, k, part in steps(end, length):
+            ahead[at[part], e] = np.logaddexp(ahead[at[part], e], ahead[at[part], e - k] + p[part])
         for s, k, part in reversed(steps(end - length, length)):
-            behind[at[part], s] += p[part] * behind[at[part], s + k]
+            behind[at[part], s] = np.logaddexp(behind[at[part], s], p[part] + behind[at[part], s + k])
         total = ahead[np.arange(len(block)), sizes]
-        share = weight[at] * ahead[at, end - length] * p * behind[at, end] / np.maximum(total[at], 1e-300)
+        share = weight[at] * np.exp(ahead[at, end - length] + p + behind[at, end] - total[at])
         np.add.at(out, (ids[known], kind[at[known]]), share[known])
         for i, b in extra.items():
             mine = ids == i

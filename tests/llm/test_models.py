@@ -58,6 +58,24 @@ def test_long_words_do_not_underflow(two_languages):
     assert langid.Scorer(two_languages).score(["zq" * 5000, None, "", "x"])[0][1:3] == ["und", "und"]
 
 
+@pytest.mark.parametrize("word", ["\u12a0\u1260\u1308\u12f0\u1200" * 3, "\U0001d41a\U0001d41b\U0001d41c\U0001d41d\U0001d41e" * 3])
+def test_a_word_of_unseen_letters_does_not_decide_a_long_text(two_languages, word):
+    rare = np.full_like(two_languages.pieces, 1e-12)  # what bytes unseen in learning have with much learned text
+    seen = two_languages.pieces > two_languages.pieces.min(axis=0) * 1.5
+    model = langid.LanguageModel(two_languages.languages, np.where(seen, two_languages.pieces, rare), PATH)
+    assert np.isfinite(langid.forward(["▁" + word], model)).all()
+    for text, lang in ((EN, "en"), (DE, "de")):
+        names, scores = langid.Scorer(model).score([text * 50 + word])
+        assert names == [lang] and scores == pytest.approx([1.0])
+
+
+def test_words_of_unseen_letters_are_learned():
+    pieces_ = np.full((vocabulary(PATH).size, 1), 1e-6)
+    word = "▁" + "\U0001d41a" * 40
+    counts = langid.expected_counts([word], np.array([2.0]), np.array([0]), pieces_, PATH)
+    assert counts.sum() == pytest.approx(2 * (1 + 40 * 4))
+
+
 def test_probabilities_add_up(two_languages):
     assert two_languages.pieces.sum(axis=0) == pytest.approx([1, 1])
     assert two_languages.pieces.min() > 0
