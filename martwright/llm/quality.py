@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martwright.llm.base import bounded_sample, held_out, query, release, slices, table, with_text
+from martwright.session import stage
 
 CHUNK_BYTES, STEP_BYTES = 512, 448
 VECTOR, FILTERS, WIDTH = 8, 16, 6
@@ -100,8 +101,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _importance(labels: np.ndarray) -> np.ndarray:
+    """Weight of each document, so that both classes weigh the same."""
+    share = labels.mean()
+    return np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+
+
 def fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> QualityModel:
-    """Learn from chunks, the document each is of, and the documents' labels (0 or 1); classes weigh the same."""
+    """Learn filters from chunks, the document each is of, and the documents' labels (0 or 1); classes weigh the same."""
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 0.5, (256, VECTOR))
     filters = rng.normal(0, (WIDTH * VECTOR) ** -0.5, (WIDTH, VECTOR, FILTERS))
@@ -111,8 +118,7 @@ def fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> QualityMode
         return none
     if labels.min() == labels.max():
         return QualityModel(vectors, filters, offsets, np.append(weights, 0), np.zeros(3), float((labels.sum() + 1) / (len(labels) + 2)))
-    share = labels.mean()
-    importance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    importance = _importance(labels)
     target, weight = labels[owners].astype(float), importance[owners]
     adam = _Adam([vectors, filters, offsets, weights, constant])
     places = CHUNK_BYTES - WIDTH + 1
@@ -136,23 +142,27 @@ def fit(rows: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> QualityMode
         np.add.at(vector_slope, spread, np.einsum("nf,kvf->nfkv", through, filters))
         adam.step([vector_slope + DECAY * vectors, filter_slope + DECAY * filters, through.sum(axis=0), hidden.T @ error + DECAY * weights, error.sum(keepdims=True)],
                   RATE * (1 - step / STEPS))
-    model = QualityModel(vectors, filters, offsets, np.append(weights, constant), np.zeros(3))
-    logits = features(rows, model.pair_tables(), offsets) @ weights + constant
-    n = np.maximum(np.bincount(owners, minlength=len(labels)), 1)
-    mean, least = np.bincount(owners, logits, len(labels)) / n, np.full(len(labels), np.inf)
-    np.minimum.at(least, owners, logits)
-    return QualityModel(vectors, filters, offsets, model.weights, _logistic(np.column_stack([mean, least]), labels.astype(float), importance))
+    return QualityModel(vectors, filters, offsets, np.append(weights, constant), np.zeros(3))
+
+
+def combine(model: QualityModel, found: np.ndarray, labels: np.ndarray) -> QualityModel:
+    """The model with weights for mean and least of a document's chunks, learned from both of all chunks of each document."""
+    if model.constant is not None:
+        return model
+    return replace(model, combine=_logistic(found, labels.astype(float), _importance(labels)))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chunks: int = SAMPLE_CHUNKS) -> QualityModel:
     """Learn from about ``sample_docs`` labelled documents per class; null labels and others than 0 and 1 are passed over.
 
-    The sample's size bounds what reaches the driver: chunks of ``CHUNK_BYTES`` bytes, ``sample_chunks`` a
-    document, spread over its whole text.  Without labelled rows every score is one half.
+    Filters learn from chunks of ``CHUNK_BYTES`` bytes, ``sample_chunks`` a document, spread over its whole
+    text; how chunks combine is learned from all chunks of the same documents, of which two numbers a document
+    come back.  So the sample's size bounds what reaches the driver.  Without labelled rows every score is one half.
     """
     marked = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
     picked = bounded_sample(marked, "_id", "_label", sample_docs, "quality")
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    found = stage(found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_label"), "quality_sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +173,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 ids.append(key), kinds.append(kind), parts.append(chunks(body or b"", sorted(some)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "label", "chunks"])
 
-    sample = found.select(F.col("doc_id").cast("long"), "text", "_label").mapInArrow(cut, "doc_id long, label int, chunks binary").toPandas()
+    sample = found.mapInArrow(cut, "doc_id long, label int, chunks binary").toPandas()
     sample = sample.sort_values(["doc_id", "label", "chunks"], ignore_index=True)
     rows = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK_BYTES) for c in sample["chunks"]]
     owners = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    return fit(np.vstack(rows) if rows else np.zeros((0, CHUNK_BYTES), np.uint8), owners, sample["label"].to_numpy())
+    model = fit(np.vstack(rows) if rows else np.zeros((0, CHUNK_BYTES), np.uint8), owners, sample["label"].to_numpy())
+    if model.constant is not None:
+        return model
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in slices(batches, 1, BYTES_AT_ONCE):
+            seen = np.array([scorer.logits(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["label", "mean", "least"])
+
+    seen = found.mapInArrow(measure, "label int, mean double, least double").toPandas().sort_values(["label", "mean", "least"], ignore_index=True)
+    return combine(model, seen[["mean", "least"]].to_numpy(), seen["label"].to_numpy())
 
 
 class Scorer:

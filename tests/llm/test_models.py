@@ -109,6 +109,26 @@ def test_quality_on_held_out_documents(quality_data):
     assert np.mean([(r.score >= 0.5) == (r.quality == 1) for r in scored]) > 0.97
 
 
+def test_quality_of_long_documents_is_fitted_on_all_their_chunks(spark):
+    rng, words = random.Random(5), (EN + DE).split()
+    rows = []
+    for i in range(240):
+        good, parts = i % 2, []
+        for k in range(rng.choice([1, 3, 60])):
+            body = [rng.choice(words) for _ in range(80)]
+            junk = rng.random() < (0.1 if good else 0.9)  # good texts have some bad chunks: the more chunks, the surer
+            parts.append(" ".join(w.upper() + "!!" for w in body) if junk else " ".join(body) + ".")
+        rows.append((i, "\n".join(parts), good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(docs, docs.select("doc_id", "quality"))
+    scorer = quality.Scorer(model)
+    seen = np.array([scorer.logits(t.encode()) for _, t, _ in rows])
+    labels = np.array([g for _, _, g in rows])
+    assert model.combine == pytest.approx(quality._logistic(seen, labels.astype(float), np.ones(len(labels))), rel=1e-3, abs=1e-3)
+    long = np.array([len(t) > 10_000 for _, t, _ in rows])
+    assert np.mean((scorer.score([t.encode() for _, t, _ in rows]) >= 0.5)[long] == labels[long]) > 0.97
+
+
 def test_quality_edge_rows(edge, clashing, none, quality_data):
     model = quality.train(quality_data, quality_data.select("doc_id", "quality"))
     for docs in (edge, clashing):
