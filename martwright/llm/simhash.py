@@ -38,13 +38,20 @@ BATCH_ROWS = 200_000
 BYTES_AT_ONCE = 8_000_000
 
 
-def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
-    """SimHash of a text: a bit is 1 if it is 1 in more than half of the shingles' hashes; 0 without words."""
+def shingle_hashes(text: bytes, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hash of each run of so many words (one of all words if there are fewer); none without words."""
     words = text.lower().split()  # of bytes: ASCII letters and ASCII blanks only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     shingles = map(b" ".join, zip(*(words[k:] for k in range(words_each)), strict=False)) if len(words) >= words_each else [b" ".join(words)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles], "<u8")
+    return np.array([xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles], "<u8")
+
+
+def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text: a bit is 1 if it is 1 in more than half of the shingles' hashes; 0 without words."""
+    hashes = shingle_hashes(text, words_each)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

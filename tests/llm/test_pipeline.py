@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what its operator says of its input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,49 @@ def test_one_document_of_each_group_stays(staged):
     assert sorted(r.doc_id for r in after.collect()) == sorted(set(groups.values()))
 
 
+def brute_force_kept(rows):
+    """Ids kept by comparing every pair's sets of five-word shingles; exact copies are linked too."""
+    sets, root = {}, {}
+    for key, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[key] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+        root[key] = key
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted(k for k in root if root[k] == k)
+
+
+def test_near_duplicate_stage_is_brute_force_jaccard(spark, staged):
+    before, after = staged["near_duplicates"]
+    assert sorted(r.doc_id for r in after.collect()) == brute_force_kept([(r.doc_id, r.text) for r in before.collect()])
+
+
+def test_edited_copies_go_and_half_copies_stay(spark):
+    rng = random.Random(3)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for i in range(40):
+        body = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        rows.append(body)
+        for edits in (1, len(body) // 60, len(body) // 45, len(body) // 30, len(body) // 10):
+            copy = list(body)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = rng.choice(words)
+            rows.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(b), "en", "a", 1) for i, b in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, FOLDER).collect())
+    assert kept == brute_force_kept([(i, " ".join(b)) for i, b in enumerate(rows)])
+    assert 40 < len(kept) < 0.6 * len(rows)
+
+
 def test_mix_stage_emits_the_planned_copies(staged):
     before, after = staged["mix_sources"]
     planned = {r.doc_id: r.mix_copies for r in mixing.plan_copies(before, mixing.word_count(F.col("text"))).collect()}
