@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,6 +20,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 _STAGE_SUBDIR = "martwright_stage"
 _LOCAL_FOLDERS: dict[str, str] = {}
 _OWNED: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def get_session(app_name: str = "martwright", master: str | None = None, **conf: str) -> SparkSession:
@@ -95,9 +98,36 @@ def rows_seen(observation: Observation) -> int:
         return 0
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder as parquet and return a DataFrame that reads it."""
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes at the end, except what was staged to outlive it.
+
+    A caller that returns a DataFrame over staged tables stages its result with ``outlive``; scopes nest, and outside of
+    every scope a staged table stays until the application ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a path of any store Spark reaches; nothing happens if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df: DataFrame, label: str = "stage", outlive: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder as parquet and return a DataFrame that reads it.
+
+    Inside a ``stage_scope`` the table goes when the scope ends; with ``outlive`` it goes with the scope around that one.
+    """
     spark = df.sparkSession
     path = stage_path(spark, label)
+    owners = _SCOPES[:-1] if outlive else _SCOPES
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
