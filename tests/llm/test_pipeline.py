@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from martwright.llm import mixing, simhash
+from martwright.llm import mixing
 from martwright.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,13 +40,6 @@ def test_quality_stage_follows_the_labels(spark, staged):
     assert sum(r.kept == (r.quality == 1) for r in marked) >= 0.95 * len(marked)
 
 
-def test_one_document_of_each_group_stays(staged):
-    before, after = staged["near_duplicates"]
-    marked = simhash.fingerprints(before)
-    groups = {r.doc_id: r.component_id for r in marked.join(simhash.near_duplicates(marked), "fingerprint").collect()}
-    assert sorted(r.doc_id for r in after.collect()) == sorted(set(groups.values()))
-
-
 def brute_force_kept(rows):
     """Ids kept by comparing every pair's sets of five-word shingles; exact copies are linked too."""
     sets, root = {}, {}
