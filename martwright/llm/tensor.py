@@ -35,7 +35,7 @@ SHINGLE_WORDS, LEAST_PERCENT, HALF_ROWS, HALVES = 3, 85, 3, 14
 #: A pair with fewer agreeing half bands than a linked pair has but with this probability is not compared.
 SLIP = 1e-6
 #: Rounds in which a bucket's members are compared with one member: of table buckets, of prefix buckets.
-STARS, PREFIX_STARS = 2, 2
+STARS, PREFIX_STARS = 2, 3
 WORDS_HELD = 200_000
 SHINGLES_AT_ONCE = 1024
 BYTES_AT_ONCE = 8_000_000
@@ -157,13 +157,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, agree: int) -> D
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("code").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    same = F.aggregate(F.zip_with("halves_u", "halves_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-    near = pairs.join(side("u", "n", "halves"), "u").join(side("v", "n", "halves"), "v").where(_sizes_fit(percent) & (same >= agree)).select("u", "v", "n_u", "n_v")
+    near = pairs.join(side("u", "n", "halves"), "u").join(side("v", "n", "halves"), "v").where(_sizes_fit(percent) & (_agreeing() >= agree)).select("u", "v", "n_u", "n_v")
     both = F.size(F.array_intersect("set_u", "set_v"))
     sure = stage(near, "near_pairs").join(side("u", "set"), "u").join(side("v", "set"), "v").withColumn("both", both)
     return stage(sure.where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v"), "confirmed")
 
 
+def _agreeing() -> Column:
+    return F.aggregate(F.zip_with("halves_u", "halves_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
+
+
 def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
 
@@ -197,8 +200,8 @@ def _open_rows(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with its head: the member that shares most at first, one by chance later."""
-    first = F.col("score") if turn == 0 else F.xxhash64("root", F.lit(turn))
+    """Each member of a bucket with its head: the member that shares most at first, later another that shares much."""
+    first = F.col("score") * (1 - min(turn, 1) * F.pmod(F.xxhash64("code", F.lit(turn)), F.lit(1024)) / 4096)
     heads = stage(rows.groupBy("key").agg(F.max(F.struct(first.alias("first"), "score", "code", "root")).alias("m")).select("key", F.col("m.code").alias("head"), F.col("m.root").alias("head_root")), "heads")
     pairs = rows.join(heads, "key").where("root <> head_root")
     return stage(pairs.select(F.least("code", "head").alias("u"), F.greatest("code", "head").alias("v")).distinct(), "star_pairs")
@@ -214,19 +217,32 @@ def _starred(rows: DataFrame, roots: DataFrame, turns: int, sets: DataFrame, per
     return rows, roots
 
 
-def _prefix_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Buckets by shingle over the members of open buckets: each member under its rarest shingles, so many that two similar sets share one.
+def _prefix_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets by shingle over the members of open buckets: each member under its rarest shingles, so many that two similar sets share one;
+    and ``code``, ``own``: how many shingles a member has that no other has.
 
-    A shingle that one member alone has counts among the rarest but needs no bucket.
+    A member's own shingles count among the rarest but need no bucket.
     """
     members = stage(rows.groupBy("code").agg(F.max("score").alias("score")), "open_members")
     each = sets.join(members, "code").select("code", "score", "n", F.explode("set").alias("key"))
     often = stage(each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     common = each.join(often, "key").groupBy("code", "score", "n").agg(F.collect_list(F.struct("often", "key")).alias("common"))
-    # The prefix has n - ceil(n * percent / 100) + 1 shingles, of which n - size(common) are the member's own.
-    most = F.size("common") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    cut = common.where(most > 0).select("code", "score", F.slice(F.array_sort("common"), 1, F.greatest(most, F.lit(0)).cast("int")).alias("prefix"))
-    return _one_of_each(stage(cut.select(F.explode("prefix.key").alias("key"), "code", "score"), "prefixes"), "prefix_buckets")
+    own = F.col("n") - F.size("common")
+    # The prefix has n - ceil(n * percent / 100) + 1 shingles, of which the member's own come first.
+    most = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - own
+    cut = stage(common.where(most > 0).select("code", "score", own.alias("own"), F.slice(F.array_sort("common"), 1, F.greatest(most, F.lit(0)).cast("int")).alias("prefix")), "prefixes")
+    return _one_of_each(cut.select(F.explode("prefix.key").alias("key"), "code", "score"), "prefix_buckets"), cut.select("code", "own")
+
+
+def _rest(rows: DataFrame, owned: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
+    """Pairs of a bucket that are still apart and that neither sizes, nor shingles of their own, nor half bands tell to be too different."""
+    fit = stage(rows.join(owned, "code").join(sets.select("code", "n", "halves"), "code"), "rest_rows")
+    left, right = (fit.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("code", "root", "n", "own", "halves"))) for side in "uv")
+    # What one has alone is not in the other: it bounds the intersection and adds to the union.
+    both = F.least(F.col("n_u") - F.col("own_u"), F.col("n_v") - F.col("own_v"))
+    every = F.greatest(F.col("n_u") + F.col("own_v"), F.col("n_v") + F.col("own_u"))
+    near = (left["root_u"] < right["root_v"]) & (100 * both >= percent * every) & (_agreeing() >= agree)
+    return stage(left.join(right, (left["key"] == right["key"]) & near).select(F.least("code_u", "code_v").alias("u"), F.greatest("code_u", "code_v").alias("v")).distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
@@ -269,12 +285,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             roots = _merged(roots, _confirmed(tie, sets, percent, agree))
         rows, roots = _starred(_open_rows(buckets, roots), roots, STARS, sets, percent, agree)
         if not rows.isEmpty():
-            rows, roots = _starred(_open_rows(_prefix_buckets(rows, sets, percent), roots), roots, PREFIX_STARS, sets, percent, agree)
-        if not rows.isEmpty():
-            fit = rows.join(sets.select("code", "n"), "code")
-            left, right = (fit.select("key", F.col("code").alias(c), F.col("root").alias(f"root_{c}"), F.col("n").alias(f"n_{c}")) for c in "uv")
-            rest = left.join(right, "key").where("root_u < root_v").where(_sizes_fit(percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            roots = _merged(roots, _confirmed(stage(rest.distinct(), "rest"), sets, percent, agree))
+            by_prefix, owned = _prefix_buckets(rows, sets, percent)
+            rows, roots = _starred(_open_rows(by_prefix, roots), roots, PREFIX_STARS, sets, percent, agree)
+            if not rows.isEmpty():
+                roots = _merged(roots, _confirmed(_rest(rows, owned, sets, percent, agree), sets, percent, agree))
 
         rooted = stage(codes.select("digest", "code").join(roots, "code", "left").select("digest", F.coalesce("root", "code").alias("root")), "rooted")
         placed = stage(marked.select("doc_id", "text_key", "n_shingles", "digest").join(rooted, "digest", "left").drop("digest"), "placed_rows")
