@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 from functools import cached_property, reduce
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,35 +229,59 @@ def issues(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | No
 
 def correlations(df: DataFrame, names: list[str] | None = None, above: float = rules.STRONG_CORRELATION,
                  digits: int = 4) -> DataFrame:
-    """Pearson r of every pair of numeric columns once, kept where ``|r| > above``.
+    """Pearson r of every pair of numeric columns once, over the rows where both are present, kept where ``|r| > above``.
 
-    A first aggregate finds constant columns (left out) and columns without gaps: all pairs of those come from one
-    pass, however many columns there are; the others are computed pair by pair over complete rows.
+    Two passes however many columns there are and whatever gaps they have: a first aggregate gives means and ranges, a second
+    one the cross products of all pairs.  A pair with a constant column, or with an infinity among its rows, has no r.
     """
     df = stats.normalize_nan(df)
     names = names or stats.columns_of(df, num.is_number)
     empty = df.sparkSession.createDataFrame([], "column_1 string, column_2 string, correlation double")
     if len(names) < 2:
         return empty
-    v = {c: f"CAST({ident(c)} AS DOUBLE)" for c in names}
-    seen = df.selectExpr("count(1) AS n", *[f"named_struct('n', count({x}), 'varies', min({x}) < max({x})) AS s{i}" for i, x in enumerate(v.values())]).first()
-    used = [c for i, c in enumerate(names) if seen[f"s{i}"]["varies"]]
-    whole = [c for i, c in enumerate(names) if c in used and seen[f"s{i}"]["n"] == seen["n"]]
-    strong = df.sparkSession.createDataFrame(_strong_pairs(df.selectExpr(*[f"{v[c]} AS {ident(c)}" for c in whole]), whole, above), empty.schema) if len(whole) > 1 else empty
-    gaps = [{"column_1": num.sql_literal(a), "column_2": num.sql_literal(b), "correlation": stats.pearson_sql(ident(a), ident(b))}
-            for a, b in combinations(used, 2) if not (a in whole and b in whole)]
-    r = F.col("correlation")
-    if gaps:
-        strong = strong.unionByName(stats.long_stats(df, gaps).filter(r.isNotNull() & ~F.isnan(r) & (F.abs(r) > above)))
-    return strong.withColumn("correlation", F.round(r, digits))
-
-
-def _strong_pairs(df: DataFrame, names: list[str], above: float) -> list[tuple[str, str, float]]:
-    """Pairs of columns without gaps above the limit, from one pass of cross products; the matrix has a cell per pair."""
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return [(names[i], names[j], float(matrix[i, j])) for i, j in combinations(range(len(names)), 2) if abs(matrix[i, j]) > above]
+    values = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS c{i}" for i, c in enumerate(names)])
+    seen = values.selectExpr(*[f"named_struct('m', avg({f}), 'a', min({f}), 'b', max({f})) AS s{i}" for i, f in enumerate(num.finite_sql(f"c{i}") for i in range(len(names)))]).first()
+    used = [i for i in range(len(names)) if seen[f"s{i}"]["a"] is not None and seen[f"s{i}"]["a"] < seen[f"s{i}"]["b"]]
+    if len(used) < 2:
+        return empty
+    # Shifted by the mean and brought to -1 .. 1, sums of squares neither overflow nor cancel.
+    shifts = [seen[f"s{i}"]["m"] for i in used]
+    scales = [max(seen[f"s{i}"]["b"] - m, m - seen[f"s{i}"]["a"]) for i, m in zip(used, shifts)]
+    sums = _cross_sums(values.select(*[f"c{i}" for i in used]), shifts, scales).withColumns({
+        "var_x": F.expr("xx - x * x / n"), "var_y": F.expr("yy - y * y / n"), "cov": F.expr("xy - x * y / n")})
+    # Below this share of the sum of squares a variance is rounding error.
+    r = F.when((F.col("infinite") == 0) & (F.col("var_x") > F.col("xx") * 1e-12) & (F.col("var_y") > F.col("yy") * 1e-12), F.col("cov") / F.sqrt(F.col("var_x") * F.col("var_y")))
+    label = F.array(*[F.lit(names[i]) for i in used])
+    return sums.withColumn("r", r).where(F.abs("r") > above).select(
+        label[F.col("i")].alias("column_1"), label[F.col("j")].alias("column_2"), F.round("r", digits).alias("correlation"))
+
+
+def _cross_sums(values: DataFrame, shifts: list[float], scales: list[float]) -> DataFrame:
+    """For columns i < j, over the rows where both are present: ``n``, ``infinite`` rows, and sums ``x``, ``y``, ``xx``, ``yy``, ``xy`` of the shifted, scaled values.
+
+    A task multiplies blocks of rows by their presence masks and emits one row per pair.
+    """
+    k = len(shifts)
+    first, second = np.triu_indices(k, 1)
+    schema = "i int, j int, n double, infinite double, x double, y double, xx double, yy double, xy double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products = np.zeros((5, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            here, endless = ~np.isnan(x), np.isinf(x)
+            with np.errstate(invalid="ignore"):
+                z = np.where(here & ~endless, (x - shifts) / scales, 0.0)
+            m = here.astype(float)
+            for at, left, right in ((0, m, m), (1, endless.astype(float), m), (2, z, m), (3, z * z, m), (4, z, z)):
+                products[at] += left.T @ right
+        n, infinite, s, squares, cross = products
+        pair = [n, infinite + infinite.T, s, s.T, squares, squares.T, cross]
+        yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *(pa.array(p[first, second]) for p in pair)],
+                                         names=["i", "j", "n", "infinite", "x", "y", "xx", "yy", "xy"])
+
+    sums = [F.sum(c).alias(c) for c in ("n", "infinite", "x", "y", "xx", "yy", "xy")]
+    return values.mapInArrow(run, schema).groupBy("i", "j").agg(*sums).where("n > 1")
 
 
 def pii_columns(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:

@@ -176,3 +176,29 @@ def test_profiles_without_a_kind_of_column_are_empty(spark):
 def test_maps_are_deduplicated(spark):
     df = spark.sql("SELECT * FROM VALUES (1, map('a', 1, 'b', 2)), (1, map('b', 2, 'a', 1)), (2, map('a', 1)) t(id, m)")
     assert clean.remove_duplicates(df).count() == 2 and clean.remove_duplicates(df).columns == ["id", "m"]
+
+
+def test_correlations_of_columns_with_gaps_are_of_complete_rows(spark):
+    """500 columns, each with gaps of its own, against pandas; far from zero and on any scale."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 1))
+    cells = 1e6 + np.where(rng.random((300, 500)) < 0.5, base, rng.normal(size=(300, 500))) * 10.0 ** rng.integers(-3, 3, 500)
+    cells[rng.random(cells.shape) < 0.2] = np.nan
+    frame = pd.DataFrame(cells, columns=[f"c{i}" for i in range(500)])
+    expected = frame.corr().to_numpy()
+    got = {(r.column_1, r.column_2): r.correlation for r in profile.correlations(spark.createDataFrame(frame), above=0.3, digits=6).collect()}
+    want = {(f"c{i}", f"c{j}"): expected[i, j] for i in range(500) for j in range(i + 1, 500) if abs(expected[i, j]) > 0.3}
+    close = {k for k, r in want.items() if abs(r) - 0.3 < 1e-6}
+    assert got.keys() ^ want.keys() <= close and all(abs(got[k] - want[k]) < 2e-6 for k in got.keys() & want.keys())
+
+
+def test_correlations_leave_out_what_has_no_r(spark):
+    inf = float("inf")
+    rows = [(1.0, 2.0, 5.0, None, 1.0), (2.0, 4.0, 5.0, 1.0, inf), (3.0, 6.0, 5.0, 1.0, 3.0), (4.0, 8.0, 5.0, 1.0, None), (None, 1.0, 5.0, 7.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, constant double, `constant beside a` double, endless double")
+    found = {(r.column_1, r.column_2) for r in profile.correlations(df, above=0.0).collect()}
+    assert ("a", "b") in found and ("b", "constant beside a") in found
+    assert not any("constant" in p or "endless" in p for p in found) and ("a", "constant beside a") not in found

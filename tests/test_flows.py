@@ -169,7 +169,12 @@ def test_console_runs_selects(spark, people):
                                  "SELECT `reflect`('java.lang.System', 'nanoTime')", "SELECT `java_method`('java.util.UUID', 'randomUUID')",
                                  "SELECT reflect/**/('java.util.UUID', 'randomUUID')", "SELECT * FROM `text`.`/etc/hostname`", "SELECT * FROM text/**/.`/etc/hostname`",
                                  "SELECT (SELECT `reflect`('java.util.UUID', 'randomUUID'))", "WITH x AS (SELECT * FROM `text`.`/etc/hostname`) SELECT * FROM x",
-                                 "SELECT * FROM people WHERE id IN (SELECT `try_reflect`('java.util.UUID', 'randomUUID'))", "SELECT no_such_function(id) FROM people"])
+                                 "SELECT * FROM people WHERE id IN (SELECT `try_reflect`('java.util.UUID', 'randomUUID'))", "SELECT no_such_function(id) FROM people",
+                                 "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')", "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.home')",
+                                 "SELECT * FROM people |> SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM IDENTIFIER('people')",
+                                 "SELECT raise_error('x')", "SELECT current_user()", "SELECT id FROM people ORDER BY java_method('java.util.UUID', 'randomUUID')",
+                                 "SELECT transform(array(1), x -> reflect('java.util.UUID', 'randomUUID'))", "SELECT system.builtin.reflect('java.util.UUID', 'randomUUID')",
+                                 "SELECT sum(id) FILTER (WHERE assert_true(id > 0) IS NULL) FROM people", "SELECT * FROM people |> EXTEND version() AS v"])
 def test_console_refuses(spark, people, sql):
     result = console.run_readonly(spark, sql, people)
     assert not result.ok and result.rejected and result.reason
@@ -178,7 +183,12 @@ def test_console_refuses(spark, people, sql):
 def test_console_runs_plain_queries(spark, people):
     for sql, n in (("SELECT g, count(*) AS n FROM people GROUP BY g HAVING count(*) > 0 ORDER BY g", 3), ("SELECT p.*, q.* FROM people p JOIN people q ON p.id = q.id LIMIT 2", 2),
                    ("SELECT * FROM people WHERE id IN (SELECT max(id) FROM people)", 1), ("SELECT id, row_number() OVER (PARTITION BY g ORDER BY id) AS r FROM people", None),
-                   ("SELECT 1 AS a UNION ALL SELECT 2", 2), ("SELECT explode(array(1, 2)) AS x", 2), ("SELECT * FROM VALUES (1), (2) t(a)", 2)):
+                   ("SELECT 1 AS a UNION ALL SELECT 2", 2), ("SELECT explode(array(1, 2)) AS x", 2), ("SELECT * FROM VALUES (1), (2) t(a)", 2),
+                   ("SELECT CAST(id AS DECIMAL(9, 2)) + 1.5, left(CAST(id AS STRING), 2), date_add(DATE '2024-01-01', CAST(id AS INT)), year(DATE '2024-01-01' + INTERVAL 1 MONTH) FROM people", 600),
+                   ("SELECT g, transform(collect_list(id), x -> x + 1)[0] AS a, percentile_approx(id, 0.5), lag(max(id)) OVER (ORDER BY g) FROM people GROUP BY g", 3),
+                   ("SELECT * FROM range(5) r JOIN people p ON p.id = r.id WHERE EXISTS (SELECT 1 FROM people q WHERE q.id = p.id) AND p.id BETWEEN 1 AND 3", 3),
+                   ("SELECT CASE WHEN g LIKE '1%' THEN 'a' ELSE concat_ws('-', 'b', g) END AS k, named_struct('a', 1).a, map('x', id)['x'] FROM people |> LIMIT 4", 4),
+                   ("SELECT g, try_divide(sum(id), count(*)) AS m, round(avg(id), 2) FROM people GROUP BY GROUPING SETS ((g), ())", 4)):
         result = console.run_readonly(spark, sql, people)
         assert result.ok, (sql, result.reason)
         assert n is None or result.row_count == n
