@@ -37,6 +37,10 @@ SLIP = 1e-6
 #: Rounds in which a bucket's members are compared with one member: of table buckets, of prefix buckets.
 STARS, PREFIX_STARS = 2, 3
 WORDS_HELD = 200_000
+#: Shingles of a set are counted by so many cells of their hashes; two sets share no more than their cells' lesser counts.
+CELLS = 64
+#: Members of a bucket that are left to be paired are dealt to so many tasks, each of which sees the bucket whole.
+SALTS = 16
 SHINGLES_AT_ONCE = 1024
 BYTES_AT_ONCE = 8_000_000
 #: An odd factor one less than a multiple of four, so that differences between places lose one bit at most.
@@ -135,10 +139,11 @@ def _sets_of(members: DataFrame, docs: DataFrame, text: str, doc_id: str, words_
         for batch in slices(batches, 0, BYTES_AT_ONCE):
             sets = [shingle_set(t or b"", words_each) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
-                                              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "set"])
+                                              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                                              pa.array([np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for s in sets], pa.list_(pa.int64()))], names=["digest", "set", "cells"])
 
     # A repeated row gives its set again: one of each.
-    sets = texts.mapInArrow(run, "digest binary, set array<long>").dropDuplicates(["digest"])
+    sets = texts.mapInArrow(run, "digest binary, set array<long>, cells array<long>").dropDuplicates(["digest"])
     return stage(members.select("code", "digest", "n", "halves").join(sets, "digest").drop("digest"), "sets")
 
 
@@ -157,7 +162,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, agree: int) -> D
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("code").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    near = pairs.join(side("u", "n", "halves"), "u").join(side("v", "n", "halves"), "v").where(_sizes_fit(percent) & (_agreeing() >= agree)).select("u", "v", "n_u", "n_v")
+    near = pairs.join(side("u", "n", "halves", "cells"), "u").join(side("v", "n", "halves", "cells"), "v").where(_sizes_fit(percent) & (_agreeing() >= agree) & _cells_fit(percent)).select("u", "v", "n_u", "n_v")
     both = F.size(F.array_intersect("set_u", "set_v"))
     sure = stage(near, "near_pairs").join(side("u", "set"), "u").join(side("v", "set"), "v").withColumn("both", both)
     return stage(sure.where(100 * F.col("both") >= percent * (F.col("n_u") + F.col("n_v") - F.col("both"))).select("u", "v"), "confirmed")
@@ -167,6 +172,12 @@ def _agreeing() -> Column:
     return F.aggregate(F.zip_with("halves_u", "halves_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
 
 
+def _cells_fit(percent: int) -> Column:
+    """Whether two sets may share enough by their counts per cell; never false for a linked pair."""
+    shared = F.aggregate(F.zip_with("cells_u", "cells_v", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return shared * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v"))
+
+
 def _sizes_fit(percent: int) -> Column:
     return 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
 
@@ -234,15 +245,18 @@ def _prefix_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     return _one_of_each(cut.select(F.explode("prefix.key").alias("key"), "code", "score"), "prefix_buckets"), cut.select("code", "own")
 
 
-def _rest(rows: DataFrame, owned: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
-    """Pairs of a bucket that are still apart and that neither sizes, nor shingles of their own, nor half bands tell to be too different."""
-    fit = stage(rows.join(owned, "code").join(sets.select("code", "n", "halves"), "code"), "rest_rows")
-    left, right = (fit.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("code", "root", "n", "own", "halves"))) for side in "uv")
+def _rest(rows: DataFrame, owned: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that are still apart and that neither shingles of their own nor counts per cell tell to be too different."""
+    fit = stage(rows.join(owned, "code").join(sets.select("code", "n", "cells"), "code"), "rest_rows")
+    left, right = (fit.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("code", "root", "n", "own", "cells"))) for side in "uv")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("code_u"), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # What one has alone is not in the other: it bounds the intersection and adds to the union.
     both = F.least(F.col("n_u") - F.col("own_u"), F.col("n_v") - F.col("own_v"))
     every = F.greatest(F.col("n_u") + F.col("own_v"), F.col("n_v") + F.col("own_u"))
-    near = (left["root_u"] < right["root_v"]) & (100 * both >= percent * every) & (_agreeing() >= agree)
-    return stage(left.join(right, (left["key"] == right["key"]) & near).select(F.least("code_u", "code_v").alias("u"), F.greatest("code_u", "code_v").alias("v")).distinct(), "rest")
+    near = (F.col("root_u") < F.col("root_v")) & (100 * both >= percent * every) & _cells_fit(percent)
+    same = (left["key"] == right["key"]) & (left["salt"] == right["salt"])
+    return stage(left.join(right, same & near).select(F.least("code_u", "code_v").alias("u"), F.greatest("code_u", "code_v").alias("v")).distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
@@ -288,7 +302,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             by_prefix, owned = _prefix_buckets(rows, sets, percent)
             rows, roots = _starred(_open_rows(by_prefix, roots), roots, PREFIX_STARS, sets, percent, agree)
             if not rows.isEmpty():
-                roots = _merged(roots, _confirmed(_rest(rows, owned, sets, percent, agree), sets, percent, agree))
+                roots = _merged(roots, _confirmed(_rest(rows, owned, sets, percent), sets, percent, agree))
 
         rooted = stage(codes.select("digest", "code").join(roots, "code", "left").select("digest", F.coalesce("root", "code").alias("root")), "rooted")
         placed = stage(marked.select("doc_id", "text_key", "n_shingles", "digest").join(rooted, "digest", "left").drop("digest"), "placed_rows")
