@@ -187,7 +187,7 @@ def test_console_runs_plain_queries(spark, people):
                    ("SELECT CAST(id AS DECIMAL(9, 2)) + 1.5, left(CAST(id AS STRING), 2), date_add(DATE '2024-01-01', CAST(id AS INT)), year(DATE '2024-01-01' + INTERVAL 1 MONTH) FROM people", 600),
                    ("SELECT g, transform(collect_list(id), x -> x + 1)[0] AS a, percentile_approx(id, 0.5), lag(max(id)) OVER (ORDER BY g) FROM people GROUP BY g", 3),
                    ("SELECT * FROM range(5) r JOIN people p ON p.id = r.id WHERE EXISTS (SELECT 1 FROM people q WHERE q.id = p.id) AND p.id BETWEEN 1 AND 3", 3),
-                   ("SELECT CASE WHEN g LIKE '1%' THEN 'a' ELSE concat_ws('-', 'b', g) END AS k, named_struct('a', 1).a, map('x', id)['x'] FROM people |> LIMIT 4", 4),
+                   ("SELECT CASE WHEN g LIKE '1%' THEN 'a' ELSE concat_ws('-', 'b', g) END AS k, named_struct('a', 1).a, map('x', id)['x'] FROM people LIMIT 4", 4),
                    ("SELECT g, try_divide(sum(id), count(*)) AS m, round(avg(id), 2) FROM people GROUP BY GROUPING SETS ((g), ())", 4)):
         result = console.run_readonly(spark, sql, people)
         assert result.ok, (sql, result.reason)
