@@ -107,7 +107,9 @@ def build(inputs: MartInputs, spec: MartSpec) -> DataFrame:
     payments = inputs.payments if spec.sample_fraction is None else inputs.payments.sample(spec.sample_fraction, seed=7)
     paid = joins.group_sum_distinct(joins.drop_codes(payments, key, inputs.excluded) if inputs.excluded else payments,
                                     key, inputs.amount, inputs.payee, "total_payment", "provider_count")
-    mart = reduce(lambda left, right: joins.spine_join(left, right, key), [inputs.population, measures, paid], inputs.spine)
+    # Measures and payments are grouped by the key; only the population could hold a key twice.
+    mart = joins.spine_join(inputs.spine, inputs.population, key)
+    mart = reduce(lambda left, right: joins.spine_join(left, right, key, checked=False), [measures, paid], mart)
     return with_ratios(mart.withColumn("payment_year", F.lit(spec.payment_year)))
 
 
