@@ -82,22 +82,23 @@ def _pii_facts(v: str) -> dict[str, str]:
 def value_facts(df: DataFrame, top: int = TOP_K, samples: int = 3) -> DataFrame:
     """One row per column with values: filled cells, distinct count, top values, smallest samples.
 
-    All come from one count of distinct values, whose shuffle the three branches share.
+    All come from one count of distinct values, whose shuffle the branches share.
     Rank filters are pushed below the next shuffle, so a ranking task gets a few rows per
-    column and task, never all values.
+    column and task, never all values.  Texts alike in their first ``stats.TEXT_HEAD`` characters are ordered by digest.
     """
     df = stats.normalize_nan(df)
     counted = stats.value_counts(df, df.columns)
-    text = stats.value_text()
     totals = counted.groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("filled_count"))
-    frequent = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("txt"), F.asc("whole"), F.asc("real"))
-    smallest = Window.partitionBy("ordinal").orderBy("whole", "real", "txt")
+    frequent = Window.partitionBy("ordinal").orderBy(F.desc("n"), *stats.text_order(), "whole", "real")
+    smallest = Window.partitionBy("ordinal").orderBy("whole", "real", *stats.text_order())
 
-    def first(w, k: int, name: str) -> DataFrame:
-        picked = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        return picked.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("value"), "n"))).alias(name))
+    def first(kind: str, w, k: int) -> DataFrame:
+        return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("kind", F.lit(kind))
 
-    return (totals.join(first(frequent, top, "top"), "ordinal", "left").join(first(smallest, samples, "samples"), "ordinal", "left"))
+    shown = stats.whole_texts(df, df.columns, first("top", frequent, top).unionByName(first("samples", smallest, samples)))
+    entry = F.struct("rank", "value", "n")
+    lists = shown.groupBy("ordinal").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, entry))).alias(k) for k in ("top", "samples")])
+    return totals.join(lists, "ordinal", "left")
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def moments_in_time(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, k: int = TOP_K, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
-    """The k most frequent values of each string column; ties by value."""
+    """The k most frequent values of each string column; ties by value, of texts alike in their first characters by digest."""
     if values is not None:
         texts = facts.filter("dtype = 'VARCHAR'").select("ordinal")
         return (values.join(texts, "ordinal", "left_semi").select("column", F.inline("top"))
@@ -196,10 +197,10 @@ def top_values(df: DataFrame, k: int = TOP_K, facts: DataFrame | None = None, va
     names = stats.columns_of(df, num.is_text)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, occurrences bigint")
-    w = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("txt"))
-    return (stats.value_counts(df.select(*[quoted(c) for c in names]), names)
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("column", "rank", F.col("txt").alias("value"), F.col("n").alias("occurrences")))
+    df = df.select(*[quoted(c) for c in names])
+    w = Window.partitionBy("ordinal").orderBy(F.desc("n"), *stats.text_order())
+    picked = stats.value_counts(df, names).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return stats.whole_texts(df, names, picked).select("column", "rank", "value", F.col("n").alias("occurrences"))
 
 
 def issues(df: DataFrame, facts: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BUCKETS = 4096
 _SKETCH_K, _SKETCH_ERROR = 4096, 0.002
 _APPROX_ACCURACY = 10_000
+# Texts up to this many characters are counted as they are.
+TEXT_HEAD = 64
 # Aggregate expressions per job, to stay inside generated-code limits.
 EXPRESSIONS_PER_JOB = 500
 
@@ -95,11 +97,13 @@ def pearson_sql(a: str, b: str) -> str:
     return f"CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN {r} END"
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Occurrences of every distinct non-null value: ordinal, column, whole, real, txt, n.
+def value_counts(df: DataFrame, columns: list[str], heads: bool = True) -> DataFrame:
+    """Occurrences of every distinct non-null value: ordinal, column, whole, real, txt, d0, d1, n.
 
     Values stay in the slot of their type, so numbers are neither formatted nor
-    compared as text.  Counting is combined before the shuffle, so a value that fills
+    compared as text.  A text over ``TEXT_HEAD`` characters is counted as its head and 128 bits of
+    digest, so no long text is the key of a shuffle or sort; ``whole_texts`` brings back the few that are shown.  Without
+    ``heads`` every text is its digest alone.  Counting is combined before the shuffle, so a value that fills
     a third of the rows costs one row per task.
     """
     types = {f.name: f.dataType for f in df.schema}
@@ -109,11 +113,46 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         whole = f"CAST({c} AS BIGINT)" if num.is_integral(t) else "CAST(NULL AS BIGINT)"
         real = f"CAST({c} AS DOUBLE) + 0.0D" if num.is_fractional(t) else "CAST(NULL AS DOUBLE)"
         # A decimal is told apart by its exact text and ordered by its double.
-        text = "CAST(NULL AS STRING)" if num.is_number(t) and not isinstance(t, T.DecimalType) else text_sql(c, t)
-        cells.append(_named_struct({"ordinal": str(ordinal), "column": num.sql_literal(name), "whole": whole, "real": real, "txt": text}))
+        as_text = not num.is_number(t) or isinstance(t, T.DecimalType)
+        key = text_key(text_sql(c, t) if as_text else "CAST(NULL AS STRING)", heads)
+        cells.append(_named_struct({"ordinal": str(ordinal), "column": num.sql_literal(name), "whole": whole, "real": real, **key}))
+    keys = ["ordinal", "column", "whole", "real", *(["txt"] if heads else []), "d0", "d1"]
     return (df.selectExpr(f"inline(array({', '.join(cells)}))")
-            .filter("whole IS NOT NULL OR real IS NOT NULL OR txt IS NOT NULL")
-            .groupBy("ordinal", "column", "whole", "real", "txt").agg(F.count(F.lit(1)).alias("n")))
+            .filter("whole IS NOT NULL OR real IS NOT NULL OR d0 IS NOT NULL")
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+
+
+def text_key(text: str, heads: bool = True) -> dict[str, str]:
+    """A text as a key of bounded size, as expression texts: its head and a digest, which is zero for a text that is all head."""
+    digests = {f"d{seed}": f"xxhash64({seed}, {text})" for seed in (0, 1)}
+    if not heads:
+        return {d: f"CASE WHEN {text} IS NOT NULL THEN {h} END" for d, h in digests.items()}
+    return {"txt": f"left({text}, {TEXT_HEAD})"} | {
+        d: f"CASE WHEN length({text}) > {TEXT_HEAD} THEN {h} WHEN {text} IS NOT NULL THEN 0L END" for d, h in digests.items()}
+
+
+def text_order() -> list[Column]:
+    """Total order of ``value_counts`` texts: by head, a text that is all head first, then by digest."""
+    return [F.col("txt"), F.expr("d0 <> 0 OR d1 <> 0"), F.col("d0"), F.col("d1")]
+
+
+def whole_texts(df: DataFrame, columns: list[str], picked: DataFrame) -> DataFrame:
+    """Rows of ``value_counts`` of ``columns`` with ``value``, their whole text form.
+
+    ``picked`` is a bounded number of rows per column: their digests are broadcast to a second scan of the columns that can hold
+    long texts, which adaptive execution leaves out when no picked text is long.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    long = [(i, text_sql(ident(c), types[c])) for i, c in enumerate(columns)
+            if num.is_text(types[c]) or isinstance(types[c], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    if not long:
+        return picked.withColumn("value", value_text())
+    at = ["ordinal", "d0", "d1"]
+    cells = [f"CASE WHEN length({text}) > {TEXT_HEAD} THEN {_named_struct({'ordinal': str(i), **text_key(text), 'text': text})} END" for i, text in long]
+    wanted = picked.filter("d0 <> 0 OR d1 <> 0").select(*at)
+    found = (df.selectExpr(f"inline(array_compact(array({', '.join(cells)})))").join(F.broadcast(wanted), at, "left_semi")
+             .groupBy(*at).agg(F.collect_set("text")[0].alias("text")))
+    return picked.join(found, at, "left").withColumn("value", F.coalesce("text", value_text())).drop("text")
 
 
 def text_sql(c: str, t: T.DataType) -> str:
@@ -124,7 +163,7 @@ def text_sql(c: str, t: T.DataType) -> str:
 
 
 def value_text() -> Column:
-    """Text form of a row of ``value_counts``."""
+    """Text form of a row of ``value_counts``; of a long text, its head."""
     return F.coalesce(F.col("txt"), F.col("whole").cast("string"), F.col("real").cast("string"))
 
 
@@ -133,7 +172,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) ->
     if approx:
         return long_stats(df, [{"ordinal": str(i), "column": num.sql_literal(c),
                                 "unique_count": f"approx_count_distinct({ident(c)})"} for i, c in enumerate(columns)])
-    return value_counts(df, columns).groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"))
+    return value_counts(df, columns, heads=False).groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
 def row_digest(df: DataFrame) -> list[Column]:

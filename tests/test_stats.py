@@ -73,3 +73,39 @@ def test_broadcast_only_when_small(spark, monkeypatch):
 def test_stages_go_to_the_folder_the_session_names(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared_folder(spark) == named
+
+
+def _long_texts(spark):
+    same = "x" * stats.TEXT_HEAD
+    rows = [(1, same + "a", "s"), (2, same + "b", None), (3, same + "b", "s"), (4, same, "t"), (5, None, ""), (6, same * 50, "t"), (7, same * 50, "s"), (8, same + "b", "s")]
+    return spark.createDataFrame(rows, "id long, body string, word string"), same
+
+
+def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
+    from martwright.operators import profile
+
+    df, same = _long_texts(spark)
+    assert {r["column"]: r["unique_count"] for r in stats.distinct_counts(df, df.columns).collect()} == {"id": 8, "body": 4, "word": 3}
+    top = [(r["rank"], r["value"], r["occurrences"]) for r in profile.top_values(df, 4).filter("column = 'body'").orderBy("rank").collect()]
+    assert top[:2] == [(1, same + "b", 3), (2, same * 50, 2)] and {v for _, v, _ in top[2:]} == {same, same + "a"}
+    facts = {r["column"]: r for r in profile.value_facts(df).collect()}
+    assert [(v["value"], v["n"]) for v in facts["body"]["top"]] == [(v, n) for _, v, n in top]
+    assert facts["body"]["samples"][0]["value"] == same and facts["body"]["filled_count"] == 7
+    assert [v["value"] for v in facts["word"]["samples"]] == ["", "s", "t"] and [v["value"] for v in facts["id"]["samples"]] == ["1", "2", "3"]
+
+
+def test_nested_and_binary_values_are_shown_whole(spark):
+    from martwright.operators import profile
+
+    df = spark.sql("SELECT sequence(1, 60) AS many, unhex(repeat('ab', 80)) AS bytes, CAST(NULL AS STRING) AS nothing")
+    facts = {r["column"]: r["top"][0]["value"] for r in profile.value_facts(df).collect()}
+    assert facts == {"many": "[" + ",".join(map(str, range(1, 61))) + "]", "bytes": "AB" * 80}
+
+
+def test_no_text_is_shuffled_to_profile_strings(spark):
+    from martwright.operators import profile
+
+    df, _ = _long_texts(spark)
+    plan = profile.strings(df)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and not any("body#" in line or "word#" in line or "txt#" in line for line in keys)
