@@ -18,6 +18,26 @@ from martwright.session import pin_utc
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
+# Columns and logical types of the benchmark tables, for the oracles.
+SCHEMA = {
+    "region": ("r_regionkey INTEGER", "r_name VARCHAR"),
+    "nation": ("n_nationkey INTEGER", "n_name VARCHAR", "n_regionkey INTEGER"),
+    "customer": ("c_custkey INTEGER", "c_name VARCHAR", "c_nationkey INTEGER", "c_acctbal FLOAT", "c_mktsegment VARCHAR"),
+    "supplier": ("s_suppkey INTEGER", "s_name VARCHAR", "s_nationkey INTEGER", "s_acctbal FLOAT"),
+    "part": ("p_partkey INTEGER", "p_name VARCHAR", "p_brand VARCHAR", "p_type VARCHAR", "p_size INTEGER", "p_retailprice FLOAT"),
+    "orders": ("o_orderkey INTEGER", "o_custkey INTEGER", "o_orderstatus VARCHAR", "o_totalprice FLOAT", "o_orderdate TIMESTAMP",
+               "o_orderpriority VARCHAR"),
+    "lineitem": ("l_orderkey INTEGER", "l_partkey INTEGER", "l_suppkey INTEGER", "l_linenumber INTEGER", "l_quantity FLOAT",
+                 "l_extendedprice FLOAT", "l_discount FLOAT", "l_tax FLOAT", "l_returnflag VARCHAR", "l_linestatus VARCHAR",
+                 "l_shipdate TIMESTAMP"),
+    "events": ("event_id INTEGER", "ts TIMESTAMP", "user_id INTEGER", "event_type VARCHAR", "value FLOAT", "props VARCHAR"),
+    "documents": ("doc_id INTEGER", "text VARCHAR", "lang VARCHAR", "source VARCHAR", "n_chars INTEGER"),
+    "embeddings": ("vec_id INTEGER", "embedding VARCHAR", "label INTEGER"),
+    "pages": ("page_id INTEGER", "url VARCHAR", "html VARCHAR"),
+    "benchmark": ("item_id INTEGER", "text VARCHAR"),
+    "labels": ("doc_id INTEGER", "quality INTEGER", "toxic INTEGER"),
+    "conversations": ("conv_id INTEGER", "turn INTEGER", "role VARCHAR", "text VARCHAR"),
+}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.catalogue.base import MEASURE_COLUMNS, MEASURES, SPEND, YEARS, Bench, query
+from martwright.catalogue.base import MEASURE_COLUMNS, MEASURES, SCHEMA, SPEND, YEARS, Bench, query
 from martwright.operators import facts, joins, keys, mart as marts, quality
 from martwright.plans import mart_build
 from martwright.session import stage
@@ -230,52 +230,54 @@ def measure_findings(t: Bench) -> DataFrame:
 # --- joinability ---------------------------------------------------------------------------------------
 
 _SPELL = "spellings AS (SELECT lower(n_name) AS spelling FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR) FROM nation)"
-_TEXT_COLUMNS = {"nation": ("n_name",), "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"), "keyed_customers": ("raw_key", "segment")}
-_FIELDS = {"nation": 3, "supplier": 4, "part": 6, "keyed_customers": 4, "orders": 6}
-_METRICS = {"nation": "n_nationkey,n_regionkey", "supplier": "s_suppkey,s_nationkey,s_acctbal", "part": "p_partkey,p_size,p_retailprice",
-            "keyed_customers": "c_custkey,charge", "orders": "o_orderkey,o_custkey,o_totalprice"}
-_TOPICAL = {"nation": False, "supplier": False, "part": False, "keyed_customers": True, "orders": False}
+# The benchmark tables and one whose keys are spelled in several ways and whose numbers are on topic.
+_SOURCES = SCHEMA | {"keyed_customers": ("c_custkey INTEGER", "raw_key VARCHAR", "charge FLOAT", "segment VARCHAR")}
+_TEXT_COLUMNS = {t: [c.split()[0] for c in cols if c.endswith("VARCHAR") and c != "embedding VARCHAR"] for t, cols in _SOURCES.items()}
 
 
 def _candidates_sql(table: str) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{table}' AS table_name, {i} AS ordinal, '{c}' AS "column", count(*) AS values_n, count(s.spelling) AS hits
-FROM (SELECT DISTINCT lower(trim({c})) AS v FROM {table} WHERE {c} IS NOT NULL) LEFT JOIN spellings s ON s.spelling = v""" for i, c in enumerate(_TEXT_COLUMNS.get(table, ())))
+FROM (SELECT DISTINCT lower(trim({c})) AS v FROM {table} WHERE {c} IS NOT NULL) LEFT JOIN spellings s ON s.spelling = v""" for i, c in enumerate(_TEXT_COLUMNS[table]))
 
 
-_CANDIDATES = " UNION ALL ".join(_candidates_sql(n) for n in _TEXT_COLUMNS)
+_CANDIDATES = " UNION ALL ".join(_candidates_sql(n) for n in _TEXT_COLUMNS if _TEXT_COLUMNS[n])
 _BEST = f"""c AS ({_CANDIDATES}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY hits DESC, ordinal) AS k FROM c WHERE hits > 0 AND hits >= 0.6 * values_n) WHERE k = 1)"""
 
 
 @query("detect_key_column", f"WITH {_SPELL}, {_BEST} SELECT table_name, ordinal, \"column\", values_n, hits FROM best")
 def detect_key_column(t: Bench) -> DataFrame:
-    spellings = joins.spellings(t.nation, "n_nationkey", "n_name", "n_nationkey")
-    parts = [keys.key_column(t.table(n), spellings).withColumn("table_name", F.lit(n)) for n in _TEXT_COLUMNS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("table_name", "ordinal", "column", "values_n", "hits")
+    return keys.key_columns(_sources(t), _spellings(t))
+
+
+def _sources(t: Bench) -> dict[str, DataFrame]:
+    return {n: t.table(n) for n in _SOURCES}
+
+
+def _spellings(t: Bench) -> DataFrame:
+    return joins.spellings(t.nation, "n_nationkey", "n_name", "n_nationkey")
 
 
 def _profile_sql(table: str) -> str:
-    topical = str(_TOPICAL[table]).upper()
-    return f"""SELECT '{table}' AS table_name, (SELECT count(*) FROM {table}) AS n_rows, {_FIELDS[table]} AS n_fields,
+    topical = str(table == "keyed_customers").upper()
+    return f"""SELECT '{table}' AS table_name, (SELECT count(*) FROM {table}) AS n_rows, {len(_SOURCES[table])} AS n_fields,
 b."column" AS key_column, coalesce(b.values_n, 0) AS n_keys, b."column" IS NOT NULL AND coalesce(b.values_n, 0) >= 20 AS joinable,
 b."column" IS NOT NULL AND coalesce(b.values_n, 0) >= 20 AND {topical} AS relevant,
-CASE WHEN b."column" IS NOT NULL AND coalesce(b.values_n, 0) >= 20 AND {topical} THEN '{_METRICS[table]}' ELSE '' END AS metrics,
 CASE WHEN b."column" IS NULL THEN 'No key column detected, so it cannot be joined to the mart.'
 WHEN NOT {topical} THEN 'A key column and numbers, but nothing related to the mart''s topic.'
 WHEN coalesce(b.values_n, 0) < 20 THEN 'Related in content, but it covers too few keys.' ELSE 'Keys to the mart and carries metrics to aggregate per key.' END AS reason
 FROM (SELECT 1) one LEFT JOIN (SELECT * FROM best WHERE table_name = '{table}') b ON TRUE"""
 
 
-@query("source_profiles", f"WITH {_SPELL}, {_BEST} {' UNION ALL '.join(_profile_sql(n) for n in _FIELDS)}")
+_PROFILES = " UNION ALL ".join(_profile_sql(n) for n in _SOURCES)
+
+
+@query("source_profiles", f"WITH {_SPELL}, {_BEST} {_PROFILES}")
 def source_profiles(t: Bench) -> DataFrame:
-    spellings = joins.spellings(t.nation, "n_nationkey", "n_name", "n_nationkey")
-    parts = [keys.source_profile(t.table(n), n, spellings) for n in _FIELDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return keys.rank_profiles(out)
+    return keys.rank_profiles(keys.source_profiles(_sources(t), _spellings(t)))
 
 
+@query("source_metrics", f"""WITH {_SPELL}, {_BEST}, p AS ({_PROFILES}) SELECT p.table_name, CAST(i AS INT) AS ordinal, m.c AS "column", 'mean' AS aggregation,
+concat('average ', replace(m.c, '_', ' '), ' per key') AS meaning FROM p, (VALUES (0, 'c_custkey'), (1, 'charge')) m(i, c) WHERE p.relevant AND p.table_name = 'keyed_customers'""")
+def source_metrics(t: Bench) -> DataFrame:
+    return keys.source_metrics(_sources(t), keys.source_profiles(_sources(t), _spellings(t)))

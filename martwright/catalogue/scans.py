@@ -7,14 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.catalogue.base import TABLES, Bench, query
+from martwright.catalogue.base import SCHEMA, TABLES, Bench, query
 from martwright.functions import text as txt
 from martwright.operators import clean, joins
 from martwright.plans import console, onboard
 from martwright.session import stage, stage_path
 from martwright.sources import files, landed, tables
 
-SCHEMA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 def _schema_sql() -> str:
     """Column listing of the benchmark tables for the oracle."""
@@ -23,20 +22,7 @@ def _schema_sql() -> str:
         for t, v in _SCHEMA_VALUES.items())
 
 
-_SCHEMA = {
-    "region": ("r_regionkey INTEGER", "r_name VARCHAR"),
-    "nation": ("n_nationkey INTEGER", "n_name VARCHAR", "n_regionkey INTEGER"),
-    "customer": ("c_custkey INTEGER", "c_name VARCHAR", "c_nationkey INTEGER", "c_acctbal FLOAT", "c_mktsegment VARCHAR"),
-    "supplier": ("s_suppkey INTEGER", "s_name VARCHAR", "s_nationkey INTEGER", "s_acctbal FLOAT"),
-    "part": ("p_partkey INTEGER", "p_name VARCHAR", "p_brand VARCHAR", "p_type VARCHAR", "p_size INTEGER", "p_retailprice FLOAT"),
-    "orders": ("o_orderkey INTEGER", "o_custkey INTEGER", "o_orderstatus VARCHAR", "o_totalprice FLOAT", "o_orderdate TIMESTAMP",
-               "o_orderpriority VARCHAR"),
-    "lineitem": ("l_orderkey INTEGER", "l_partkey INTEGER", "l_suppkey INTEGER", "l_linenumber INTEGER", "l_quantity FLOAT",
-                 "l_extendedprice FLOAT", "l_discount FLOAT", "l_tax FLOAT", "l_returnflag VARCHAR", "l_linestatus VARCHAR",
-                 "l_shipdate TIMESTAMP"),
-    "events": ("event_id INTEGER", "ts TIMESTAMP", "user_id INTEGER", "event_type VARCHAR", "value FLOAT", "props VARCHAR"),
-}
-_SCHEMA_VALUES = {t: ", ".join(f"({i}, '{c.split()[0]}', '{c.split()[1]}')" for i, c in enumerate(cols)) for t, cols in _SCHEMA.items()}
+_SCHEMA_VALUES = {t: ", ".join(f"({i}, '{c.split()[0]}', '{c.split()[1]}')" for i, c in enumerate(cols)) for t, cols in SCHEMA.items()}
 
 
 def counts_sql(names=TABLES) -> str:
@@ -244,13 +230,13 @@ def audit_recent(t: Bench) -> DataFrame:
                              schema="event_id long, ts timestamp_ntz, task string, provider string, prompt_chars long, redaction_count long")
 
 
-@query("schema_listing", f"SELECT s.*, c.n_rows FROM ({_schema_sql()}) s JOIN ({counts_sql(SCHEMA_TABLES)}) c ON s.table_name = c.table_name")
+@query("schema_listing", f"SELECT s.*, c.n_rows FROM ({_schema_sql()}) s JOIN ({counts_sql()}) c ON s.table_name = c.table_name")
 def schema_listing(t: Bench) -> DataFrame:
-    listed = {n: t.table(n) for n in SCHEMA_TABLES}
+    listed = {n: t.table(n) for n in TABLES}
     return tables.schema_of(listed).join(tables.row_counts(listed), "table_name")
 
 
-@query("schema_described", f"""WITH s AS ({_schema_sql()}), c AS ({counts_sql(SCHEMA_TABLES)}), d(ord, pat, txt) AS (VALUES
+@query("schema_described", f"""WITH s AS ({_schema_sql()}), c AS ({counts_sql()}), d(ord, pat, txt) AS (VALUES
 (14,'year','Year the measurement was taken'),(15,'value','Measured numeric value for the indicator'),(18,'id','Unique record identifier'),
 (19,'age','Age in years'),(20,'date','Date of the event or measurement'),(21,'name','Name field'),(22,'code','Categorical code or identifier'),
 (23,'type','Category or classification type'),(24,'source','Data source or origin'),(25,'status','Current status of the record'),
@@ -258,11 +244,11 @@ def schema_listing(t: Bench) -> DataFrame:
 SELECT s.table_name, s.ordinal, s.column_name, s.data_type, c.n_rows, coalesce((SELECT arg_min(txt, ord) FROM d WHERE contains(s.column_name, d.pat)),
 'No description available — review column contents') AS description FROM s JOIN c ON s.table_name = c.table_name""")
 def schema_described(t: Bench) -> DataFrame:
-    listed = {n: t.table(n) for n in SCHEMA_TABLES}
+    listed = {n: t.table(n) for n in TABLES}
     return tables.described_schema(tables.schema_of(listed), tables.row_counts(listed))
 
 
-@query("column_descriptions", f"""WITH s AS (SELECT a.*, c.n_rows FROM ({_schema_sql()}) a JOIN ({counts_sql(SCHEMA_TABLES)}) c ON a.table_name = c.table_name)
+@query("column_descriptions", f"""WITH s AS (SELECT a.*, c.n_rows FROM ({_schema_sql()}) a JOIN ({counts_sql()}) c ON a.table_name = c.table_name)
 SELECT column_name, data_type, n_rows, CASE
 WHEN contains(column_name, '_id') OR contains(column_name, 'id_') OR contains(column_name, ' id') OR suffix(column_name, 'id') THEN 'Unique identifier field'
 WHEN regexp_matches(column_name, 'date|time|day|month|year|dob') THEN 'Date or time field'
@@ -280,7 +266,7 @@ WHEN contains(column_name, 'age') THEN 'Age in years' WHEN prefix(column_name, '
 WHEN data_type IN ('INTEGER', 'FLOAT') THEN 'Numeric measurement field'
 ELSE 'Data field — review column contents for context' END AS description FROM s""")
 def column_descriptions(t: Bench) -> DataFrame:
-    listed = {n: t.table(n) for n in SCHEMA_TABLES}
+    listed = {n: t.table(n) for n in TABLES}
     schema = tables.schema_of(listed).join(tables.row_counts(listed), "table_name")
     return schema.select("column_name", "data_type", "n_rows", txt.describe_field_kind(F.col("column_name"), F.col("data_type")).alias("description"))
 

@@ -102,10 +102,21 @@ def test_joinability(spark):
     spelled = joins.spellings(names, "state_abbr", "state_abbr", "state_name")
     health = names.select("state_name", F.lit(3.5).alias("depression_rate_pct"), F.lit(7).alias("record_id"))
     books = spark.createDataFrame([("A", "x", 3), ("B", "y", 4)], "title string, author string, units_sold int")
-    got = {r["table_name"]: r for t, df in (("health", health), ("books", books)) for r in keys.source_profile(df, t, spelled).collect()}
-    assert got["health"]["relevant"] and got["health"]["key_column"] == "state_name" and got["health"]["metrics"] == "depression_rate_pct"
-    assert not got["books"]["joinable"] and got["books"]["key_column"] is None
-    assert [r["table_name"] for r in keys.rank_profiles(keys.source_profile(books, "books", spelled).unionByName(keys.source_profile(health, "health", spelled))).collect()] == ["health", "books"]
+    sources = {"books": books, "health": health, "numbers": spark.range(5).toDF("n")}
+    profiles = keys.source_profiles(sources, spelled)
+    got = {r["table_name"]: r for r in profiles.collect()}
+    assert got["health"]["relevant"] and got["health"]["key_column"] == "state_name" and got["health"]["n_keys"] == names.count()
+    assert not got["books"]["joinable"] and got["books"]["key_column"] is None and got["numbers"]["n_rows"] == 5
+    assert [r["table_name"] for r in keys.rank_profiles(profiles).collect()][0] == "health"
+    assert [tuple(r) for r in keys.source_metrics(sources, profiles).collect()] == [("health", 0, "depression_rate_pct", "mean", "average depression rate pct per key")]
+
+
+def test_key_candidates_trim_fold_and_skip_empty(spark):
+    spelled = spark.createDataFrame([("al", 1), ("ak", 2)], "spelling string, k int")
+    df = spark.createDataFrame([(" AL", None, "x" * 500), ("al ", None, "x" * 499 + "y"), ("zz", None, None)], "a string, gone string, long string")
+    got = {(r["column"], r["values_n"], r["hits"]) for r in keys.key_candidates({"t": df, "none": spark.range(3).toDF("n")}, spelled).collect()}
+    assert got == {("a", 2, 1), ("long", 2, 0)}
+    assert keys.key_columns({"t": df}, spelled).count() == 0 and keys.key_candidates({"none": spark.range(3).toDF("n")}, spelled).count() == 0
 
 
 def test_mart_checks_fail_where_they_should(spark):
