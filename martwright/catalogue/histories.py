@@ -40,7 +40,7 @@ def run_overview(t: Bench) -> DataFrame:
     return history.overview(t.runs)
 
 
-@query("record_run", f"""WITH {_ONBOARDED} SELECT 'orders' AS dataset_name, CAST((SELECT count(*) FROM dirty_orders) AS INT) AS rows_in, CAST((SELECT count(*) FROM cleaned) AS INT) AS rows_out, grade, score,
+@query("record_run", f"""WITH {_ONBOARDED} SELECT 'orders' AS dataset_name, (SELECT count(*) FROM dirty_orders) AS rows_in, (SELECT count(*) FROM cleaned) AS rows_out, grade, score,
 grade <> 'A' AS gate_blocked, CASE WHEN grade <> 'A' THEN '' ELSE 'orders' END AS table_name, total_checks AS checks_recorded FROM summary""")
 def record_run(t: Bench) -> DataFrame:
     folder = stage_path(t.spark, "history")
@@ -109,15 +109,16 @@ CASE WHEN (SELECT grade FROM summary) <> (SELECT grade FROM summary2) THEN conca
 added_columns + removed_columns + type_changes + null_rate_changes > 0 AS has_drift FROM s"""
 
 
-def _drift_summary(t: Bench) -> DataFrame:
-    before, after = (stage(p, "profile") for p in _profiles(t))
-    scores = [stage(quality.summarize(quality.scorecard(df)), "score") for df in (t.dirty_orders, t.drift_after)]
-    return history.drift_summary(before, after, *scores)
+def _recorded(t: Bench, *views: str) -> tuple[str, list[str]]:
+    """A history folder with one recorded run per view."""
+    folder = stage_path(t.spark, "history")
+    return folder, [onboarding.snapshot(t.spark, t.table(v), "orders", folder) for v in views]
 
 
 @query("drift_summary", f"WITH {_DRIFT_SUMMARY}")
 def drift_summary(t: Bench) -> DataFrame:
-    return _drift_summary(t)
+    folder, (before, after) = _recorded(t, "dirty_orders", "drift_after")
+    return history.drift_of_runs(t.spark, folder, before, after)
 
 
 @query("drift_flag", f"""WITH {_DRIFT} SELECT 'typed' AS pair, count(*) FILTER (WHERE NOT in_a OR NOT in_b OR from_type <> to_type OR abs(round(to_pct - from_pct, 2)) > 1e-9) > 0 AS has_drift FROM m

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from martwright.functions import numeric as num
 
-RUN_SCHEMA = ("run_id string, dataset_name string, source_name string, started_at string, duration_s double, rows_in int, "
-              "rows_out int, grade string, score double, gate_blocked boolean, table_name string")
+RUN_SCHEMA = ("run_id string, dataset_name string, source_name string, started_at string, duration_s double, rows_in bigint, "
+              "rows_out bigint, grade string, score double, gate_blocked boolean, table_name string")
 TOP_NULL_DELTAS = 10
 
 
@@ -32,6 +32,11 @@ def load_artifact(spark: SparkSession, folder: str, run_id: str, name: str) -> D
     return spark.read.parquet(f"{folder}/artifacts/{name}").filter(F.col("run_id") == run_id)
 
 
+def read_artifacts(spark: SparkSession, folder: str, name: str, *run_ids: str) -> DataFrame:
+    """One artifact of several runs, with their ids; other runs' partitions are not read."""
+    return spark.read.parquet(f"{folder}/artifacts/{name}").filter(F.col("run_id").isin(*run_ids))
+
+
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(f"{folder}/runs")
 
@@ -109,15 +114,34 @@ def drift_summary(before: DataFrame, after: DataFrame, score_before: DataFrame,
 
     Row or score changes alone are not drift.
     """
-    matched = _matched(before, after)
-    shape = matched.agg(
-        F.count_if(F.col("in_a").isNull()).alias("added_columns"), F.count_if(F.col("in_b").isNull()).alias("removed_columns"),
-        F.count_if(F.col("from_type") != F.col("to_type")).alias("type_changes"),
-        F.count_if(F.abs(F.round(F.col("to_pct") - F.col("from_pct"), 2)) > 1e-9).alias("null_rate_changes"))
-    rows_a, rows_b = before.agg(F.max("row_count").alias("x")).scalar(), after.agg(F.max("row_count").alias("x")).scalar()
-    score_a, score_b = score_before.agg(F.max("score").alias("x")).scalar(), score_after.agg(F.max("score").alias("x")).scalar()
-    grade_a, grade_b = score_before.agg(F.max("grade").alias("x")).scalar(), score_after.agg(F.max("grade").alias("x")).scalar()
-    drifted = (F.col("added_columns") + F.col("removed_columns") + F.col("type_changes") + F.col("null_rate_changes")) > 0
-    change = F.when(grade_a != grade_b, F.concat(grade_a, F.lit("→"), grade_b))
-    return shape.select("*", (rows_b - rows_a).alias("row_delta"), F.round(score_b - score_a, 2).alias("score_delta"),
-                        change.alias("grade_change"), drifted.alias("has_drift"))
+    profiles = before.withColumn("side", F.lit("a")).unionByName(after.withColumn("side", F.lit("b")))
+    scores = score_before.withColumn("side", F.lit("a")).unionByName(score_after.withColumn("side", F.lit("b")))
+    return _drift(profiles, scores, "side", "a", "b")
+
+
+def drift_of_runs(spark: SparkSession, folder: str, before: str, after: str) -> DataFrame:
+    """``drift_summary`` of two recorded runs, from what they stored; only their partitions are read and nothing is profiled again.
+
+    A run that is not there, or stored no columns, counts as one without columns; its row and score changes are null.
+    """
+    stored = read_artifacts(spark, folder, "columns", before, after)
+    runs = read_runs(spark, folder).filter(F.col("run_id").isin(before, after))
+    return _drift(stored, runs, "run_id", before, after)
+
+
+def _drift(profiles: DataFrame, scores: DataFrame, side: str, a: str, b: str) -> DataFrame:
+    """Both sides in one grouping by column; figures of whole runs ride along, and no side is read twice."""
+    def on(which: str, c: str) -> Column:
+        return F.max(F.when(F.col(side) == which, F.col(c)))
+
+    matched = profiles.groupBy("column").agg(
+        *[on(which, c).alias(f"{name}_{which_name}") for which, which_name in ((a, "a"), (b, "b")) for c, name in (("dtype", "type"), ("null_pct", "pct"), ("row_count", "rows"))])
+    changes = {
+        "added_columns": F.col("type_a").isNull(), "removed_columns": F.col("type_b").isNull(), "type_changes": F.col("type_a") != F.col("type_b"),
+        "null_rate_changes": F.abs(F.round(F.col("pct_b") - F.col("pct_a"), 2)) > 1e-9}
+    shape = matched.agg(*[F.count_if(test).alias(name) for name, test in changes.items()], (F.max("rows_b") - F.max("rows_a")).alias("row_delta"))
+    score_a, score_b, grade_a, grade_b = (on(which, c) for c in ("score", "grade") for which in (a, b))
+    score = scores.agg(F.struct(F.round(score_b - score_a, 2).alias("delta"),
+                                F.when(grade_a != grade_b, F.concat(grade_a, F.lit("→"), grade_b)).alias("grade")).alias("s")).scalar()
+    drifted = sum((F.col(name) for name in changes), F.lit(0)) > 0
+    return shape.select("*", score["delta"].alias("score_delta"), score["grade"].alias("grade_change"), drifted.alias("has_drift"))

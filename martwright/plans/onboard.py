@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from martwright import rules
 from martwright.functions import text as txt
 from martwright.operators import clean, docs, history, profile, quality
-from martwright.session import stage
+from martwright.session import stage, stage_scope
 from martwright.sources import files, tables
 
 Progress = Callable[[str, str], None]
@@ -95,7 +95,7 @@ def onboard(spark: SparkSession, df: DataFrame, dataset: str, source_name: str =
         progress("load", "starting")
         rows_loaded = tables.load_table(cleaned.df, name, folder)
         progress("load", "done")
-    run = {"run_id": f"run_{started:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}", "dataset_name": dataset, "source_name": source_name,
+    run = {"run_id": _run_id(started), "dataset_name": dataset, "source_name": source_name,
            "started_at": started.isoformat(), "duration_s": time.monotonic() - clock, "rows_in": cleaned.counts["rows_before"],
            "rows_out": cleaned.counts["rows_after"], "grade": verdict["grade"], "score": verdict["score"],
            "gate_blocked": blocked, "table_name": "" if blocked else name}
@@ -105,10 +105,28 @@ def onboard(spark: SparkSession, df: DataFrame, dataset: str, source_name: str =
 
 def record(spark: SparkSession, result: OnboardResult, folder: str) -> str:
     """Append the run and its artifacts to the history folder."""
-    artifacts = {"profile": result.profile.as_facts(), "scorecard": result.checks, "dictionary": result.docs.dictionary}
+    artifacts = {"profile": result.profile.as_facts(), "columns": result.profile.columns, "scorecard": result.checks, "dictionary": result.docs.dictionary}
     return history.record_run(spark, folder, result.run, artifacts)
 
 
+def snapshot(spark: SparkSession, df: DataFrame, dataset: str, folder: str, run_id: str | None = None) -> str:
+    """Record what drift is told from, columns and score of ``df`` as it is, as a run of its own; nothing is cleaned or loaded."""
+    started, clock = datetime.now(timezone.utc), time.monotonic()
+    run_id = run_id or _run_id(started)
+    columns = profile.columns(df)
+    with stage_scope(spark):
+        history.save_artifact(columns, folder, run_id, "columns")
+        verdict = quality.summarize(quality.scorecard(df)).first()
+    rows = history.load_artifact(spark, folder, run_id, "columns").agg(F.max("row_count").alias("n")).first()["n"] or 0
+    return history.record_run(spark, folder, {
+        "run_id": run_id, "dataset_name": dataset, "source_name": dataset, "started_at": started.isoformat(), "duration_s": time.monotonic() - clock,
+        "rows_in": rows, "rows_out": rows, "grade": verdict["grade"], "score": verdict["score"], "gate_blocked": False, "table_name": ""})
+
+
+def _run_id(started: datetime) -> str:
+    return f"run_{started:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
+
+
 def onboard_files(spark: SparkSession, paths: list[str], **options) -> DataFrame:
     """Onboard several files; one result or error row per file: dataset, rows_in, rows_out, grade, score, error."""
     rows = []

@@ -200,3 +200,18 @@ def test_console_runs_plain_queries(spark, people):
 def test_console_reports_engine_errors_apart(spark, people):
     result = console.run_readonly(spark, "SELECT nope FROM people", people)
     assert not result.ok and not result.rejected and result.reason.startswith("Spark error")
+
+
+def test_drift_of_recorded_runs_reads_only_what_they_stored(spark, tmp_path):
+    folder = str(tmp_path / "history")
+    first = spark.createDataFrame([(1, "a", None), (2, "b", 1.0)], "id int, name string, cost double")
+    second = spark.createDataFrame([(1, 5.0, 2.0), (2, 6.0, 1.0), (3, None, 1.0)], "id int, name double, price double")
+    a, b, c = (onboard.snapshot(spark, df, "d", folder) for df in (first, second, first))
+    row = history.drift_of_runs(spark, folder, a, b).first()
+    assert (row["added_columns"], row["removed_columns"], row["type_changes"], row["null_rate_changes"], row["row_delta"], row["has_drift"]) == (1, 1, 1, 1, 1, True)
+    same = history.drift_of_runs(spark, folder, a, c).first()
+    assert not same["has_drift"] and same["row_delta"] == 0 and same["score_delta"] == 0.0 and same["grade_change"] is None
+    gone = history.drift_of_runs(spark, folder, a, "none").first()
+    assert gone["removed_columns"] == 3 and gone["row_delta"] is None and gone["score_delta"] is None
+    plan = history.drift_of_runs(spark, folder, a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [run_id" in plan
