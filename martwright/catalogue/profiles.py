@@ -383,9 +383,16 @@ def triage_issues(t: Bench) -> DataFrame:
 
 @query("triage_top", f"""WITH c AS ({SCORECARD}), s AS (SELECT CASE WHEN contains("check", 'overall_completeness') THEN 0 WHEN contains("check", 'duplicate_rows') THEN 1 WHEN contains("check", 'null_rate') THEN 2
 WHEN contains("check", 'no_negatives') THEN 3 WHEN contains("check", 'extreme_outliers') THEN 4 WHEN contains("check", 'type_consistency') THEN 5 WHEN contains("check", 'uniqueness') THEN 6 ELSE 9 END AS severity,
-ordinal, "check" FROM c WHERE NOT passed) SELECT * FROM s ORDER BY severity, ordinal LIMIT 5""")
+ordinal, "check", regexp_replace("check", '^(null_rate_|no_negatives_|extreme_outliers_|type_consistency_|uniqueness_)', '') AS col FROM c WHERE NOT passed)
+SELECT severity, ordinal, "check", CASE severity WHEN 0 THEN 'Many cells are missing overall; results may be biased.' WHEN 1 THEN 'Repeated rows inflate counts and totals.'
+WHEN 2 THEN concat('Column ', col, ' is often missing, which shrinks the usable rows.') WHEN 3 THEN concat('Column ', col, ' should be positive but holds negative values.')
+WHEN 4 THEN concat('Column ', col, ' holds extreme values that distort means and models.') WHEN 5 THEN concat('Column ', col, ' mixes numbers and text.')
+ELSE 'Quality issue detected; review the affected data.' END AS explanation, CASE severity WHEN 0 THEN 'df.dropna(thresh=len(df.columns) // 2)' WHEN 1 THEN 'df.dropDuplicates()'
+WHEN 2 THEN concat('df.fillna({{''', col, ''': median}})') WHEN 3 THEN concat('df.filter(F.col(''', col, ''') >= 0)') WHEN 4 THEN concat('df.filter(F.col(''', col, ''').between(p01, p99))')
+WHEN 5 THEN concat('df.withColumn(''', col, ''', F.col(''', col, ''').try_cast(''double''))') ELSE 'review the column and apply a fitting clean-up' END AS suggested_fix
+FROM s ORDER BY severity, ordinal LIMIT 5""")
 def triage_top(t: Bench) -> DataFrame:
-    return quality.triage_top(quality.scorecard(t.dirty_orders)).select("severity", "ordinal", "check")
+    return quality.triage_top(quality.scorecard(t.dirty_orders))
 
 
 # --- documentation ---------------------------------------------------------------------------------------
