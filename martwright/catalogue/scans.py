@@ -12,7 +12,7 @@ from martwright.functions import text as txt
 from martwright.operators import clean, joins
 from martwright.plans import console, onboard
 from martwright.session import stage, stage_path
-from martwright.sources import files, landed, tables
+from martwright.sources import files, landed, tables, tolerant
 
 
 def _schema_sql() -> str:
@@ -172,6 +172,29 @@ def read_outcomes(t: Bench) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query("read_tolerant", """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'broken row' ELSE 'row' END AS kind,
+CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS custkey FROM orders
+UNION ALL SELECT n_nationkey, 'row beside a cut file', n_regionkey FROM nation
+UNION ALL SELECT n, 'counted', b FROM (SELECT count(*) FILTER (WHERE o_orderkey % 13 <> 0)::INT AS n, count(*) FILTER (WHERE o_orderkey % 13 = 0)::INT AS b FROM orders)
+UNION ALL SELECT 1, 'unreadable file', NULL""")
+def read_tolerant(t: Bench) -> DataFrame:
+    """Orders as text, each thirteenth with a date for a customer, and nations beside a file that is cut off."""
+    text, cut = stage_path(t.spark, "orders-text"), stage_path(t.spark, "nations")
+    customer = F.when(F.col("o_orderkey") % 13 == 0, F.col("o_orderdate").cast("date").cast("string")).otherwise(F.col("o_custkey").cast("string"))
+    t.orders.select(F.col("o_orderkey").alias("k"), customer.alias("custkey")).write.option("header", True).csv(text)
+    t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("long").alias("custkey")).write.parquet(cut)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{cut}/part-cut.parquet")
+    out = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(b"PAR1 and no more"))
+    out.close()
+    orders, nations = tolerant.read_delimited(t.spark, text, "k long, custkey long"), tolerant.read_parquet(t.spark, cut)
+    number, none = F.split("record", ",")[0].cast("long").alias("k"), F.lit(None).cast("long").alias("custkey")
+    counted = t.spark.range(1).select(F.lit(orders.n_rows).cast("long").alias("k"), F.lit("counted").alias("kind"), F.lit(orders.n_broken).cast("long").alias("custkey"))
+    return (orders.rows.select("k", F.lit("row").alias("kind"), "custkey").union(orders.quarantined.select(number, F.lit("broken row").alias("kind"), none))
+            .union(nations.rows.select("k", F.lit("row beside a cut file").alias("kind"), "custkey")).union(counted)
+            .union(nations.failures.groupBy().agg(F.count(F.lit(1)).cast("long").alias("k")).select("k", F.lit("unreadable file").alias("kind"), none)))
+
+
 @query("cached_pull", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def cached_pull(t: Bench) -> DataFrame:
     """The second pull finds the first one's rows and asks nothing."""
