@@ -11,6 +11,7 @@ from martwright.catalogue.profiles import _DIRTY_TYPES, _ONBOARDED, _SUMMARY, SC
 from martwright.operators import audit, history, profile, quality
 from martwright.plans import onboard as onboarding
 from martwright.session import stage, stage_path
+from martwright.sources import versions
 
 _GRADE = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'F' END"
 
@@ -66,6 +67,17 @@ def registry_upsert(t: Bench) -> DataFrame:
     return history.upsert_registry(t.registry_old, t.registry_new).orderBy(F.desc("built_at"), "table_name")
 
 
+@query("registry_stored", """SELECT *, 2 AS version FROM registry_new UNION ALL
+SELECT *, 2 FROM registry_old WHERE table_name NOT IN (SELECT table_name FROM registry_new)
+UNION ALL SELECT *, 1 FROM registry_old""")
+def registry_stored(t: Bench) -> DataFrame:
+    """Both versions of a registry that was stored, upserted and read back."""
+    home = stage_path(t.spark, "registry")
+    for entries in (t.registry_old, t.registry_new):
+        versions.upsert(entries, home)
+    return versions.read(t.spark, home, 1).withColumn("version", F.lit(1)).unionByName(versions.read(t.spark, home).withColumn("version", F.lit(2)))
+
+
 # --- drift -----------------------------------------------------------------------------------------------
 
 _AFTER_TYPES = (("order_id", "INTEGER"), ("total_price", "FLOAT"), ("line_count", "FLOAT"), ("priority", "VARCHAR"), ("qty_text", "FLOAT"),

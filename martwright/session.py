@@ -58,16 +58,22 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     if not is_local(spark.sparkContext.master):
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        if not re.match(r"(?!file:)[a-z0-9+.-]+:", warehouse, re.IGNORECASE):
-            raise RuntimeError(f"set {CHECKPOINT_KEY}: {warehouse} is not shared by the executors")
-        return warehouse
+        return shared_warehouse(spark)
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="martwright-")
     return _LOCAL_FOLDERS[app]
 
 
+def shared_warehouse(spark: SparkSession) -> str:
+    """The warehouse, refused on a cluster where neither its scheme nor ``spark.checkpoint.dir`` beside it tells that it is shared."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    given = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    if not given and not is_local(spark.sparkContext.master) and not re.match(r"(?!file:)[a-z0-9+.-]+:", warehouse, re.IGNORECASE):
+        raise RuntimeError(f"set {CHECKPOINT_KEY}: {warehouse} is not shared by the executors")
+    return warehouse
+
+
 def is_local(master: str) -> bool:
     """Whether driver and executors are one process (``local-cluster`` is not)."""
     return re.fullmatch(r"local(\[.*\])?", master) is not None

@@ -8,10 +8,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martwright.functions import numeric as num
 from martwright.functions import text as txt
-from martwright.session import rows_seen, stage
+from martwright.session import rows_seen, shared_warehouse, stage
 
 AUDIT_SCHEMA = ("ts timestamp, task string, provider string, model string, latency_s double, prompt_chars long, "
                 "redaction_count long, success boolean")
@@ -44,26 +45,44 @@ def load_table(df: DataFrame, name: str, folder: str | None = None) -> int:
     """Create or replace a table and return the rows written, counted by the write itself.
 
     The rows go to a new version beside the old one, and the table is switched only once they are there: a failed
-    write leaves the old table, and a table can be rebuilt from itself.  The default place is the warehouse.
+    write leaves the old table, and a table can be rebuilt from itself.  A table of the same columns is switched in one step
+    and there at every moment; the version before stays for readers that opened it.  The default place is the warehouse,
+    which must be shared by all executors.
     """
     spark = df.sparkSession
     seen = Observation()
-    home = f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}_versions"
+    home = f"{(folder or shared_warehouse(spark)).rstrip('/')}/{name}_versions"
     version = f"{home}/{uuid.uuid4().hex}"
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(version)
     count = rows_seen(seen)
-    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-    spark.catalog.createTable(f"`{name}`", path=version, source="parquet", schema=df.schema)
-    _keep_only(spark, home, version)
+    before = _location(spark, name, df.schema)
+    if before is not None:
+        spark.sql(f"ALTER TABLE `{name}` SET LOCATION '{version}'")
+        spark.catalog.refreshTable(f"`{name}`")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        spark.catalog.createTable(f"`{name}`", path=version, source="parquet", schema=df.schema)
+    _keep_only(spark, home, {version.rsplit("/", 1)[-1], (before or "").rstrip("/").rsplit("/", 1)[-1]})
     return count
 
 
-def _keep_only(spark: SparkSession, home: str, version: str) -> None:
+def _location(spark: SparkSession, name: str, schema: T.StructType) -> str | None:
+    """Where a table's rows are, if it has just these columns and is not partitioned."""
+    def plain(columns: T.StructType) -> list[tuple[str, str]]:
+        return [(f.name, f.dataType.simpleString()) for f in columns]
+
+    if not spark.catalog.tableExists(f"`{name}`") or plain(spark.table(f"`{name}`").schema) != plain(schema):
+        return None
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED `{name}`").collect()}
+    return told.get("Location") if told.get("Type") == "EXTERNAL" and told.get("Provider") == "parquet" and "# Partition Information" not in told else None
+
+
+def _keep_only(spark: SparkSession, home: str, kept: set[str]) -> None:
     """Delete the other versions of a table."""
     path = spark._jvm.org.apache.hadoop.fs.Path(home)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     for status in store.listStatus(path):
-        if status.getPath().getName() != version.rsplit("/", 1)[-1]:
+        if status.getPath().getName() not in kept:
             store.delete(status.getPath(), True)
 
 
