@@ -46,7 +46,11 @@ def calls_last_minute(calls: DataFrame, user: str, ts: str, limit: int = rules.C
     slot and, as history, to the next one; the sliding sum runs inside (user, slot), so
     even a user with most of the traffic is spread over as many groups as minutes.
     """
-    instants = calls.groupBy(user, ts).agg(F.count(F.lit(1)).alias("calls"))
+    return sliding_minute(calls.groupBy(user, ts).agg(F.count(F.lit(1)).alias("calls")), user, ts, limit)
+
+
+def sliding_minute(instants: DataFrame, user: str, ts: str, limit: int = rules.CALLS_PER_MINUTE) -> DataFrame:
+    """``calls_last_minute`` of calls that are counted per instant (``calls``) already."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.floor(micros / _MINUTE_MICROS)
     slots = F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")),
