@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martwright.catalogue.base import MEASURE_COLUMNS, MEASURES, SCHEMA, SPEND, YEARS, Bench, query
+from martwright.catalogue.profiles import _SUMMARY, _completeness_sql, _duplicates_sql, _extreme_sql, _nulls_sql
 from martwright.operators import facts, joins, keys, mart as marts, quality
 from martwright.plans import mart_build
 from martwright.session import stage
@@ -98,15 +99,38 @@ _BANDS = " UNION ALL ".join(f"SELECT {80002 + i} AS ordinal, 'mart_{c}_band_0_60
                             for i, c in enumerate(MEASURE_COLUMNS))
 
 
-@query("mart_quality", f"""WITH {MART} SELECT 80000 AS ordinal, 'mart_row_count' AS "check", count(*) = 25 AS passed, CAST(count(*) AS VARCHAR) AS value, '25' AS threshold FROM mart
+_MART_CHECKS = f"""SELECT 80000 AS ordinal, 'mart_row_count' AS "check", count(*) = 25 AS passed, CAST(count(*) AS VARCHAR) AS value, '25' AS threshold FROM mart
 UNION ALL SELECT 80001, 'mart_population_positive', v = 0, CAST(v AS VARCHAR), '0' FROM (SELECT count(*) FILTER (WHERE coalesce(population, 0) <= 0) AS v FROM mart)
 UNION ALL {_BANDS} UNION ALL SELECT 80100, 'mart_spend_per_capita_nonneg', v = 0, CAST(v AS VARCHAR), '0' FROM (SELECT count(*) FILTER (WHERE coalesce(spend_per_capita, 0) < 0) AS v FROM mart)
-UNION ALL SELECT 80101, 'mart_missing_measures_le5', v <= 5, CAST(v AS VARCHAR), '5' FROM (SELECT count(*) FILTER (WHERE NOT ({_ALL} AND population IS NOT NULL)) AS v FROM mart)""")
+UNION ALL SELECT 80101, 'mart_missing_measures_le5', v <= 5, CAST(v AS VARCHAR), '5' FROM (SELECT count(*) FILTER (WHERE NOT ({_ALL} AND population IS NOT NULL)) AS v FROM mart)"""
+
+
+@query("mart_quality", f"WITH {MART} {_MART_CHECKS}")
 def mart_quality(t: Bench) -> DataFrame:
     m = built(t)
     return quality.mart_checks(m.table, m.metadata["spine_rows"], "population", MEASURE_COLUMNS, SPEND, [*MEASURE_COLUMNS, SPEND, "population"]).drop("detail")
 
 
+_MART_COLUMNS = (KEY, "population", *(c for m, p in zip(MEASURES, MEASURE_COLUMNS) for c in (p, f"{m.lower()}_vintage")),
+                 "total_payment", "provider_count", "payment_year", SPEND, "providers_per_100k")
+_NEVER_NEGATIVE = tuple(c for c in _MART_COLUMNS if c.endswith(("_pct", "_vintage", "_count")))
+# A column of one value has no extreme values and no such check.
+_MART_RANGES = " UNION ALL ".join(f"{_extreme_sql('mart', ((i, c),))} WHERE (SELECT stddev_samp({c}) FROM mart) > 0" for i, c in enumerate(_MART_COLUMNS))
+_MART_SIGNS = " UNION ALL ".join(f"""SELECT {40000 + 2 * i} AS ordinal, 'no_negatives_{c}' AS "check", b = 0 AS passed, CAST(b AS VARCHAR) AS value, '0' AS threshold,
+concat('Column ''{c}'': ', b, ' negative values found') AS detail FROM (SELECT count(*) FILTER (WHERE {c} < 0) AS b FROM mart)""" for i, c in enumerate(_MART_COLUMNS) if c in _NEVER_NEGATIVE)
+_OWN = f"""SELECT *, concat(value, CASE WHEN ordinal = 80000 THEN ' rows' WHEN ordinal = 80001 THEN ' keys with non-positive population' WHEN ordinal = 80100 THEN ' keys with negative spend'
+WHEN ordinal = 80101 THEN ' keys with a missing measure' ELSE ' keys outside the sanity band' END) AS detail FROM ({_MART_CHECKS})"""
+
+
+@query("mart_scorecard", f"""WITH {MART}, c AS ({' UNION ALL '.join([_completeness_sql('mart', _MART_COLUMNS), _duplicates_sql('mart', _MART_COLUMNS), _nulls_sql('mart', _MART_COLUMNS),
+    _MART_SIGNS, _MART_RANGES, _OWN])}), {_SUMMARY} SELECT c.*, (SELECT score FROM summary) AS score, (SELECT grade FROM summary) AS grade FROM c""")
+def mart_scorecard(t: Bench) -> DataFrame:
+    """General and mart checks together, with the score and grade they make."""
+    checks = stage(built(t).checks(), "mart-checks")
+    summary = quality.summarize(checks)
+    return checks.select("*", summary.select("score").scalar().alias("score"), summary.select("grade").scalar().alias("grade"))
+
+
 @query("report_topk", f"""WITH {_SINGLE} SELECT * FROM (SELECT 'top_spend' AS list, loc, {SPEND} AS value FROM both_rows ORDER BY {SPEND} DESC, loc LIMIT 3)
 UNION ALL SELECT * FROM (SELECT 'bottom_spend', loc, {SPEND} FROM both_rows ORDER BY {SPEND}, loc LIMIT 3)
 UNION ALL SELECT * FROM (SELECT 'top_measure', loc, {PRIMARY} FROM both_rows ORDER BY {PRIMARY} DESC, loc LIMIT 3)""")

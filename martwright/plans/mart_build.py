@@ -25,6 +25,8 @@ class BuiltMart:
     spec: marts.MartSpec
     columns: list[str]
     metadata: dict[str, object]
+    #: Rows per source, counted when the mart is saved.
+    sources: DataFrame | None = None
 
     @property
     def primary(self) -> str:
@@ -51,8 +53,9 @@ class BuiltMart:
         return out | {"scatter": points, "histogram": facts.histogram(points, self.key), "anomalies": facts.anomalies(points, self.key)}
 
     def save(self, folder: str, name: str) -> None:
+        behind = self.sources.orderBy("table_name").collect() if self.sources is not None else []
         tables.load_table(self.table, name, folder)
-        tables.write_artifact(self.table, folder, name, self.metadata)
+        tables.write_artifact(self.table, folder, name, self.metadata | {"source_rows": ",".join(f"{r['table_name']}:{r['n_rows']}" for r in behind)})
 
 
 def build(inputs: marts.MartInputs, spec: marts.MartSpec, external: list[DataFrame] | None = None,
@@ -68,7 +71,7 @@ def build(inputs: marts.MartInputs, spec: marts.MartSpec, external: list[DataFra
                 "sample_mode": spec.sample_fraction is not None, "spine_rows": spine_rows,
                 "low_coverage_measures": ",".join(f"{r['question_id']}:{r['keys_covered']}" for r in low)}
     extra = [c for df in external or [] for c in df.columns if c != inputs.key]
-    return BuiltMart(table, inputs.key, spec, [marts.prevalence_column(m) for m in spec.measures] + extra, metadata)
+    return BuiltMart(table, inputs.key, spec, [marts.prevalence_column(m) for m in spec.measures] + extra, metadata, source_rows(inputs))
 
 
 def source_rows(inputs: marts.MartInputs) -> DataFrame:

@@ -137,6 +137,8 @@ def test_facts_save(spark, inputs, tmp_path):
     assert all(df.columns for df in out.values())
     built.save(str(tmp_path), "mart_saved")
     assert spark.table("mart_saved").count() == 51
+    saved = spark.read.json(f"{tmp_path}/mart_saved_build_meta.json").first()["source_rows"]
+    assert saved == ",".join(f"{name}:{getattr(inputs, name).count()}" for name in ("observations", "payments", "population"))
 
 
 def test_spine_join_refuses_repeated_keys(spark):
