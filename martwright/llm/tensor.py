@@ -39,8 +39,8 @@ STARS, PREFIX_STARS = 2, 3
 WORDS_HELD = 200_000
 #: Shingles of a set are counted by so many cells of their hashes; two sets share no more than their cells' lesser counts.
 CELLS = 64
-#: Members of a bucket that are left to be paired are dealt to so many tasks, each of which sees the bucket whole.
-SALTS = 16
+#: Members of a bucket that are left to be paired are dealt out by so many, to so many tasks at most, each of which sees the bucket whole.
+SALT_ROWS, SALTS = 256, 16
 SHINGLES_AT_ONCE = 1024
 BYTES_AT_ONCE = 8_000_000
 #: An odd factor one less than a multiple of four, so that differences between places lose one bit at most.
@@ -196,10 +196,10 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return stage(moved.union(grown.select(F.col("u").alias("code"), "root")), "roots")
 
 
-def _one_of_each(rows: DataFrame, label: str) -> DataFrame:
-    """Buckets (``key``, ``code``, ``score``) with two members or more; of buckets with the same members one."""
-    held_by = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("code")).alias("x"), F.min("code").alias("a"), F.max("code").alias("b"))
-    keys = stage(held_by.where("n > 1").groupBy("n", "x", "a", "b").agg(F.min("key").alias("key")).select("key"), f"{label}_keys")
+def _one_of_each(rows: DataFrame, label: str, first: str = "key") -> DataFrame:
+    """Buckets (``key``, ``code``, ``score``) with two members or more; of buckets with the same members the one that is least by ``first`` (the same in a bucket) and key."""
+    held_by = rows.groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("code")).alias("x"), F.min("code").alias("a"), F.max("code").alias("b"))
+    keys = stage(held_by.where("n > 1").groupBy("n", "x", "a", "b").agg(F.min(F.struct("first", "key")).alias("least")).select("least.key"), f"{label}_keys")
     return stage(rows.join(keys, "key").select("key", "code", "score"), label)
 
 
@@ -230,7 +230,7 @@ def _starred(rows: DataFrame, roots: DataFrame, turns: int, sets: DataFrame, per
 
 def _prefix_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Buckets by shingle over the members of open buckets: each member under its rarest shingles, so many that two similar sets share one;
-    and ``code``, ``own``: how many shingles a member has that no other has.
+    and ``code``, ``own``, ``prefix``: how many shingles a member has that no other has, and the rarest of its others in order.
 
     A member's own shingles count among the rarest but need no bucket.
     """
@@ -242,21 +242,33 @@ def _prefix_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     # The prefix has n - ceil(n * percent / 100) + 1 shingles, of which the member's own come first.
     most = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - own
     cut = stage(common.where(most > 0).select("code", "score", own.alias("own"), F.slice(F.array_sort("common"), 1, F.greatest(most, F.lit(0)).cast("int")).alias("prefix")), "prefixes")
-    return _one_of_each(cut.select(F.explode("prefix.key").alias("key"), "code", "score"), "prefix_buckets"), cut.select("code", "own")
+    each = cut.select("code", "score", F.explode("prefix").alias("at")).select("code", "score", "at.often", "at.key")
+    return _one_of_each(each, "prefix_buckets", "often"), cut.select("code", "own", F.col("prefix.key").alias("prefix"))
 
 
 def _rest(rows: DataFrame, owned: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are still apart and that neither shingles of their own nor counts per cell tell to be too different."""
-    fit = stage(rows.join(owned, "code").join(sets.select("code", "n", "cells"), "code"), "rest_rows")
-    left, right = (fit.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("code", "root", "n", "own", "cells"))) for side in "uv")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("code_u"), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Pairs of a bucket that are still apart and that neither places in the order of rarity, shingles of their own nor counts per cell tell to be too different.
+
+    A pair is made in the bucket of the rarest shingle of both prefixes alone, however many more they share: of buckets with the
+    same members the rarest is the one kept, so that bucket is there for every similar pair.
+    """
+    place = F.array_position("prefix", F.col("key")).cast("int")
+    fit = stage(rows.join(owned, "code").join(sets.select("code", "n", "cells"), "code").select(
+        "key", "code", "root", "n", "own", "cells", (F.col("own") + place - 1).alias("at"), F.slice("prefix", 1, place - 1).alias("rarer")), "rest_rows")
+    salts = stage(fit.groupBy("key").agg(F.least(F.lit(SALTS), 1 + F.floor(F.count(F.lit(1)) / SALT_ROWS)).cast("int").alias("salts")), "salts")
+    dealt = fit.join(salts, "key")
+    left, right = (dealt.select("key", "salts", *(F.col(c).alias(f"{c}_{side}") for c in ("code", "root", "n", "own", "cells", "at", "rarer"))) for side in "uv")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("code_u"), F.col("salts")).cast("int")).drop("salts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     # What one has alone is not in the other: it bounds the intersection and adds to the union.
     both = F.least(F.col("n_u") - F.col("own_u"), F.col("n_v") - F.col("own_v"))
     every = F.greatest(F.col("n_u") + F.col("own_v"), F.col("n_v") + F.col("own_u"))
-    near = (F.col("root_u") < F.col("root_v")) & (100 * both >= percent * every) & _cells_fit(percent)
+    # Of what is rarer than the rarest shingle of both they share nothing.
+    behind = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
+    near = (F.col("root_u") < F.col("root_v")) & (100 * both >= percent * every) & (behind * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v")))
+    near = near & _cells_fit(percent) & ~F.arrays_overlap("rarer_u", "rarer_v")
     same = (left["key"] == right["key"]) & (left["salt"] == right["salt"])
-    return stage(left.join(right, same & near).select(F.least("code_u", "code_v").alias("u"), F.greatest("code_u", "code_v").alias("v")).distinct(), "rest")
+    return stage(left.join(right, same & near).select(F.least("code_u", "code_v").alias("u"), F.greatest("code_u", "code_v").alias("v")), "rest")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words_each: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,

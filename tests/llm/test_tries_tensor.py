@@ -113,6 +113,24 @@ def test_a_hub_ties_copies_that_are_not_similar_to_each_other(spark):
     assert {r.component_id for r in tensor.near_duplicates(docs).collect()} == {0}
 
 
+def test_a_pair_is_made_once_however_many_shingles_it_shares(spark, monkeypatch):
+    """Sets that share 80 of their 100 shingles meet under many of them; each pair leaves the join once, and one of 90 is not lost."""
+    core, kinds = range(80), "code long, n long, set array<long>, halves array<long>, cells array<long>"
+    bodies = [[*core, *(1000 + 20 * i + k for k in range(20))] for i in range(12)]
+    bodies[1] = [*bodies[0][:90], *range(5000, 5010)]
+    bodies[0] = [*bodies[0][:95], *range(6000, 6005)]
+    cells = [np.bincount(np.array(b) % tensor.CELLS, minlength=tensor.CELLS).tolist() for b in bodies]
+    sets = spark.createDataFrame([(i, 100, b, [], c) for i, (b, c) in enumerate(zip(bodies, cells, strict=True))], kinds)
+    rows = spark.createDataFrame([(7, i, 1, i) for i in range(12)], "key long, code long, score long, root long")
+    by_prefix, owned = tensor._prefix_buckets(rows, sets, 60)
+    placed = by_prefix.withColumn("root", F.col("code"))
+    monkeypatch.setattr(type(placed), "distinct", lambda self: self)
+    made = [(r.u, r.v) for r in tensor._rest(placed, owned, sets, 60).collect()]
+    similar = {(i, j) for j in range(12) for i in range(j) if len({*bodies[i]} & {*bodies[j]}) * 100 >= 60 * len({*bodies[i]} | {*bodies[j]})}
+    assert (0, 1) in similar and similar <= set(made)
+    assert len(made) == len(set(made))
+
+
 def test_half_bands_cost_a_square_root_and_agree_by_similarity():
     rng = np.random.default_rng(0)
     factors = rng.integers(0, 1 << 32, (2, 2 * tensor.HALVES * tensor.HALF_ROWS), dtype=np.uint32) | np.uint32(1)
