@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martwright.llm import simhash
 from martwright.llm.base import held, query, slices, table
 from martwright.llm.components import components
-from martwright.llm.simhash import links
 from martwright.session import stage, stage_scope
 
 SEED = 42
@@ -99,16 +99,9 @@ def half_bands(least: np.ndarray, rows: int) -> np.ndarray:
     return value.view(np.int64)
 
 
-def _simhash(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def signatures(docs: DataFrame, text: str, doc_id: str, words_each: int, half_rows: int, halves: int) -> DataFrame:
+def signatures(docs: DataFrame, text: str, doc_id: str, words_each: int, half_rows: int, halves: int, marked: bool = False) -> DataFrame:
     """One row per document: ``doc_id``, ``text_key``, ``row_key`` (unique in this staged table), ``digest`` of the set, ``n_shingles``, ``halves``
-    (both collections, empty without words) and ``fingerprint``, a SimHash of the distinct shingles."""
+    (both collections, empty without words) and ``fingerprint``, the SimHash of operator 9 (repeated shingles included) where ``marked`` asks for it, else null."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], rows.schema["text_key"], T.StructField("row_key", T.LongType()), T.StructField("digest", T.BinaryType()),
                            T.StructField("n_shingles", T.LongType()), T.StructField("halves", T.ArrayType(T.LongType())), T.StructField("fingerprint", T.LongType())])
@@ -117,14 +110,16 @@ def signatures(docs: DataFrame, text: str, doc_id: str, words_each: int, half_ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 2, BYTES_AT_ONCE):
-            sets = [shingle_set(t or b"", words_each) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            sets = [shingle_set(t or b"", words_each) for t in texts]
+            prints = np.array([simhash.fingerprint(t or b"", words_each) for t in texts], "<u8").view("<i8") if marked else [None] * len(sets)
             least = np.array([minimal_hashes(s, factors) for s in sets])
             bands = [row if len(s) else row[:0] for s, row in zip(sets, half_bands(least, half_rows), strict=True)]
             keys = np.arange(at, at + len(sets), dtype=np.int64)
             at += len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys), pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([_simhash(s) for s in sets], pa.int64())], names=schema.names)
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=schema.names)
 
     return stage(rows.mapInArrow(run, schema), "signatures")
 
@@ -280,11 +275,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     component; null ids are passed over for ``component_id``, which is null where a component has no other.  Ties play no part,
     an empty table gives none, and other columns are not looked at, whatever their names.
 
-    ``fingerprints_first`` groups fingerprints within three bits through the Gray-order index first; those groups, too, link only
-    where full sets confirm it.  It saves work in dense groups and changes no result.
+    ``fingerprints_first`` puts documents into the groups of operator 9 first (fingerprints within three bits through the Gray-order index,
+    merged by stars).  A group is one more bucket: every similar pair inside is found, and links only where full sets confirm it.
     """
     with stage_scope(docs.sparkSession):
-        marked = signatures(docs, text, doc_id, words_each, half_rows, halves)
+        marked = signatures(docs, text, doc_id, words_each, half_rows, halves, fingerprints_first)
         one = F.min(F.struct("row_key", "doc_id", "text_key", F.col("n_shingles").alias("n"), "halves", "fingerprint"))
         codes = stage(marked.where("n_shingles > 0").groupBy("digest").agg(one.alias("m")).select(
             F.col("m.row_key").alias("code"), "digest", "m.doc_id", "m.text_key", "m.n", "m.halves", "m.fingerprint"), "codes")
@@ -294,21 +289,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         joined = every.join(shared, "key").groupBy("code").agg(
             F.collect_list(F.when(F.col("place") < halves, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("place") >= halves, F.col("key"))).alias("b"),
             F.sum("often").alias("score")).where("size(a) > 0 and size(b) > 0")
-        paired = stage(joined, "shared_by_code").select("code", "score", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key"))
+        shares = stage(joined, "shared_by_code")
+        paired = shares.select("code", "score", F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key"))
         buckets = _one_of_each(paired, "buckets")
         candidates = buckets.select("code").distinct()
 
-        tie = None
+        groups = None
         if fingerprints_first:
-            tie = _fingerprint_pairs(codes)
-            candidates = candidates.union(tie.select("u")).union(tie.select("v")).distinct()
+            groups = _fingerprint_groups(codes, shares)
+            candidates = candidates.union(groups.select("code")).distinct()
         members = stage(codes.join(candidates, "code", "left_semi"), "members")
         sets = _sets_of(members, docs, text, doc_id, words_each)
 
         agree = least_agreement(percent, half_rows, halves)
         roots = stage(docs.sparkSession.createDataFrame([], "code long, root long"), "no_roots")
-        if tie is not None:
-            roots = _merged(roots, _confirmed(tie, sets, percent, agree))
+        if groups is not None:
+            _, roots = _starred(_open_rows(groups, roots), roots, STARS, sets, percent, agree)
+            buckets = buckets.union(groups)
         rows, roots = _starred(_open_rows(buckets, roots), roots, STARS, sets, percent, agree)
         if not rows.isEmpty():
             by_prefix, owned = _prefix_buckets(rows, sets, percent)
@@ -323,14 +320,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return stage(found, "near_duplicates", outlive=True)
 
 
-def _fingerprint_pairs(codes: DataFrame) -> DataFrame:
-    """Pairs of codes to confirm: codes of one fingerprint with their least, and fingerprints that the index ties."""
-    least = stage(codes.groupBy("fingerprint").agg(F.min("code").alias("least")), "fingerprint_least")
-    same = codes.select("fingerprint", "code").join(least, "fingerprint").where("code <> least").select(F.col("least").alias("u"), F.col("code").alias("v"))
-    tied = links(least.select("fingerprint"))
-    at = [least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"code_{c}")) for c in "uv"]
-    across = stage(tied, "tied").join(at[0], "u").join(at[1], "v").select(F.least("code_u", "code_v").alias("u"), F.greatest("code_u", "code_v").alias("v"))
-    return stage(same.union(across).distinct(), "fingerprint_pairs")
+def _fingerprint_groups(codes: DataFrame, shares: DataFrame) -> DataFrame:
+    """Groups of operator 9 with two codes or more, as buckets (``key``, ``code``, ``score``): all that a chain of fingerprints within three bits ties."""
+    found = simhash.near_duplicates(codes.select("code", "fingerprint"), "code")
+    score = F.coalesce("score", F.lit(0)) + 1
+    rows = codes.select("code", "fingerprint").join(found, "fingerprint").join(shares.select("code", "score"), "code", "left")
+    return _one_of_each(rows.select(F.xxhash64(F.lit("fingerprints"), "root").alias("key"), "code", score.alias("score")), "fingerprint_groups")
 
 
 ORACLE = r"""

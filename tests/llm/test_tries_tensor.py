@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from martwright.catalogue.base import TABLES
-from martwright.llm import ORACLES, QUERIES, spelling, tensor, trie
+from martwright.llm import ORACLES, QUERIES, simhash, spelling, tensor, trie
 from tools.check_oracle import compare
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -131,6 +131,25 @@ def test_a_pair_is_made_once_however_many_shingles_it_shares(spark, monkeypatch)
     assert len(made) == len(set(made))
 
 
+def test_every_similar_pair_of_a_fingerprint_group_is_found(spark):
+    """Chains of copies: neighbours are similar, others are not, and half bands of so many hashes find none of them."""
+    rng, rows = random.Random(5), []
+    for _ in range(4):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(1200)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(body)))
+            for at in rng.sample(range(1200), 2):
+                body[at] = f"w{rng.randrange(10**6)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = simhash.fingerprints(docs)
+    group = {r.doc_id: r.component_id for r in marks.join(simhash.near_duplicates(marks), "fingerprint").collect()}
+    found = {r.doc_id: r.component_id for r in tensor.near_duplicates(docs, percent=99, half_rows=1000, halves=1, fingerprints_first=True).collect()}
+    sets = [{tuple(words[k : k + 3]) for k in range(1198)} for words in (text.split() for _, text in rows)]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if group[i] == group[j] and 100 * len(sets[i] & sets[j]) >= 99 * len(sets[i] | sets[j])]
+    assert len(near) >= 20
+    assert [(i, j) for i, j in near if found[i] != found[j]] == []
+
+
 def test_half_bands_cost_a_square_root_and_agree_by_similarity():
     rng = np.random.default_rng(0)
     factors = rng.integers(0, 1 << 32, (2, 2 * tensor.HALVES * tensor.HALF_ROWS), dtype=np.uint32) | np.uint32(1)
