@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -72,14 +74,18 @@ def held(key: tuple, build: Callable[[], object]) -> object:
     """What a worker process keeps between tasks, such as a table of words met before: one thing at a time, so that memory stays bounded
     when operators follow each other on the same workers."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = build()
     return _HELD[key]
 
 
 def release() -> None:
-    """Let go of what the worker process keeps."""
+    """Let go of what the worker process keeps; the operating system gets back what is free."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, int]:

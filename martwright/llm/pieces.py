@@ -33,6 +33,8 @@ MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
 KEPT_WORDS = 300_000
 BYTES_AT_ONCE = 1_000_000
+#: Where a chunk's body is among its columns.
+BODY = 3
 #: The digest of ids is the sum of id times place (from 1), modulo this prime.
 DIGEST_PRIME = (1 << 31) - 1
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -288,7 +290,7 @@ def encode_giants(docs: DataFrame, path: str, keep: tuple[str, ...], text: str =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches, -1, BYTES_AT_ONCE):
             for at, body in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 parts = list(chunks_of(body, chunk_chars, reach))
                 kept = [pa.concat_arrays([c.slice(at, 1)] * len(parts)) for c in batch.columns[:-1]]
@@ -300,11 +302,11 @@ def encode_giants(docs: DataFrame, path: str, keep: tuple[str, ...], text: str =
     chunks = stage(stage(giants.mapInArrow(cut, cut_schema), "cut").repartition(F.col("row_key"), F.col("chunk")), "chunks")
     place = ["row_key", "chunk"]
 
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for frame in frames:
-            found = [Chunk(r.before, r.body, r.after, encoder).matrix().ravel() for r in frame.itertuples()]
-            yield pd.DataFrame({"row_key": frame["row_key"], "chunk": frame["chunk"], "matrix": found})
+        for batch in slices(batches, BODY, BYTES_AT_ONCE):
+            found = [Chunk(*row, encoder).matrix().ravel() for row in zip(*(c.to_pylist() for c in batch.columns[2:5]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.float64()))], names=[*place, "matrix"])
 
     def scan_sums(frame: pd.DataFrame) -> pd.DataFrame:
         # A row's text is shorter than 2**31 bytes, so a document has fewer than 2**31 / chunk_chars of these small matrices.
@@ -315,27 +317,27 @@ def encode_giants(docs: DataFrame, path: str, keep: tuple[str, ...], text: str =
         first[0] = 0.0
         return pd.DataFrame({"row_key": frame["row_key"], "chunk": frame["chunk"], "entry": [first, *(p[0] for p in products[:-1])]})
 
-    texts = chunks.select(*place, "before", "body", "after")
-    sums = stage(texts.mapInPandas(matrices, "row_key long, chunk int, matrix array<double>").groupBy("row_key").applyInPandas(
+    texts = chunks.select(*place, "before", "body", "after")  # the body at place BODY
+    sums = stage(texts.mapInArrow(matrices, "row_key long, chunk int, matrix array<double>").groupBy("row_key").applyInPandas(
         scan_sums, "row_key long, chunk int, entry array<double>"), "entries")
 
-    def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for frame in frames:
-            found = [Chunk(r.before, r.body, r.after, encoder).left_states(np.array(r.entry)) for r in frame.itertuples()]
-            yield pd.DataFrame({"row_key": frame["row_key"], "chunk": frame["chunk"], "left": found})
+        for batch in slices(batches, BODY, BYTES_AT_ONCE):
+            found = [Chunk(*row, encoder).left_states(np.array(entry)) for *row, entry in zip(*(c.to_pylist() for c in batch.columns[2:6]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=[*place, "left"])
 
     def scan_maps(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk")
         lefts = running_maps(np.stack(frame["left"].to_list()))[:, 0]  # the text ends in state 0
         return pd.DataFrame({"row_key": frame["row_key"], "chunk": frame["chunk"], "right": np.append(lefts[1:], 0)})
 
-    rights = stage(texts.join(sums, place).mapInPandas(maps, "row_key long, chunk int, left array<long>").groupBy("row_key").applyInPandas(
+    rights = stage(texts.join(sums, place).select(*place, "before", "body", "after", "entry").mapInArrow(maps, "row_key long, chunk int, left array<long>").groupBy("row_key").applyInPandas(
         scan_maps, "row_key long, chunk int, right long"), "rights")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
-        for batch in batches:
+        for batch in slices(batches, -4, BYTES_AT_ONCE):
             columns = [c.to_pylist() for c in batch.columns[-5:]]
             ids = [np.frombuffer(Chunk(before, body, after, encoder).ids(np.array(entry), right), "<i4") for before, body, after, entry, right in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-5], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, *place, "ids"])

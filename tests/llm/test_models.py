@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,19 @@ def test_round_trip_of_edge_rows(edge, clashing, none):
     assert pieces.encode_and_decode(none, PATH).count() == 0
 
 
+def test_chunks_are_traced_in_slices_of_bounded_size(spark, none, monkeypatch):
+    """A worker holds no more than a slice of the chunks of a batch."""
+    made, plain = [], type(none).mapInArrow
+    monkeypatch.setattr(type(none), "mapInArrow", lambda self, fn, schema: made.append(fn) or plain(self, fn, schema))
+    pieces.encode_giants(none, PATH, ("doc_id",))
+    body, states = "▁ab" * 12_000, vocabulary(PATH).longest
+    entry = [0.0] + [-np.inf] * (states - 1)
+    rows = [{"doc_id": i, "row_key": i, "chunk": 0, "before": "", "body": body, "after": "", "entry": entry, "right": 0} for i in range(60)]
+    out = list(made[-1](iter([pa.RecordBatch.from_pylist(rows)])))
+    assert sum(b.num_rows for b in out) == 60
+    assert max(b.num_rows for b in out) * len(body.encode()) <= pieces.BYTES_AT_ONCE
+
+
 def test_repeated_rows_stay_apart(spark):
     docs = spark.createDataFrame([(1, EN * 10)] * 3, "doc_id long, text string")
     assert pieces.encode_and_decode(docs, PATH, chunk_chars=100).where(F.col("round_trip")).count() == 3
