@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from martwright.llm import langid, mixing, pieces, quality, tensor
 from martwright.llm.base import table, vocabulary_file
-from martwright.session import pin_utc, stage
+from martwright.session import pin_utc, stage, stage_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language must have this share of the total probability, and a text this probability of being good.
@@ -44,11 +44,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     SimHash groups of the operator's index are confirmed first; half bands find what three bits of a fingerprint don't reach.
     Documents without words are copies of each other.
     """
-    found = tensor.near_duplicates(docs, words_each=SHINGLE_WORDS, percent=LEAST_PERCENT, halves=HALVES, fingerprints_first=True)
     nameless = F.col("doc_id").isNull()
-    first = found.groupBy(F.coalesce("root", F.lit(-1))).agg(F.min(F.struct(nameless.alias("nameless"), "doc_id", "text_key")).alias("first"))
     name = [nameless.alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key"]
-    kept = stage(first.select("first.doc_id", "first.text_key").select(*name), "kept_rows")
+    with stage_scope(spark) as keep:
+        found = tensor.near_duplicates(docs, words_each=SHINGLE_WORDS, percent=LEAST_PERCENT, halves=HALVES, fingerprints_first=True)
+        first = found.groupBy(F.coalesce("root", F.lit(-1))).agg(F.min(F.struct(nameless.alias("nameless"), "doc_id", "text_key")).alias("first"))
+        kept = keep(stage(first.select("first.doc_id", "first.text_key").select(*name), "kept_rows"))
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")).select(*COLUMNS, *name).join(kept, ["nameless", "id", "text_key"], "left_semi")
     rest = [c for c in COLUMNS if c != "doc_id"]
     one = rows.groupBy("nameless", "id", "text_key").agg(F.min(F.struct(*rest)).alias("one"))

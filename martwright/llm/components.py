@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martwright.session import stage
+from martwright.session import drop_staged, stage, stage_scope
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Both star steps sum before they shuffle, so a vertex with many neighbours never meets in one task.
     Rounds, each staged, go on until the edge set no longer changes; their number grows with the
-    logarithm of the number of vertices.
+    logarithm of the number of vertices.  A round's tables go when the next one has its own.
     """
     now, before = stage(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
     while True:
@@ -39,4 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not mark["n"] or mark == before:
             return now.select("u", F.col("v").alias("root"))
         before = mark
-        now = stage(_small_star(stage(_large_star(now), "large_star")), "small_star")
+        with stage_scope(now.sparkSession) as keep:
+            after = keep(stage(_small_star(stage(_large_star(now), "large_star")), "small_star"))
+        drop_staged(now)
+        now = after

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from martwright.llm import simhash
 from martwright.llm.base import held, query, slices, table
 from martwright.llm.components import components
-from martwright.session import stage, stage_scope
+from martwright.session import drop_staged, stage, stage_scope
 
 SEED = 42
 #: Of the query: words of a shingle, least similarity in hundredths, hashes of a half band, half bands of a collection.
@@ -214,12 +214,17 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _starred(rows: DataFrame, roots: DataFrame, turns: int, sets: DataFrame, percent: int, agree: int) -> tuple[DataFrame, DataFrame]:
-    """Open rows and components after so many rounds of comparing members with a head."""
+    """Open rows and components after so many rounds of comparing members with a head; those given go with the round that replaces them."""
     for turn in range(turns):
         if rows.isEmpty():
             break
-        roots = _merged(roots, _confirmed(_star_pairs(rows, turn), sets, percent, agree))
-        rows = _open_rows(rows.drop("root"), roots)
+        with stage_scope(rows.sparkSession) as keep:
+            merged = keep(_merged(roots, _confirmed(_star_pairs(rows, turn), sets, percent, agree)))
+            opened = keep(_open_rows(rows.drop("root"), merged))
+        for given, now in ((roots, merged), (rows, opened)):
+            if now is not given:
+                drop_staged(given)
+        rows, roots = opened, merged
     return rows, roots
 
 
@@ -304,7 +309,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         agree = least_agreement(percent, half_rows, halves)
         roots = stage(docs.sparkSession.createDataFrame([], "code long, root long"), "no_roots")
         if groups is not None:
-            _, roots = _starred(_open_rows(groups, roots), roots, STARS, sets, percent, agree)
+            done, roots = _starred(_open_rows(groups, roots), roots, STARS, sets, percent, agree)
+            drop_staged(done)
             buckets = buckets.union(groups)
         rows, roots = _starred(_open_rows(buckets, roots), roots, STARS, sets, percent, agree)
         if not rows.isEmpty():
@@ -322,10 +328,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def _fingerprint_groups(codes: DataFrame, shares: DataFrame) -> DataFrame:
     """Groups of operator 9 with two codes or more, as buckets (``key``, ``code``, ``score``): all that a chain of fingerprints within three bits ties."""
-    found = simhash.near_duplicates(codes.select("code", "fingerprint"), "code")
-    score = F.coalesce("score", F.lit(0)) + 1
-    rows = codes.select("code", "fingerprint").join(found, "fingerprint").join(shares.select("code", "score"), "code", "left")
-    return _one_of_each(rows.select(F.xxhash64(F.lit("fingerprints"), "root").alias("key"), "code", score.alias("score")), "fingerprint_groups")
+    with stage_scope(codes.sparkSession) as keep:
+        found = simhash.near_duplicates(codes.select("code", "fingerprint"), "code")
+        score = F.coalesce("score", F.lit(0)) + 1
+        rows = codes.select("code", "fingerprint").join(found, "fingerprint").join(shares.select("code", "score"), "code", "left")
+        return keep(_one_of_each(rows.select(F.xxhash64(F.lit("fingerprints"), "root").alias("key"), "code", score.alias("score")), "fingerprint_groups"))
 
 
 ORACLE = r"""
