@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martwright.llm.base import query, release, slices, table, with_text
-from martwright.llm.components import components
+from martwright.llm.components import components, merge_labels
 from martwright.session import stage
 
 HASH_SEED = 42
@@ -87,22 +87,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (the least member's index) after linking ``a`` and ``b`` element by element."""
-    while True:
-        la, lb = labels[a], labels[b]
-        apart = la != lb
-        if not apart.any():
-            return labels
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            shorter = labels[labels]
-            if (shorter == labels).all():
-                break
-            labels = shorter
-
-
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """True where a row begins a new combination of values."""
     new = np.zeros(len(columns[0]), bool)
@@ -133,7 +117,7 @@ def bucket_groups(keys: np.ndarray, codes: np.ndarray, most: int = MOST_BITS) ->
         order = np.lexsort((gray_rank(turned), keys))
         a, b = order[:-1], order[1:]
         near = (keys[a] == keys[b]) & (np.bitwise_count(codes[a] ^ codes[b]) <= most)
-        labels = _merge(labels, a[near], b[near])
+        labels = merge_labels(labels, a[near], b[near])
     sizes = np.bincount(labels, minlength=n)
     group = np.where(sizes[labels] >= LARGE_GROUP, labels, -1)
     order = np.lexsort((gray_rank(codes), group, keys))
@@ -160,7 +144,7 @@ def bucket_groups(keys: np.ndarray, codes: np.ndarray, most: int = MOST_BITS) ->
             continue
         if level == 0:
             apart = a != b
-            labels = _merge(labels, order[a[apart]], order[b[apart]])
+            labels = merge_labels(labels, order[a[apart]], order[b[apart]])
             continue
         first, ends = levels[level][3]
         wide, high = ends[a] - first[a], ends[b] - first[b]

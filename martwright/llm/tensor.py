@@ -186,7 +186,7 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
         return roots.select(F.col("code").alias(column), F.col("root").alias(f"root_{column}"))
 
     lifted = edges.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
-    grown = stage(components(lifted), "grown")
+    grown = components(lifted)
     moved = roots.join(grown.select(F.col("u").alias("root"), F.col("root").alias("next")), "root", "left").select("code", F.coalesce("next", "root").alias("root"))
     return stage(moved.union(grown.select(F.col("u").alias("code"), "root")), "roots")
 
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         sets = _sets_of(members, docs, text, doc_id, words_each)
 
         agree = least_agreement(percent, half_rows, halves)
-        roots = stage(docs.sparkSession.createDataFrame([], "code long, root long"), "no_roots")
+        roots = codes.select("code", F.col("code").alias("root")).limit(0)
         if groups is not None:
             done, roots = _starred(_open_rows(groups, roots), roots, STARS, sets, percent, agree)
             drop_staged(done)

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from martwright.llm import components as components_module
 from martwright.llm.components import components
 from martwright.session import SHUFFLES_GO_KEY, drop_staged, stage, stage_folder, stage_scope
 
@@ -34,6 +35,18 @@ def test_rounds_of_components_leave_one_table(spark):
     assert [name.rsplit("-", 1)[0] for name in staged_tables(spark) - before] == ["small_star"]
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    labels, staged = [], components_module.stage
+    monkeypatch.setattr(components_module, "stage", lambda df, label: labels.append(label) or staged(df, label))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(-3, 30)] + [(50, 40), (50, 60), (7, 7), (None, 3), (1, 2)], "u long, v long")
+    expected = {(k, -3) for k in range(-2, 31)} | {(50, 40), (60, 40)}
+    assert {(r.u, r.root) for r in components(edges).collect()} == expected
+    assert labels == ["edges", "small_star"]
+    monkeypatch.setattr(components_module, "CLOSED_AT_ONCE", 10)
+    assert {(r.u, r.root) for r in components(edges).collect()} == expected
+    assert "large_star" in labels
+
+
 def test_kept_tables_go_with_the_scope_around(spark):
     before, outside = staged_tables(spark), spark.range(3)
     with stage_scope(spark) as outer:
