@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from martwright.llm.base import held, in_order, query, slices, table, vocabulary_file
-from martwright.session import stage_path
+from martwright.session import stage, stage_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
 #: Parts kept per worker process, and the longest part that is kept.
-KEPT_PARTS, KEPT_LENGTH = 600_000, 64
+KEPT_PARTS, KEPT_LENGTH = 900_000, 64
 BYTES_AT_ONCE = 8_000_000
 #: White space, letters and numbers by Unicode property, below U+0250.
 WHITE = "\\t-\\r \\x85\\xa0"
@@ -49,6 +49,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(others)}
 
 
+class _Parts(dict):
+    """Ids of parts met before, a bounded number of them; a part is looked up once, met before or not."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.merge, self.letters = tokenizer.model.tokenize, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = array("i", [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(part) <= KEPT_LENGTH:
+            if len(self) > KEPT_PARTS:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class CachingEncoder:
     """Ids of whole texts, as little-endian 32-bit integers.
 
@@ -59,26 +74,12 @@ class CachingEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-        self.kept: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        return array("i", [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.ids_of = _Parts(self.tokenizer).__getitem__
 
     def encode(self, text: str) -> bytes:
         if BEYOND.search(text) or any(s in text for s in self.special):
             return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        parts, kept = PART.findall(text), self.kept
-        try:
-            return b"".join(map(kept.__getitem__, parts))
-        except KeyError:
-            if len(kept) > KEPT_PARTS:
-                kept.clear()
-            long = {}
-            for part in parts:
-                if part not in kept:
-                    (kept if len(part) <= KEPT_LENGTH else long)[part] = self._part(part)
-            return b"".join([kept[p] if p in kept else long[p] for p in parts])
+        return b"".join(map(self.ids_of, PART.findall(text)))
 
 
 def caching_encoder(path: str) -> CachingEncoder:
@@ -131,5 +132,6 @@ def token_digests(tokens: DataFrame) -> DataFrame:
 def _(spark: SparkSession, folder: str) -> DataFrame:
     path = stage_path(spark, "token_ids")
     write_tokens(table(spark, folder, "documents"), path, vocabulary_file(TOKENIZER))
-    placed = in_order(token_digests(read_tokens(spark, path)), ["part", "row"], ["n_tokens"], "token_digests")
+    # Staged first: finding the ranges of the order would read and digest all ids once more.
+    placed = in_order(stage(token_digests(read_tokens(spark, path)), "token_digests"), ["part", "row"], ["n_tokens"], "placed_tokens")
     return placed.select("doc_id", F.col("n_tokens_before").alias("start"), "n_tokens", "ids_crc32")

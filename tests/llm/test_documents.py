@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from martwright.llm import components, mixing, sharding, simhash, tokens
-from martwright.llm.base import vocabulary_file
+from martwright.llm.base import QUERIES, vocabulary_file
 from martwright.session import stage_path
 from tests.llm.conftest import edge_rows
 
@@ -65,6 +65,24 @@ def test_cached_encoding_is_the_tokenizers(text):
         assert np.frombuffer(encoder.encode(text), "<i4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_part_is_looked_up_once_and_a_new_one_merged_once():
+    encoder, looked_up = tokens.CachingEncoder(vocabulary_file(tokens.TOKENIZER)), []
+    ids_of, encoder.ids_of = encoder.ids_of, lambda part: looked_up.append(part) or ids_of(part)
+    text = "old new old newer " + "z" * 200
+    assert np.frombuffer(encoder.encode(text), "<i4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert looked_up == ["old", " new", " old", " newer", " " + "z" * 200]
+    assert set(ids_of.__self__) == {"old", " new", " old", " newer"}
+
+
+def test_written_ids_are_read_once_for_their_order(spark, edge, tmp_path, monkeypatch):
+    seen, in_order = [], tokens.in_order
+    monkeypatch.setattr(tokens, "in_order", lambda df, *how: seen.append(df) or in_order(df, *how))
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op1_token_ids"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(edge_rows()) and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- sharding
 
 
