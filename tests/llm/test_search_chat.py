@@ -1,6 +1,8 @@
 """Searches and chat formatting: against brute force, on edge rows."""
 
+import operator
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -47,6 +49,58 @@ def test_topk_small_and_empty(spark):
     assert topk.top_k(few, F.lit(False)).count() == 0
 
 
+def best_of(rows, asks, k=10):
+    """Query, rank, id and score by brute force in Python's numbers; a repeated query's rows count together, missing ids come first among equals."""
+    found = Counter()
+    for query in {i for i, _ in rows if i is not None and asks(i)}:
+        scores = [(-sum(map(operator.mul, v, w)), i is not None, i or 0, i) for j, v in rows if j == query for i, w in rows if i != query]
+        found.update((query, n, i, -s) for n, (s, _, _, i) in enumerate(sorted(scores, key=lambda x: x[:3])[:k], 1))
+    return found
+
+
+@contextmanager
+def settings(spark, **values):
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_topk_sends_no_repeated_rows_through_the_driver(spark):
+    """A thousand queries are 0.3 MB and meet 40 blocks: 10 MB if they were broadcast once per block."""
+    whole = np.random.default_rng(2).integers(-500, 500, size=(4000, 32))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(whole.tolist())], "vec_id long, embedding array<long>").repartition(4)
+    with settings(spark, maxBroadcastTableSize="4m", autoBroadcastJoinThreshold="10m"):
+        got = topk.top_k(rows, F.col("vec_id") % 4 == 0, block_rows=100).collect()
+    scores = whole[::4] @ whole.T
+    scores[np.arange(1000), np.arange(1000) * 4] = -(10**12)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :10]
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == {(4 * q, n + 1, int(i), int(scores[q, i])) for q, b in enumerate(best) for n, i in enumerate(b)}
+    assert len(got) == 10_000
+
+
+@pytest.mark.parametrize("case", ["missing and repeated ids", "ties", "all magnitudes", "one id"])
+def test_topk_on_odd_rows(spark, case):
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.integers(-300, 300, size=(200, 7)).tolist())]
+    if case == "missing and repeated ids":
+        rows += rows[:15] + [(i % 40, v) for i, (_, v) in enumerate(rows[100:])] + [(None, [2 * x for x in v]) for _, v in rows[:30]]
+    elif case == "ties":
+        rows += [(1000 + i, [9] * 7) for i in range(150)] + [(20, [5] * 7), (30, [0] * 7), (40, [-5] * 7)]
+    elif case == "all magnitudes":  # scores from a few digits to 18
+        rows = [(i, [x * 10 ** (i % 7) for x in v]) for i, v in rows]
+    else:
+        rows = [(10, v) for _, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<long>").repartition(3)
+    with settings(spark, **{"execution.arrow.maxRecordsPerBatch": "9"}):
+        got = topk.top_k(frame, F.col("vec_id") % 10 == 0, lists=3, block_rows=64, query_rows=5).collect()
+    assert Counter(map(tuple, got)) == best_of(rows, lambda i: i % 10 == 0)
+
+
 def test_ann_recall_and_exact_scores(vectors):
     rows = usable_rows(vectors, False)
     matrix = {i: v for i, v in rows}
